@@ -27,7 +27,7 @@ def bounds(t):
 
 DAILY_SQL = """(SELECT participant_id, metric, CAST(ts AS DATE) AS day,
     CASE WHEN metric='purchase' THEN sum(value) WHEN metric='signup' THEN avg(value) ELSE median(value) END AS v
-    FROM {measurements} m0 GROUP BY ALL)"""
+    FROM {measurements} m0 GROUP BY participant_id, metric, CAST(ts AS DATE))"""
 USER_DAILY_SQL = "(SELECT participant_id, CAST(ts AS DATE) AS day, median(value) AS v FROM {measurements} m0 GROUP BY ALL)"
 
 
@@ -765,9 +765,9 @@ def win12(t):
 @query(
     "win7_window_features",
     """SELECT participant_id, metric, window_days, count(v) AS count, round(avg(v),6) AS mean, round(stddev_pop(v),5) AS std, min(v) AS min, max(v) AS max,
-        CASE WHEN count(v)>0 THEN round(coalesce(regr_slope(v,x),0),5) END AS slope, CASE WHEN count(v)>0 THEN round(greatest(0,1-count(DISTINCT d)/CAST(window_days AS DOUBLE)),6) END AS missing_rate
+        CASE WHEN count(v)>0 THEN round(CASE WHEN count(DISTINCT x)>1 THEN regr_slope(v,x) ELSE 0 END,5) END AS slope, CASE WHEN count(v)>0 THEN round(greatest(0,1-count(DISTINCT d)/CAST(window_days AS DOUBLE)),6) END AS missing_rate
        FROM (SELECT participant_id, metric, w AS window_days, CASE WHEN age<w THEN value END AS v, CASE WHEN age<w THEN -age END AS x, CASE WHEN age<w THEN CAST(ts AS DATE) END AS d
-             FROM (SELECT *, (epoch_us({as_of})-epoch_us(ts))/86400000000.0 AS age FROM {measurements} m), (VALUES (1),(3),(7),(14),(30),(90)) AS ws(w)) y GROUP BY ALL""",
+             FROM (SELECT *, (epoch_us({as_of})-epoch_us(ts))/86400000000.0 AS age FROM {measurements} m), (VALUES (1),(3),(7),(14),(30),(90)) AS ws(w)) y GROUP BY participant_id, metric, window_days""",
 )
 def win7(t):
     f = S.window_features(t.measurements, KEY, AS_OF)
@@ -812,10 +812,10 @@ def win10(t):
     "win11_exponential_smoothing",
     f"""WITH RECURSIVE o AS (SELECT participant_id, day, v, row_number() OVER (PARTITION BY participant_id ORDER BY day) AS rn FROM {USER_DAILY_SQL} u),
         s AS (SELECT participant_id, day, v, rn, v AS e FROM o WHERE rn=1 UNION ALL SELECT o.participant_id, o.day, o.v, o.rn, o.v*CAST(0.3 AS DOUBLE)+s.e*CAST(0.7 AS DOUBLE) FROM s JOIN o ON o.participant_id=s.participant_id AND o.rn=s.rn+1)
-        SELECT participant_id, CAST(day AS VARCHAR) AS day, round(e,6) AS ewma FROM s""",
+        SELECT participant_id, CAST(day AS VARCHAR) AS day, e AS ewma FROM s""",
 )
 def win11(t):
-    return S.smoothed(user_daily(t), ["participant_id"]).select("participant_id", F.col("day").cast("string").alias("day"), r("ewma").alias("ewma"))
+    return S.smoothed(user_daily(t), ["participant_id"]).select("participant_id", F.col("day").cast("string").alias("day"), "ewma")
 
 
 @query(
