@@ -268,7 +268,7 @@ def kg27(t):
 
     keys = ["participant_id", "mtype"]
     tolerance = F.when(F.col("mtype") == "bp", 3.0).when(F.col("mtype") == "glucose", 0.2).otherwise(1.0)
-    trend = first_last_change(dual(t).withColumn("_t", tolerance), keys, F.when(F.col("mtype") == "bp", 3.0).when(F.col("mtype") == "glucose", 0.2).otherwise(1.0))
+    trend = first_last_change(dual(t), keys, tolerance)
     cards = dual_latest(t).join(trend.select(*keys, "direction", "delta"), keys).join(X.quality_summary(flagged(t), keys), keys)
     numbered = cards.withColumn("position", F.row_number().over(Window.partitionBy("participant_id").orderBy("mtype")))
     return numbered.filter("position <= 8").select(*keys, "value", "direction", "delta", "data_points", "flag_counts", "position")

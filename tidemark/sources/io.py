@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.text import bind
+
 
 def wide_csv(spark: SparkSession, path: str, schema: str, columns: list[str]) -> DataFrame:
     """Wide survey file: the schema is given, the parser reads only the wanted columns."""
@@ -57,7 +59,7 @@ def header_metadata(text) -> "F.Column":
         lambda p: F.struct(F.trim(F.substring_index(p, ":", 1)).alias("key"), F.trim(F.regexp_replace(p, r"^[^:]*:", "")).alias("value")),
     )
     # later entries replace earlier ones without relying on the session's map-key policy
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda o: o["key"] == e["key"]))
+    last = bind(entries, lambda all_: F.filter(all_, lambda e, i: ~F.exists(F.slice(all_, i + 2, F.size(all_)), lambda o: o["key"] == e["key"])))
     return F.map_from_entries(last)
 
 
