@@ -48,8 +48,8 @@ def stable_split(key: Column, train: float = 0.70, validation: float = 0.15) ->
 
 
 def fold_of(key: Column, k: int = 5) -> Column:
-    """Group fold: all rows of one id share a fold."""
-    return F.least(F.floor(stable_fraction(key) * k), F.lit(k - 1)).cast("int")
+    """Group fold: all rows of one id share a fold. The hash differs from the split's, so folds of a part are even."""
+    return F.least(F.floor(stable_fraction(F.concat(F.lit("fold-"), key.cast("string"))) * k), F.lit(k - 1)).cast("int")
 
 
 def holdout_group(df: DataFrame, group: str, key: str, least: int, smallest: bool, share: float = 0.0) -> DataFrame:

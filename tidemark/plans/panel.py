@@ -133,7 +133,7 @@ def ml4(t):
     return P.stratified_split(t.pred_risk.select("id", "y"), "y", "id").select("id", "y", "part")
 
 
-@query("ml5_group_folds", "SELECT least(floor({fraction:participant_id}*5),4)::INT AS fold, count(*) AS n, count(DISTINCT participant_id) AS ids, sum(y)::BIGINT AS positives FROM {pred_risk} r GROUP BY 1")
+@query("ml5_group_folds", "SELECT least(floor({fraction:'fold-'||participant_id}*5),4)::INT AS fold, count(*) AS n, count(DISTINCT participant_id) AS ids, sum(y)::BIGINT AS positives FROM {pred_risk} r GROUP BY 1")
 def ml5(t):
     """Ids are counted after one row per (fold, id) is built, so the few folds are never collected."""
     per_id = t.pred_risk.groupBy("participant_id").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos"))

@@ -255,7 +255,7 @@ VIEWS = {
 
 def view_sql(text: str) -> str:
     """Expand ``{view}`` placeholders; ``{fraction:x}`` becomes the stable id fraction of column x."""
-    text = re.sub(r"\{fraction:([\w.]+)\}", lambda m: _FRACTION.format(m.group(1)), text)
+    text = re.sub(r"\{fraction:([^}]+)\}", lambda m: _FRACTION.format(m.group(1)), text)
     for name, body in VIEWS.items():
         text = text.replace("{" + name + "}", f"({body.strip()})")
     return text.replace("{as_of}", f"TIMESTAMP '{AS_OF}'")
