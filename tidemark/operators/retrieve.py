@@ -5,7 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import rules
@@ -27,12 +29,17 @@ class Weights:
     registry: float = 2.0
 
 
+# a question batch within these bounds travels to every task; larger batches are joined
+MAX_QUESTIONS, MAX_LINKS = 2048, 200_000
+BLOCK_CELLS = 4_000_000
+
+
 def chunk_profile(chunks: DataFrame, w: Weights) -> DataFrame:
-    """What the score needs of a chunk, besides its tokens."""
+    """What the score needs of a chunk, besides its tokens; flags are plain numbers."""
     text = F.col("text")
     return chunks.select(
-        "chunk_id", "doc_id", "authority", "evidence_key", "registry", T.tokens(text, ()).alias("tokens"),
-        F.array(*[F.size(T.contained(text, terms)) for terms in w.topics.values()]).alias("alias_hits"),
+        "chunk_id", "doc_id", F.col("authority").cast("int").alias("authority"), "evidence_key", "registry", T.tokens(text, ()).alias("tokens"),
+        *[F.size(T.contained(text, terms)).alias(f"hits_{i}") for i, terms in enumerate(w.topics.values())],
         T.has_any(text, w.danger).alias("has_danger"),
     )
 
@@ -41,16 +48,122 @@ def question_profile(questions: DataFrame, w: Weights) -> DataFrame:
     text = F.col("text")
     return questions.select(
         "question_id", T.tokens(text, ()).alias("tokens"),
-        F.array(*[T.has_any(text, terms) for terms in w.topics.values()]).alias("asks"), T.has_any(text, w.danger).alias("urgent"),
+        *[T.has_any(text, terms).alias(f"asks_{i}") for i, terms in enumerate(w.topics.values())], T.has_any(text, w.danger).alias("urgent"),
+    )
+
+
+def _marked(profile: DataFrame, linked: DataFrame, conflicted: DataFrame) -> DataFrame:
+    """Evidence marks per chunk: keys are made distinct first, so the join adds no rows."""
+    marks = linked.select("evidence_key").distinct().withColumn("is_linked", F.lit(True)).join(
+        conflicted.select("evidence_key").distinct().withColumn("in_conflict", F.lit(True)), "evidence_key", "left"
     )
+    return profile.join(marks, "evidence_key", "left").fillna(False, ["is_linked", "in_conflict"])
+
+
+def hybrid_top_k(chunks: DataFrame, questions: DataFrame, linked: DataFrame, direct: DataFrame, conflicted: DataFrame, k: int = 8, w: Weights | None = None, force_join: bool = False) -> DataFrame:
+    """Scored top-k chunks per question over the whole corpus.
+
+    ``linked`` and ``conflicted`` are evidence keys, ``direct`` is (question_id, evidence_key). The size of the question
+    side decides the plan: a bounded batch is sent to the tasks and the corpus is scanned once, otherwise tokens are
+    joined. Both give the same rows.
+    """
+    w = w or Weights()
+    profile = _marked(chunk_profile(chunks, w), linked, conflicted)
+    asked, own = question_profile(questions, w), direct.select("question_id", "evidence_key").distinct()
+    own = own.join(asked.select("question_id"), "question_id", "left_semi")
+    few = None if force_join else asked.limit(MAX_QUESTIONS + 1).toPandas()
+    links = None if few is None or len(few) > MAX_QUESTIONS else own.limit(MAX_LINKS + 1).toPandas()
+    if links is not None and len(links) <= MAX_LINKS:
+        return _scan(profile, few, links, k, w)
+    return _joined(profile, asked, own, k, w)
+
+
+def lexical_top_k(chunks: DataFrame, questions: DataFrame, k: int = 8, authority: float = 0.0, registry: float = 0.0, force_join: bool = False) -> DataFrame:
+    """Token overlap (at least one shared token), optionally with an authority bonus and a registry penalty."""
+    tokens = T.tokens(F.col("text"), ())
+    held = chunks.select("chunk_id", "doc_id", F.col("authority").cast("int").alias("authority"), "registry", tokens.alias("tokens"))
+    asked = questions.select("question_id", tokens.alias("tokens"))
+    few = None if force_join else asked.limit(MAX_QUESTIONS + 1).toPandas()
+    if few is not None and len(few) <= MAX_QUESTIONS:
+        w = Weights(topics={}, danger=(), authority=authority, registry=registry, linked=0.0, direct=0.0, conflict=0.0, danger_bonus=0.0)
+        plain = held.withColumn("evidence_key", F.lit(None).cast("string"))
+        for flag in ("has_danger", "is_linked", "in_conflict"):
+            plain = plain.withColumn(flag, F.lit(False))
+        links = pd.DataFrame({"question_id": [], "evidence_key": []})
+        return _scan(plain, few.assign(urgent=False), links, k, w, need_overlap=True)
+    both = overlaps(held, asked, ["doc_id", "authority", "registry"])
+    score = F.col("overlap") + F.col("authority") * authority - F.when(F.col("registry"), registry).otherwise(0.0)
+    return _top(both.withColumn("score", F.round(score, 4)).select("question_id", "chunk_id", "doc_id", "score"), k)
+
+
+def _scan(profile: DataFrame, asked: pd.DataFrame, links: pd.DataFrame, k: int, w: Weights, need_overlap: bool = False) -> DataFrame:
+    """One pass over the corpus: every task scores its chunks against all questions and emits its own top k.
+
+    Only block winners are shuffled, so no (question, chunk) pair table exists.
+    """
+    ids = asked["question_id"].tolist()
+    column = {q: i for i, q in enumerate(ids)}
+    vocabulary: dict[str, int] = {}
+    postings: list[list[int]] = []
+    for i, words in enumerate(asked["tokens"]):
+        for word in words:
+            at = vocabulary.setdefault(word, len(vocabulary))
+            if at == len(postings):
+                postings.append([])
+            postings[at].append(i)
+    sizes = np.array([len(p) for p in postings] or [0])
+    starts, flat = np.concatenate([[0], np.cumsum(sizes)[:-1]]), np.array([q for p in postings for q in p], dtype=np.int64)
+    asks = asked[[f"asks_{i}" for i in range(len(w.topics))]].to_numpy(dtype=float)
+    urgent = asked["urgent"].to_numpy(dtype=float)
+    by_key = {key: [column[q] for q in g] for key, g in links.groupby("evidence_key")["question_id"]}
+    n_q, block = len(ids), max(1, BLOCK_CELLS // max(1, len(ids)))
+
+    def score(part: pd.DataFrame) -> np.ndarray:
+        n = len(part)
+        words = part["tokens"].explode()
+        at = words.map(vocabulary).to_numpy(dtype=float, na_value=np.nan)
+        known = ~np.isnan(at)
+        row, word = np.repeat(np.arange(n), part["tokens"].map(len).clip(lower=1))[known], at[known].astype(np.int64)
+        reps = sizes[word]
+        offset = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+        cells = np.repeat(row, reps) * n_q + flat[np.repeat(starts[word], reps) + offset]
+        shared = np.bincount(cells, minlength=n * n_q).reshape(n, n_q).astype(float)
+        flag = part["registry"].to_numpy(dtype=float) * w.registry + part["in_conflict"].to_numpy(dtype=float) * w.conflict
+        total = shared + (part["authority"].to_numpy(dtype=float) * w.authority - flag)[:, None]
+        total += w.danger_bonus * np.outer(part["has_danger"].to_numpy(dtype=float), urgent)
+        if len(w.topics):
+            total += w.alias * part[[f"hits_{i}" for i in range(len(w.topics))]].to_numpy(dtype=float) @ asks.T
+        link = np.repeat(part["is_linked"].to_numpy(dtype=float)[:, None] * w.linked, n_q, axis=1)
+        for i, key in enumerate(part["evidence_key"]):
+            if key in by_key:
+                link[i, by_key[key]] = w.direct
+        total = np.round(total + link, 4)
+        return np.where((shared > 0) if need_overlap else (total != 0), total, -np.inf)
+
+    def run(batches):
+        for batch in batches:
+            for low in range(0, len(batch), block):
+                part = batch.iloc[low : low + block].sort_values("chunk_id").reset_index(drop=True)
+                total = score(part)
+                best = np.argsort(-total, axis=0, kind="stable")[:k]
+                rows, cols = best.T.ravel(), np.repeat(np.arange(n_q), best.shape[0])
+                values = total[rows, cols]
+                keep = np.isfinite(values)
+                yield pd.DataFrame({
+                    "question_id": np.array(ids)[cols[keep]], "chunk_id": part["chunk_id"].to_numpy()[rows[keep]],
+                    "doc_id": part["doc_id"].to_numpy()[rows[keep]], "score": values[keep],
+                })
+
+    if not ids:
+        return profile.sparkSession.createDataFrame([], "question_id long, chunk_id string, doc_id long, score double, position int")
+    return _top(profile.mapInPandas(run, "question_id long, chunk_id string, doc_id long, score double"), k)
 
 
 def overlaps(chunk_tokens: DataFrame, question_tokens: DataFrame, keep: list[str]) -> DataFrame:
-    """Shared tokens per (question, chunk).
+    """Shared tokens per (question, chunk) by a token join.
 
-    All tokens of a chunk sit in one task, so the partial count before the shuffle already holds the final number. The
-    question side is broadcast by Spark only while its measured size allows it; otherwise a sort-merge join with
-    run-time skew splitting handles frequent tokens.
+    All tokens of a chunk sit in one task, so the partial count before the shuffle already holds the final number.
+    Frequent tokens are split by Spark's run-time skew handling. ``keep`` should be plain numbers or flags.
     """
     asked = question_tokens.select("question_id", F.explode("tokens").alias("token"))
     held = chunk_tokens.select("chunk_id", *keep, F.explode("tokens").alias("token"))
@@ -59,67 +172,45 @@ def overlaps(chunk_tokens: DataFrame, question_tokens: DataFrame, keep: list[str
     )
 
 
-def _bonus(asks: list[Column], urgent: Column, w: Weights) -> Column:
-    hits = sum((F.when(a, F.element_at("alias_hits", i + 1)).otherwise(0) for i, a in enumerate(asks)), F.lit(0))
-    return (
-        hits * w.alias + F.when(urgent & F.col("has_danger"), w.danger_bonus).otherwise(0.0) + F.col("authority") * w.authority
-        - F.when(F.col("registry"), w.registry).otherwise(0.0) - F.when(F.col("in_conflict"), w.conflict).otherwise(0.0)
-    )
-
-
-def hybrid_top_k(chunks: DataFrame, questions: DataFrame, linked: DataFrame, direct: DataFrame, conflicted: DataFrame, k: int = 8, w: Weights | None = None) -> DataFrame:
-    """Scored top-k chunks per question over the whole corpus.
+def _joined(profile: DataFrame, asked: DataFrame, own: DataFrame, k: int, w: Weights) -> DataFrame:
+    """Unbounded question batches.
 
     Candidates with a shared token come from the token join; candidates with a directly linked evidence key from a key
     join. A chunk with neither is scored by a few flags only, so of every flag class just the first ``k`` chunk ids can
     reach the top k: any other has ``k`` class mates that score at least as high and sort before it.
-    ``linked`` and ``conflicted`` are evidence keys, ``direct`` is (question_id, evidence_key).
     """
-    w = w or Weights()
-    marks = linked.select("evidence_key").distinct().withColumn("is_linked", F.lit(True)).join(
-        conflicted.select("evidence_key").distinct().withColumn("in_conflict", F.lit(True)), "evidence_key", "left"
-    )
-    profile = chunk_profile(chunks, w).join(marks, "evidence_key", "left").fillna(False, ["is_linked", "in_conflict"])
-    asked = question_profile(questions, w)
-    keep = ["doc_id", "authority", "evidence_key", "registry", "alias_hits", "has_danger", "is_linked", "in_conflict"]
-    own = direct.distinct().withColumn("is_direct", F.lit(True))
-    flags = asked.drop("tokens")
-
-    shared = overlaps(profile, asked, keep)
-    by_key = profile.drop("tokens").join(own.select("question_id", "evidence_key"), "evidence_key").withColumn("overlap", F.lit(0).cast("long"))
-    met = shared.unionByName(by_key.select(shared.columns)).groupBy("question_id", "chunk_id").agg(
-        F.max("overlap").alias("overlap"), *[F.first(c).alias(c) for c in keep]
-    ).join(own, ["question_id", "evidence_key"], "left").join(flags, "question_id")
     n_topics = len(w.topics)
-    link = F.when(F.col("is_direct"), w.direct).when(F.col("is_linked"), w.linked).otherwise(0.0)
-    scored = met.withColumn("score", F.col("overlap") + link + _bonus([F.col("asks")[i] for i in range(n_topics)], F.col("urgent"), w))
-
+    hits = [f"hits_{i}" for i in range(n_topics)]
+    asks = [f"asks_{i}" for i in range(n_topics)]
+    flags = asked.drop("tokens")
+    classes = ["authority", "registry", *hits, "has_danger", "is_linked", "in_conflict"]
+    bonus = (
+        sum((F.when(F.col(a), F.col(h)).otherwise(0) for a, h in zip(asks, hits)), F.lit(0)) * w.alias
+        + F.when(F.col("urgent") & F.col("has_danger"), w.danger_bonus).otherwise(0.0) + F.col("authority") * w.authority
+        - F.when(F.col("registry"), w.registry).otherwise(0.0) - F.when(F.col("in_conflict"), w.conflict).otherwise(0.0)
+    )
+    link = F.when(F.col("is_linked"), w.linked).otherwise(0.0)
+    keep = ["doc_id", *classes]
+    shared = overlaps(profile, asked, keep).withColumn("is_direct", F.lit(False))
+    by_key = profile.drop("tokens").join(own, "evidence_key").select(
+        "question_id", "chunk_id", F.lit(0).cast("long").alias("overlap"), *keep, F.lit(True).alias("is_direct")
+    )
+    met = shared.unionByName(by_key).groupBy("question_id", "chunk_id").agg(
+        F.max("overlap").alias("overlap"), F.bool_or("is_direct").alias("is_direct"), *[F.first(c).alias(c) for c in keep]
+    ).join(flags, "question_id")
+    cols = ["question_id", "chunk_id", "doc_id", "score"]
+    scored = met.withColumn("score", F.col("overlap") + F.when(F.col("is_direct"), w.direct).otherwise(link) + bonus).select(cols)
     # the rest: first k ids per flag class, scored for every combination of question flags
-    classes = ["authority", "registry", "alias_hits", "has_danger", "is_linked", "in_conflict"]
     first = profile.select("chunk_id", "doc_id", *classes).withColumn(
         "_rn", F.row_number().over(Window.partitionBy(*classes).orderBy("chunk_id"))
     ).filter(F.col("_rn") <= k)
-    combos = F.array(*[
-        F.struct(F.array(*[F.lit(bool(a)) for a in c[:-1]]).alias("asks"), F.lit(bool(c[-1])).alias("urgent")) for c in product((0, 1), repeat=n_topics + 1)
-    ])
-    flagged = first.withColumn("_c", F.explode(combos)).select("*", "_c.*")
-    rest_score = F.when(F.col("is_linked"), w.linked).otherwise(0.0) + _bonus([F.col("asks")[i] for i in range(n_topics)], F.col("urgent"), w)
-    best = Window.partitionBy("asks", "urgent").orderBy(F.col("score").desc(), "chunk_id")
-    rest = flagged.withColumn("score", rest_score).withColumn("_rn", F.row_number().over(best)).filter(F.col("_rn") <= k)
-    rest = flags.join(rest.select("asks", "urgent", "chunk_id", "doc_id", "score"), ["asks", "urgent"])
-    cols = ["question_id", "chunk_id", "doc_id", "score"]
-    both = scored.select(cols).unionByName(rest.select(cols)).groupBy("question_id", "chunk_id").agg(F.max("score").alias("score"), F.first("doc_id").alias("doc_id"))
-    return _top(both.filter("score <> 0"), k)
-
-
-def lexical_top_k(chunks: DataFrame, questions: DataFrame, k: int = 8, authority: float = 0.0, registry: float = 0.0) -> DataFrame:
-    """Token overlap, optionally with an authority bonus and a registry penalty."""
-    tokens = T.tokens(F.col("text"), ())
-    held = chunks.select("chunk_id", "doc_id", "authority", "registry", tokens.alias("tokens"))
-    asked = questions.select("question_id", tokens.alias("tokens"))
-    both = overlaps(held, asked, ["doc_id", "authority", "registry"])
-    score = F.col("overlap") + F.col("authority") * authority - F.when(F.col("registry"), registry).otherwise(0.0)
-    return _top(both.withColumn("score", F.round(score, 4)).select("question_id", "chunk_id", "doc_id", "score"), k)
+    combos = F.array(*[F.struct(*[F.lit(bool(v)).alias(n) for v, n in zip(c, [*asks, "urgent"])]) for c in product((0, 1), repeat=n_topics + 1)])
+    flagged = first.withColumn("_c", F.explode(combos)).select("*", "_c.*").withColumn("score", link + bonus)
+    best = Window.partitionBy(*asks, "urgent").orderBy(F.col("score").desc(), "chunk_id")
+    rest = flagged.withColumn("_rn", F.row_number().over(best)).filter(F.col("_rn") <= k)
+    rest = flags.join(rest.select(*asks, "urgent", "chunk_id", "doc_id", "score"), [*asks, "urgent"]).select(cols)
+    both = scored.unionByName(rest).groupBy("question_id", "chunk_id").agg(F.max("score").alias("score"), F.first("doc_id").alias("doc_id"))
+    return _top(both.filter("score <> 0").select(cols), k)
 
 
 def _top(scored: DataFrame, k: int) -> DataFrame:

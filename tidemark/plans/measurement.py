@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark import rules
 from tidemark.functions import cleaning as C
+from tidemark.functions.text import bind
 from tidemark.operators import keepfirst, series as S, skew
 from tidemark.plans.registry import query
 from tidemark.sources.views import AS_OF
@@ -428,16 +429,19 @@ def prj22(t):
             F.when(F.col("k") % 13 == 0, "x").alias("extra"),
         )).alias("payload"),
     )
-    fields = F.from_json("payload", "map<string,string>")
-    text = F.element_at("f", F.lit("systo"))
+    checked = raw.withColumn("bad", bind(F.from_json("payload", "map<string,string>"), input_violations))
+    return checked.filter(F.size("bad") > 0).select("doc", F.array_join("bad", ",").alias("violations"))
+
+
+def input_violations(given):
+    """Unknown, missing, non-numeric and out-of-bounds fields of one scoring input."""
+    text = F.element_at(given, F.lit("systo"))
     number = C.to_number(text)
-    bad = F.array_compact(F.array(
-        F.when(F.size(F.array_except(F.map_keys("f"), F.array(F.lit("systo")))) > 0, "unknown_field"),
+    return F.array_compact(F.array(
+        F.when(F.size(F.array_except(F.map_keys(given), F.array(F.lit("systo")))) > 0, "unknown_field"),
         F.when(text.isNull(), "missing:systo"), F.when(text.isNotNull() & number.isNull(), "not_numeric:systo"),
         F.when((number < 3) | (number > 90), "out_of_bounds:systo"),
     ))
-    checked = raw.withColumn("f", fields).withColumn("bad", bad)
-    return checked.filter(F.size("bad") > 0).select("doc", F.array_join("bad", ",").alias("violations"))
 
 
 @query("prj23_exclude_synthetic", "SELECT source, count(*) AS n FROM {measurements} m WHERE source <> 'synthetic' GROUP BY source")

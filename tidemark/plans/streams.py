@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import cleaning as C
-from tidemark.operators import curve as V, govern as G, series as S
+from tidemark.operators import curve as V, govern as G, series as S, skew
 from tidemark.plans import measurement as M
 from tidemark.plans.registry import query
 from tidemark.session import fresh_path
@@ -96,7 +96,8 @@ def st3(t):
     rows = replay(t).filter("source <> 'synthetic'").select("participant_id", "ts", "value")
 
     def analyse(h):
-        recent = h.withColumn("_end", F.max("ts").over(M_window())).filter(F.col("ts") >= F.col("_end") - F.expr("INTERVAL 90 DAYS")).drop("_end")
+        ends = h.groupBy("participant_id").agg(F.max("ts").alias("_end"))
+        recent = skew.salted_join(h, ends, ["participant_id"], ["ts"], "inner", 8).filter(F.col("ts") >= F.col("_end") - F.expr("INTERVAL 90 DAYS")).drop("_end")
         packed = V.packed(V.clean_series(S.daily(recent, ["participant_id"]), ["participant_id"]), ["participant_id"])
         return V.analysed(packed, ["participant_id"], 7).select("participant_id", "n_days", "long_term_trend", "trend_strength", "selected", "available")
 
@@ -122,8 +123,3 @@ def st7(t):
     I.run_batches(I.time_policy(whole(t), now, high, 86400).select("measurement_id", "route"), I.batch_writer(out), mark)
     return t.spark.read.parquet(out).groupBy("route").agg(F.count(F.lit(1)).alias("n"))
 
-
-def M_window():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("participant_id")
