@@ -24,7 +24,10 @@ def lines(x, y, w):
 
 
 def row_median(values, mask):
-    return np.nanmedian(np.where(mask, values, np.nan), axis=1)
+    """Median of the masked entries per row; every row has at least one."""
+    ordered, n = np.sort(np.where(mask, values, np.inf), axis=1), mask.sum(axis=1)
+    rows = np.arange(len(n))
+    return (ordered[rows, (n - 1) // 2] + ordered[rows, n // 2]) / 2.0
 
 
 def huber_lines(x, y, mask):
@@ -43,8 +46,11 @@ def state_filter(x, y, ends):
     """Local level and slope after each prefix; innovations are clipped at three noise levels."""
     steps = np.maximum(np.diff(x), 1e-6)
     rates = np.diff(y) / steps
-    slope = np.array([np.median(rates[max(0, e - 8) : e - 1]) if e > 1 else 0.0 for e in ends])
-    noise = np.array([max(1.4826 * np.median(np.abs(y[:e] - np.median(y[:e]))), 1e-3) for e in ends])
+    known = np.arange(len(y))[None, :] < ends[:, None]
+    middle = row_median(y[None, :], known)
+    noise = np.maximum(1.4826 * row_median(np.abs(y[None, :] - middle[:, None]), known), 1e-3)
+    back = ends[:, None] - 2 - np.arange(len(rates))[None, :]
+    slope = row_median(rates[None, :], (back >= 0) & (back < 7)) if len(rates) else np.zeros(len(ends))
     level = np.full(len(ends), y[0], dtype=float)
     for i in range(1, int(max(ends))):
         on = ends > i

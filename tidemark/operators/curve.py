@@ -30,7 +30,7 @@ def packed(series: DataFrame, keys: list[str], least: int = 7) -> DataFrame:
     grouped = numbered.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("x", "v"))).alias("_a"), F.max("day").alias("last_day")
     )
-    return grouped.select(*keys, "last_day", F.col("_a.x").alias("xs"), F.col("_a.v").alias("ys"))
+    return spread(grouped.select(*keys, "last_day", F.col("_a.x").alias("xs"), F.col("_a.v").alias("ys")), keys)
 
 
 def clean_series(daily: DataFrame, keys: list[str], bounds: Column | None = None) -> DataFrame:
@@ -46,6 +46,11 @@ def _schema(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
 
+def spread(series: DataFrame, keys: list[str]) -> DataFrame:
+    """Packed series are small but costly to fit, so they go to as many tasks as a shuffle has, not to a few large ones."""
+    return series.repartition(int(series.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def fitted(series: DataFrame) -> DataFrame:
     """Robust trend, rolling-origin tests and 30 future days of every model, one row per series."""
 

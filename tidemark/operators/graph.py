@@ -121,24 +121,21 @@ def ranked_edges(edges: DataFrame, hops: DataFrame, context: DataFrame, question
     for end in ("source", "target"):
         base = base.join(marked.select(F.col("node").alias(end), F.col("ctx").alias(f"ctx_{end}")), end, "left")
     fixed = priority + 3 * F.coalesce(F.col("ctx_source"), F.col("ctx_target"), F.lit(0)) - 5 * F.coalesce("clash", F.lit(0))
-    base = base.select("source", "target", "type", "strength", "evidence", fixed.cast("double").alias("fixed"),
-                       T.tokens(F.concat_ws(" ", "source", "target", "evidence"), ()).alias("edge_tokens"))
+    edge = ["source", "target", "type", "strength", "evidence", "fixed"]
+    base = base.select(*edge[:-1], fixed.cast("int").alias("fixed"))
+    reached = hops.groupBy("node").agg(F.collect_list(F.struct("question", "hop")).alias("_q"))
     near = None
     for end in ("source", "target"):
-        part = salted_join(base, hops.groupBy("node").agg(F.collect_list(F.struct("question", "hop")).alias("_q")).withColumnRenamed("node", end), [end], ["type", "source", "target"], "inner", 4)
-        part = part.select(*base.columns, F.explode("_q").alias("_h")).select(*base.columns, "_h.*")
+        part = salted_join(base, reached.withColumnRenamed("node", end), [end], ["type", "source", "target"], "inner", 4)
+        part = part.select(*edge, F.explode("_q").alias("_h")).select(*edge, "_h.*")
         near = part if near is None else near.unionByName(part)
-    edge = ["question", "source", "target", "type"]
-    one = near.groupBy(*edge).agg(
-        F.min("hop").alias("hop"), F.first("strength").alias("strength"), F.first("evidence").alias("evidence"),
-        F.first("fixed").alias("fixed"), F.first("edge_tokens").alias("edge_tokens"),
-    ).join(questions, "question")
-    shared = F.size(F.array_intersect("edge_tokens", "question_tokens"))
+    one = near.groupBy("question", *edge).agg(F.min("hop").alias("hop")).join(questions, "question")
+    shared = F.size(F.array_intersect(T.tokens(F.concat_ws(" ", "source", "target", "evidence"), ()), "question_tokens"))
     score = F.round(F.col("fixed") + F.when(F.col("hop") == 0, 2).otherwise(0) + shared * 0.2, 4)
     order = Window.partitionBy("question").orderBy(
         F.col("score").desc(), (F.col("strength") == "high").desc(), (F.col("type") != "mentions").desc(), "source", "target", "type"
     )
-    return one.withColumn("score", score).withColumn("position", F.row_number().over(order)).filter(F.col("position") <= n).drop("fixed", "edge_tokens", "question_tokens")
+    return one.withColumn("score", score).withColumn("position", F.row_number().over(order)).filter(F.col("position") <= n).drop("fixed", "question_tokens")
 
 
 def visible(pre_status: Column, kind: Column, legacy: Column, audience: str, source_gate: str) -> Column:

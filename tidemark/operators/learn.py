@@ -61,9 +61,9 @@ def prepare(train: DataFrame, columns: list[str]) -> Prepared:
 
 
 def ridge(train: DataFrame, label: str, alpha: float = 10.0):
-    """Ridge with penalty alpha on the sum of squares (Spark's own loss is the mean, hence the division)."""
-    n = train.count()
-    return LinearRegression(featuresCol="features", labelCol=label, regParam=alpha / n, elasticNetParam=0.0, standardization=False, solver="normal").fit(train)
+    """Ridge with penalty alpha on the summed squares; Spark's loss is a mean and its penalty is divided by the label's spread."""
+    row = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(label).alias("sd")).first()
+    return LinearRegression(featuresCol="features", labelCol=label, regParam=alpha * row["sd"] / row["n"], elasticNetParam=0.0, standardization=False, solver="normal").fit(train)
 
 
 def balanced(df: DataFrame, label: str) -> DataFrame:

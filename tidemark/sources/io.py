@@ -42,7 +42,7 @@ def json_arrays(spark: SparkSession, path: str, schema: str, whole_file: bool =
 
 def text_corpus(spark: SparkSession, path: str) -> DataFrame:
     """One row per file: file name and whole text."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.regexp_extract(F.col("_metadata.file_name"), r"([^/]+)$", 1).alias("file"), F.col("value").alias("text"))
 
 
