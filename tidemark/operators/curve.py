@@ -7,7 +7,7 @@ expressions again. Nothing is shuffled after the series are packed.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,11 +16,7 @@ from tidemark.functions import fits
 from tidemark.operators.series import day_number, fluctuation_band, mad_clean, trend_class
 
 STEPS = tuple(range(1, 31))
-FIT_COLUMNS = (
-    "slope double, intercept double, resid_std double, recent_slope double, "
-    "tests array<struct<model:string,lead:array<double>,actual:array<double>,predicted:array<double>>>, "
-    "future array<struct<model:string,predicted:array<double>>>"
-)
+TREND = ("slope", "intercept", "resid_std", "recent_slope")
 
 
 def packed(series: DataFrame, keys: list[str], least: int = 7) -> DataFrame:
@@ -47,29 +43,46 @@ def _schema(df: DataFrame) -> str:
 
 
 def spread(series: DataFrame, keys: list[str]) -> DataFrame:
-    """Packed series are small but costly to fit, so they go to as many tasks as a shuffle has, not to a few large ones."""
-    return series.repartition(int(series.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    """Packed series are small but costly to fit, so they go to as many tasks as a shuffle has.
+
+    The hash of the keys is used because partitioning by the keys themselves is already given, would be optimised away,
+    and would then be merged into a few tasks by size.
+    """
+    return series.repartition(int(series.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*keys))
 
 
 def fitted(series: DataFrame) -> DataFrame:
-    """Robust trend, rolling-origin tests and 30 future days of every model, one row per series."""
+    """Robust trend, rolling-origin tests and 30 future days of every model, one row per series.
+
+    The Arrow pass returns flat number arrays; they become named structs in Spark.
+    """
+    lists = ["lead", "actual", *[f"test_{m}" for m in fits.MODELS], *[f"next_{m}" for m in fits.MODELS]]
+    none = np.array([], dtype=float)
 
     def run(batches):
         for batch in batches:
-            out = []
-            for xs, ys in zip(batch["xs"], batch["ys"]):
-                x, y = np.asarray(xs, dtype=float), np.asarray(ys, dtype=float)
-                row = dict(zip(("slope", "intercept", "resid_std", "recent_slope"), map(float, fits.trend_fit(x, y))))
+            columns = {n: [] for n in (*TREND, *lists)}
+            for xs, ys in zip(batch.column("xs"), batch.column("ys")):
+                x, y = xs.values.to_numpy(zero_copy_only=False), ys.values.to_numpy(zero_copy_only=False)
+                for name, value in zip(TREND, fits.trend_fit(x, y)):
+                    columns[name].append(float(value))
                 tested = fits.rolling_origins(x, y) if len(y) >= 8 else None
-                row["tests"] = [] if tested is None else [
-                    {"model": m, "lead": tested[0], "actual": tested[1], "predicted": tested[2][m]} for m in fits.MODELS
-                ]
+                lead, actual, guesses = tested or (none, none, dict.fromkeys(fits.MODELS, none))
                 ahead = fits.predict(x, y, np.array([len(y)]), np.zeros(len(STEPS), dtype=int), x[-1] + np.array(STEPS, dtype=float))
-                row["future"] = [{"model": m, "predicted": ahead[m]} for m in fits.MODELS]
-                out.append(row)
-            yield pd.concat([batch.reset_index(drop=True), pd.DataFrame(out)], axis=1) if out else batch
-
-    return series.mapInPandas(run, f"{_schema(series)}, {FIT_COLUMNS}")
+                columns["lead"].append(lead)
+                columns["actual"].append(actual)
+                for m in fits.MODELS:
+                    columns[f"test_{m}"].append(guesses[m])
+                    columns[f"next_{m}"].append(ahead[m])
+            made = [pa.array(columns[n], pa.float64()) for n in TREND] + [pa.array(columns[n], pa.list_(pa.float64())) for n in lists]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *TREND, *lists])
+
+    schema = ", ".join([_schema(series), *[f"{n} double" for n in TREND], *[f"{n} array<double>" for n in lists]])
+    flat = series.mapInArrow(run, schema)
+    tests = F.array(*[F.struct(F.lit(m).alias("model"), F.col("lead"), F.col("actual"), F.col(f"test_{m}").alias("predicted")) for m in fits.MODELS])
+    future = F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"next_{m}").alias("predicted")) for m in fits.MODELS])
+    empty = F.slice(tests, 1, 0)
+    return flat.withColumn("tests", F.when(F.size("lead") > 0, tests).otherwise(empty)).withColumn("future", future).drop(*lists)
 
 
 def smoothed_rows(series: DataFrame, keys: list[str]) -> DataFrame:

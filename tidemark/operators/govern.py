@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.skew import quantiles
+from tidemark.operators.skew import quantiles, salted_join
 
 
 def participant_table(rows: DataFrame, id_: str = "participant_id", ts: str = "ts") -> DataFrame:
@@ -138,7 +138,7 @@ def followups_closed(followups: DataFrame, results: DataFrame, keys: list[str],
     """
     per_day = results.groupBy(*keys, F.to_date("ts").alias("_day")).agg(F.max("ts").alias("_hi"))
     due = followups.withColumn("_day", F.explode(F.sequence(F.to_date("due_ts"), F.date_add(F.to_date("due_ts"), days))))
-    joined = due.join(per_day, keys + ["_day"], "left")
+    joined = salted_join(due, per_day, keys + ["_day"], ["followup_id"], "left", 8)
     # on the due day only a reading after the due instant counts, so the day's last reading decides
     done = joined.groupBy("followup_id", *keys, "due_ts").agg(F.min(F.when(F.col("_hi") > F.col("due_ts"), F.col("_day"))).alias("closed_day"))
     return done.withColumn("status", F.when(F.col("closed_day").isNull(), "scheduled").otherwise("completed"))

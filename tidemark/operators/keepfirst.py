@@ -8,6 +8,7 @@ chunk its start, and the chunks are then resolved independently. A hot key is sp
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +27,10 @@ def _chain(times, start, gap: int):
 
 
 def kept_instants(df: DataFrame, keys: list[str], gap_seconds: int, chunk_seconds: int, ts: str = "ts") -> DataFrame:
-    """(keys, kept instant in microseconds). Equal instants of a key count as one."""
+    """(keys, kept instant in microseconds). Equal instants of a key count as one.
+
+    ``chunk_seconds`` bounds the instants held at once: a chunk of a key has at most as many as the clock resolves.
+    """
     gap, width = gap_seconds * 1_000_000, chunk_seconds * 1_000_000
     if width < gap:
         raise ValueError("a chunk must span at least one gap")
@@ -48,12 +52,25 @@ def kept_instants(df: DataFrame, keys: list[str], gap_seconds: int, chunk_second
     early = F.filter("_times", lambda t: t < F.col("_c") * width + gap)
     later = F.filter("_times", lambda t: t >= F.col("_c") * width + gap)
     entries = F.concat(early, F.slice(later, 1, 1))
-    exits = F.transform(entries, lambda e: F.element_at(_chain(F.col("_times"), e, gap), -1))
+
+    @F.pandas_udf("array<bigint>")
+    def exits(times: pd.Series, starts: pd.Series) -> pd.Series:
+        """Last kept instant of the chunk for every possible first one, filled from the end of the chunk."""
+        out = []
+        for t, s in zip(times, starts):
+            t = np.asarray(t, dtype=np.int64)
+            follow, last = np.searchsorted(t, t + gap), t.copy()
+            for i in range(len(t) - 1, -1, -1):
+                if follow[i] < len(t):
+                    last[i] = last[follow[i]]
+            out.append(last[np.searchsorted(t, np.asarray(s, dtype=np.int64))])
+        return pd.Series(out)
+
     after = chunks.select(*keys, (F.col("_c") - 1).alias("_c"), F.col("_first").alias("_next"))
     feeding = _null_safe_left(linked, after, keys + ["_c"]).filter(
         F.col("_open") | F.coalesce(F.col("_next") < F.col("_last") + gap, F.lit(False))
     )
-    tables = feeding.select(*keys, "_c", "_open", entries.alias("_entries"), exits.alias("_exits"))
+    tables = feeding.select(*keys, "_c", "_open", "_times", entries.alias("_entries")).withColumn("_exits", exits("_times", "_entries")).drop("_times")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema) + ", _c long, _start long"
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
