@@ -124,18 +124,25 @@ def ranked_edges(edges: DataFrame, hops: DataFrame, context: DataFrame, question
     edge = ["source", "target", "type", "strength", "evidence", "fixed"]
     base = base.select(*edge[:-1], fixed.cast("int").alias("fixed"))
     reached = hops.groupBy("node").agg(F.collect_list(F.struct("question", "hop")).alias("_q"))
-    near = None
+    met = base
     for end in ("source", "target"):
-        part = salted_join(base, reached.withColumnRenamed("node", end), [end], ["type", "source", "target"], "inner", 4)
-        part = part.select(*edge, F.explode("_q").alias("_h")).select(*edge, "_h.*")
-        near = part if near is None else near.unionByName(part)
-    one = near.groupBy("question", *edge).agg(F.min("hop").alias("hop")).join(questions, "question")
-    shared = F.size(F.array_intersect(T.tokens(F.concat_ws(" ", "source", "target", "evidence"), ()), "question_tokens"))
+        side = reached.select(F.col("node").alias(end), F.col("_q").alias(f"_{end}"))
+        met = salted_join(met, side, [end], ["type", "source", "target"], "left", 4)
+    none = F.array().cast("array<struct<question:bigint,hop:int>>")
+
+    def nearest(pairs: Column) -> Column:
+        # sorted by (question, hop): the first entry of each question is its nearer endpoint
+        return F.filter(pairs, lambda x, i: F.coalesce(F.get(pairs, i - 1)["question"] != x["question"], F.lit(True)))
+
+    pairs = F.array_sort(F.concat(F.coalesce("_source", none), F.coalesce("_target", none)))
+    words = T.tokens(F.concat_ws(" ", "source", "target", "evidence"), ())
+    one = met.select(*edge, words.alias("_words"), F.explode(T.bind(pairs, nearest)).alias("_h")).select(*edge, "_words", "_h.*").join(questions, "question")
+    shared = F.size(F.array_intersect("_words", "question_tokens"))
     score = F.round(F.col("fixed") + F.when(F.col("hop") == 0, 2).otherwise(0) + shared * 0.2, 4)
     order = Window.partitionBy("question").orderBy(
         F.col("score").desc(), (F.col("strength") == "high").desc(), (F.col("type") != "mentions").desc(), "source", "target", "type"
     )
-    return one.withColumn("score", score).withColumn("position", F.row_number().over(order)).filter(F.col("position") <= n).drop("fixed", "question_tokens")
+    return one.withColumn("score", score).withColumn("position", F.row_number().over(order)).filter(F.col("position") <= n).drop("fixed", "_words", "question_tokens")
 
 
 def visible(pre_status: Column, kind: Column, legacy: Column, audience: str, source_gate: str) -> Column:
