@@ -132,7 +132,8 @@ def region_seeds(t):
 
 @query("kg13_bounded_expansion", bfs_sql(NATION_SEEDS) + " SELECT question, node, hop FROM hops")
 def kg13(t):
-    return K.unpack(K.reach(t.edges, nation_seeds(t))).select("question", "node", "hop")
+    edges = t.stored(t.edges, "edges")
+    return K.unpack(K.reach(edges, nation_seeds(t))).select("question", "node", "hop")
 
 
 TOKENS_SQL = "list_distinct(regexp_extract_all(lower(source||' '||target||' '||evidence),'[a-z]{3,}'))"
@@ -146,10 +147,11 @@ RANKED = bfs_sql(REGION_SEEDS) + f""", ed AS (SELECT * FROM {{edges}} y), cf AS
 
 
 def ranked(t):
-    hops = K.unpack(K.reach(t.edges, region_seeds(t)))
+    edges = t.stored(t.edges, "edges")
+    hops = K.unpack(K.reach(edges, region_seeds(t)))
     context = t.part.filter("p_size = 1").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("node"))
     questions = t.region.select(F.col("r_regionkey").cast("long").alias("question"), F.array(F.lit("part"), F.lit("src")).alias("question_tokens"))
-    return K.ranked_edges(t.edges, hops, context, questions, K.conflicts(t.edges))
+    return K.ranked_edges(edges, hops, context, questions, K.conflicts(edges))
 
 
 @query("kg14_edge_priority", RANKED)

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import fresh_path
+
 SCHEMAS = {
     "events": "event_id long, ts timestamp, user_id long, event_type string, value double, props string",
     "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, "
@@ -50,6 +52,12 @@ class Study:
             return self.table(name)
         raise AttributeError(name)
 
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        """A derived table that a query reads several times, written once to the shared folder."""
+        path = fresh_path(self.spark, name)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     @property
     def measurements(self) -> DataFrame:
         return measurement_rows(self.events)
