@@ -23,6 +23,7 @@ COVERAGE = 0.5
 #: Bits of the fixed-size filter that spares non-seeds the shuffle (2 MB); it decides nothing.
 FILTER_BITS = 1 << 24
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def _windows(words: np.ndarray, free: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -32,10 +33,11 @@ def _windows(words: np.ndarray, free: np.ndarray, size: int) -> tuple[np.ndarray
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     open_runs = np.concatenate(([0], np.cumsum(free)))
     at = np.flatnonzero(open_runs[size:] - open_runs[:-size] == size)
-    power = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(len(words), _BASE))))
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words[::-1] * power[: len(words)])))[::-1]
-    # total[i] is the hash of words[i:] read backwards, so a run is a difference scaled to the same power
-    return (total[at] - total[at + size]) * power[at], at
+    power = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(len(words) - 1, _BASE))))
+    back = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(len(words) - 1, _BACK))))
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * power)))
+    # a run's sum, scaled back to position 0
+    return (total[at + size] - total[at]) * back[at], at
 
 
 def _longest(a: np.ndarray, b: np.ndarray, free_a: np.ndarray, free_b: np.ndarray, least: int) -> int:
