@@ -1,8 +1,9 @@
 """MinHash near-dedup whose banded candidates are compared by odd sketches and confirmed on full shingle sets.
 
-A document's set holds its distinct 5-word shingles. K minima of the set under K hash functions give 21 band keys of six
-minima; the same minima, each toggling one bit of a short bitmap, give the odd sketch: minima that two documents share
-cancel in the XOR of their sketches, so its population count tells how many differ, most precisely near similarity 1.
+A document's set holds its distinct 5-word shingles. Minima of the set under 126 hash functions give 21 band keys of six
+minima. Documents that share a key get an odd sketch: 1,024 minima, each toggling one bit of a bitmap. Minima that two
+documents share cancel in the XOR of their sketches, so its population count tells how many differ, most precisely near
+similarity 1: pairs that cannot reach the threshold are put aside without their sets, all others are confirmed on them.
 """
 
 from __future__ import annotations
@@ -21,13 +22,13 @@ from tidemark.llm.near import near_components
 #: 21 bands of 6 minima: a pair of similarity 0.85 shares no band with probability 5e-5, one of 0.3 shares one in 66 cases.
 BANDS, ROWS = 21, 6
 MINIMA = BANDS * ROWS
-SKETCH_BITS = 512
-#: Five standard errors of the similarity that 126 minima estimate at 0.85 (0.032 each, sketch collisions included).
-SLACK = 0.17
+FOLDED, SKETCH_BITS = 1024, 4096
+#: Over four standard errors of the similarity that the folded minima estimate at 0.85 (0.011 each).
+SLACK = 0.05
 
 _rng = np.random.default_rng(20)
-_A = (_rng.integers(0, 1 << 32, MINIMA, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
-_B = _rng.integers(0, 1 << 32, MINIMA, dtype=np.uint64).astype(np.uint32)
+_A = (_rng.integers(0, 1 << 32, FOLDED, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
+_B = _rng.integers(0, 1 << 32, FOLDED, dtype=np.uint64).astype(np.uint32)
 _FOLD = _rng.integers(0, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -39,13 +40,13 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     return [np.unique(shingles[i : i + k]) for i, k in zip(at, n, strict=True)]
 
 
-def minima(sets: list[np.ndarray]) -> np.ndarray:
-    """The minima of non-empty sets, one row each."""
+def minima(sets: list[np.ndarray], count: int = MINIMA) -> np.ndarray:
+    """The first ``count`` minima of non-empty sets, one row each."""
     sizes = np.array([len(s) for s in sets])
     at = np.cumsum(sizes) - sizes
     x = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
-    out = np.empty((len(sets), MINIMA), np.uint32)
-    for k in range(MINIMA):
+    out = np.empty((len(sets), count), np.uint32)
+    for k in range(count):
         out[:, k] = np.minimum.reduceat(x * _A[k] + _B[k], at)
     return out
 
@@ -59,15 +60,16 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 def odd_sketches(signature: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
     """Parity bitmaps: the bit of every (number, minimum) is toggled."""
-    place = mix(signature.astype(np.uint64) + (np.arange(MINIMA, dtype=np.uint64) << np.uint64(32))) % np.uint64(bits)
-    parity = np.zeros((len(signature), bits), np.uint8)
-    np.add.at(parity, (np.arange(len(signature))[:, None], place.astype(np.int64)), 1)
-    return np.packbits(parity & 1, axis=1)
+    numbers = np.arange(signature.shape[1], dtype=np.uint64) << np.uint64(32)
+    place = (mix(signature.astype(np.uint64) + numbers) % np.uint64(bits)).astype(np.int64)
+    place += np.arange(len(signature))[:, None] * bits
+    parity = np.bincount(place.ravel(), minlength=len(signature) * bits).reshape(len(signature), bits) & 1
+    return np.packbits(parity.astype(np.uint8), axis=1)
 
 
 _LIKENESS = np.full(SKETCH_BITS + 1, -1.0)
 _odd = np.arange(SKETCH_BITS // 2)
-_LIKENESS[: SKETCH_BITS // 2] = 1 - np.log1p(-2 * _odd / SKETCH_BITS) / (2 * np.log1p(-2 / SKETCH_BITS)) / MINIMA
+_LIKENESS[: SKETCH_BITS // 2] = 1 - np.log1p(-2 * _odd / SKETCH_BITS) / (2 * np.log1p(-2 / SKETCH_BITS)) / FOLDED
 
 
 def likeness(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -87,23 +89,23 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = [blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             full = [i for i, s in enumerate(sets) if len(s)]
             bands: list = [None] * len(sets)
-            sketches: list = [None] * len(sets)
             if full:
-                signature = minima([sets[i] for i in full])
-                for i, b, s in zip(full, band_keys(signature).tolist(), odd_sketches(signature), strict=True):
-                    bands[i], sketches[i] = b, s.tobytes()
+                for i, b in zip(full, band_keys(minima([sets[i] for i in full])).tolist(), strict=True):
+                    bands[i] = b
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id")[lo:hi], batch.column("mark")[lo:hi], pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                ["doc_id", "mark", "n_shingles", "set_key", "bands", "sketch"])
+                 pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                ["doc_id", "mark", "n_shingles", "set_key", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = binary_lists(batch.column("text"))
         for lo, hi in slices(texts):
-            sets = [s.tobytes() for s in shingle_sets(texts[lo:hi])]
-            yield pa.RecordBatch.from_arrays([batch.column("id")[lo:hi], pa.array(sets, pa.binary())], ["id", "content"])
+            sets = shingle_sets(texts[lo:hi])
+            sketches = [s.tobytes() for s in odd_sketches(minima(sets, FOLDED))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id")[lo:hi], pa.array(sketches, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "sketch", "content"])
 
 
 def agreement(percent: int):
@@ -131,25 +133,25 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     spark = ready(docs.sparkSession)
     text = text_bytes("text")
     rows = docs.select("doc_id", F.xxhash64(text).alias("mark"), text.alias("text"))
-    rows = store(rows.mapInArrow(_features, "doc_id long, mark long, n_shingles long, set_key binary, bands array<long>, sketch binary"), "shingled")
+    rows = store(rows.mapInArrow(_features, "doc_id long, mark long, n_shingles long, set_key binary, bands array<long>"), "shingled")
     first = rows.where("n_shingles > 0").groupBy("set_key").agg(
         F.min_by(F.struct("doc_id", "mark"), F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("at"))
     first = first.select("set_key", "at.*", F.monotonically_increasing_id().alias("id"))
     first = store(first, "distinct-sets")
-    sketched = rows.where("n_shingles > 0").select("set_key", "doc_id", "mark", "bands", "sketch").alias("r")
+    sketched = rows.where("n_shingles > 0").select("set_key", "doc_id", "mark", "bands").alias("r")
     own = first.alias("f")
     sketched = sketched.join(
-        own, F.expr("r.set_key = f.set_key and r.doc_id <=> f.doc_id and r.mark = f.mark")).select("f.id", "r.bands", "r.sketch")
+        own, F.expr("r.set_key = f.set_key and r.doc_id <=> f.doc_id and r.mark = f.mark")).select("f.id", "r.bands")
     sketched = store(sketched.dropDuplicates(["id"]), "signatures")
     members = sketched.select(F.explode("bands").alias("bucket"), "id")
 
-    def contents(ids: DataFrame) -> DataFrame:
+    def details(ids: DataFrame) -> DataFrame:
         wanted = first.join(ids, "id", "left_semi").select("id", F.col("doc_id").alias("at_doc"), F.col("mark").alias("at_mark"))
         found = docs.select("doc_id", F.xxhash64(text).alias("mark"), text.alias("text"))
         found = found.join(wanted, F.expr("doc_id <=> at_doc and mark = at_mark")).select("id", "text")
-        return found.mapInArrow(_sets, "id long, content binary").dropDuplicates(["id"])
+        return found.mapInArrow(_sets, "id long, sketch binary, content binary").dropDuplicates(["id"])
 
-    linked = near_components(members, sketched.select("id", "sketch"), contents, likeness, percent / 100 - SLACK, agreement(percent), "minhash")
+    linked = near_components(members, details, likeness, percent / 100 - SLACK, agreement(percent), "minhash")
     named = first.join(linked, "id", "left").select("set_key", "doc_id", F.coalesce("comp", "id").alias("comp"))
     named = store(named, "named-sets")
     smallest = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))

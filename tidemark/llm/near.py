@@ -87,8 +87,7 @@ def crowded_buckets(members: DataFrame, name: str) -> DataFrame:
 
 def near_components(
     members: DataFrame,
-    sketches: DataFrame,
-    contents: Callable[[DataFrame], DataFrame],
+    details: Callable[[DataFrame], DataFrame],
     similar: Similarity,
     floor: float,
     agree: Callable[[bytes, bytes], bool],
@@ -96,14 +95,14 @@ def near_components(
 ) -> DataFrame:
     """Components ``(id, comp)`` of the items that have a confirmed link to another item; ``comp`` is the smallest id.
 
-    ``members``: ``(bucket, id)``, at most one row of an id in a bucket. ``sketches``: ``(id, sketch)``. ``contents(ids)`` gives
-    ``(id, content)`` for a table of ids. ``similar`` estimates similarity between rows of two sketch matrices; pairs under
+    ``members``: ``(bucket, id)``, at most one row of an id in a bucket. ``details(ids)`` gives ``(id, sketch, content)`` for a table
+    of ids; only items that share a bucket are asked for. ``similar`` estimates similarity between rows of two sketch matrices; pairs under
     ``floor`` are no candidates. ``agree`` decides a pair exactly on both contents.
     """
     crowded = crowded_buckets(members, name)
     held = crowded.select("id").distinct()
-    sketch = store(sketches.join(held, "id", "left_semi"), f"{name}-sketches")
-    content = store(contents(held), f"{name}-contents")
+    detail = store(details(held), f"{name}-details")
+    sketch, content = detail.select("id", "sketch"), detail.select("id", "content")
     pieces = F.ceil(F.col("n") / PIECE).cast("int")
     own = F.pmod(F.xxhash64("id"), pieces).cast("int").alias("piece")
     labels = tested = None
