@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -147,7 +148,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
         for k in keys:
             values = batch.column(k)
             if batch.num_rows > 1:
-                change[1:] |= ~np.asarray(pa.compute.equal(values[1:], values[:-1]).fill_null(False))
+                change[1:] |= ~np.asarray(pc.equal(values[1:], values[:-1]).fill_null(False))
         last = int(np.flatnonzero(change)[-1]) if change.any() else 0
         if last:
             yield pa.Table.from_batches([*held, batch.slice(0, last)])
