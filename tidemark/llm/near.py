@@ -80,9 +80,14 @@ def _confirm(agree: Callable[[bytes, bytes], bool]):
 
 
 def crowded_buckets(members: DataFrame, name: str) -> DataFrame:
-    """Rows ``(bucket, id, n, leader)`` of buckets with several members; the counts are combined before their shuffle."""
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1")
-    return store(members.join(sizes, "bucket"), f"{name}-buckets")
+    """Rows ``(bucket, id, n, leader)`` of buckets with several members; the counts are combined before their shuffle.
+
+    ``leader``: the smallest id of a bucket above ``PIECE`` members, else null.
+    """
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    crowded = store(members.join(sizes, "bucket"), f"{name}-buckets")
+    leaders = crowded.where(f"n > {PIECE}").groupBy("bucket").agg(F.min("id").alias("leader"))
+    return crowded.join(leaders, "bucket", "left")
 
 
 def near_components(

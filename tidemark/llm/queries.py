@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, minhash, mix, quality, tokens
+from tidemark.llm import decontaminate, embed, extract, lines, minhash, mix, quality, secrets, tokens, urls
 from tidemark.llm.common import ready, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,19 @@ def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_documents(tokens.write_ids(tables(spark, sf_dir, "documents")))
 
 
+@query("op3_secret_scan")
+def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document."""
+    docs = tables(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.fit(docs))
+
+
+@query("op4_url_filter")
+def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the url of every page."""
+    return urls.judge(tables(spark, sf_dir, "pages"))
+
+
 @query("op5_quality")
 def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
@@ -53,6 +66,24 @@ def benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(docs, tables(spark, sf_dir, "benchmark")).drop("mark")
 
 
+@query("op7_line_dedup")
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that every document loses."""
+    return lines.dedup_lines(tables(spark, sf_dir, "documents")).drop("mark")
+
+
+@query("op8_embedding_dedup")
+def embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+    return embed.near_vectors(tables(spark, sf_dir, "embeddings"))
+
+
+@query("op9_main_text")
+def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract.extract(tables(spark, sf_dir, "pages"))
+
+
 @query("op10_minhash_dedup")
 def minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-copy component of every document."""
