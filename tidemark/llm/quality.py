@@ -146,7 +146,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     chosen = chosen.orderBy(*order).limit(TRAIN_ROWS)
     rows = docs.select("doc_id", text_bytes("text").alias("text")).join(F.broadcast(chosen), "doc_id")  # at most TRAIN_ROWS small rows
     rows = rows.orderBy(*order, F.xxhash64("text")).limit(TRAIN_ROWS).select("text", "quality")
-    return np.frombuffer(rows.coalesce(1).mapInArrow(_learn, "weights binary").first()["weights"], np.float32)
+    found = rows.coalesce(1).mapInArrow(_learn, "weights binary").first()
+    return np.frombuffer(found["weights"], np.float32) if found else np.zeros((1 << BITS) + 1, np.float32)
 
 
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:

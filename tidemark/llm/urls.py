@@ -27,7 +27,7 @@ RULES = [
     ("block", "net", "/fr/"),
 ]
 #: A url whose segmented names hold one of these words is a labelled example of what to block.
-SEEDS = frozenset("ads bet bets betting casino gambling hack malware phishing pills poker porn sex slots spam viagra warez xxx".split())
+SEEDS = frozenset("ads adult bet bets betting casino gambling hack malware phishing pills poker porn sex slots spam viagra warez xxx".split())
 VOCABULARY = "word_bpe_49k.json"
 LONGEST, UNKNOWN = 20, -16.0
 
