@@ -252,7 +252,7 @@ def test_secret_rules_and_learned_spans(spark, empty):
         (1, f'é API_KEY = "{value}" and password: short token = token: abcdefghijklmnop'), (2, "AKIA" + "Q" * 14 + " AKIAQQ " + "0a" * 9), (3, None), (4, ""),
         (5, f"the bearer is {value} here"), (6, "plain words only, nothing-to-see"), (6, "plain words only, nothing-to-see")]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    network = secrets.fit(frame)
+    network = secrets.fit(frame.where("doc_id != 5"))
     got = {r.doc_id: r for r in secrets.scan(frame, network).collect()}
     text = rows[0][1]
     at = text.index("API_KEY")
