@@ -20,6 +20,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_CUT = re.compile(rb"[\x20\x09-\x0D]")
 _SAME = np.arange(256, dtype=np.uint8)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _WIDTH = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
@@ -51,35 +52,35 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
+def run_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte runs ``raw[starts:ends]``."""
+    power, inverse = _tables(len(raw))
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)], out=total[1:])
+    hashes = (total[ends] - total[starts]) * inverse[starts]
+    hashes += (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return mix(hashes)
+
+
 def _hash_block(pieces: list[bytes], fold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    data = b"\n".join(pieces) + b"\n"
-    raw = np.frombuffer(data, np.uint8)
+    raw = np.frombuffer(b"\n".join(pieces) + b"\n", np.uint8)
     space = _SPACE[raw]
     before = np.empty_like(space)
     before[0] = True
     before[1:] = space[:-1]
     starts = np.flatnonzero(before & ~space)
     ends = np.flatnonzero(space & ~before)
-    power, inverse = _tables(len(raw))
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((fold[raw].astype(np.uint64) + np.uint64(1)) * power[: len(raw)], out=total[1:])
-    hashes = (total[ends] - total[starts]) * inverse[starts]
-    hashes += (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
     at = np.cumsum([0] + [len(p) + 1 for p in pieces])
-    return mix(hashes), np.diff(np.searchsorted(starts, at))
-
+    return run_hashes(fold[raw], starts, ends), np.diff(np.searchsorted(starts, at))
 
-def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of all texts in order, and the number of words of each text.
 
-    Works block by block, so its memory does not follow the length of a text.
-    """
-    fold = _LOWER if lower else _SAME
+def cut_long(texts: list[bytes]) -> tuple[list[bytes], list[int]]:
+    """Texts cut at white space into pieces of about a block, and the text each piece is of (at least one for each text)."""
     pieces, owner = [], []
     for i, text in enumerate(texts):
         at = 0
         while len(text) - at > BLOCK:
-            cut = re.compile(rb"[\x20\x09-\x0D]").search(text, at + BLOCK)
+            cut = _CUT.search(text, at + BLOCK)
             if cut is None:
                 break
             pieces.append(text[at : cut.start()])
@@ -87,6 +88,16 @@ def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.
             at = cut.end()
         pieces.append(text[at:] if at else text)
         owner.append(i)
+    return pieces, owner
+
+
+def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of all texts in order, and the number of words of each text.
+
+    Works block by block, so its memory does not follow the length of a text.
+    """
+    fold = _LOWER if lower else _SAME
+    pieces, owner = cut_long(texts)
     hashes, counts = [], np.zeros(len(texts), np.int64)
     first, held = 0, 0
     for k, piece in enumerate(pieces):

@@ -14,7 +14,9 @@ Shards follow one another in ascending doc_id order. Columns other than ``planes
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,13 +26,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import binary_lists, ready, store, text_bytes
+from tidemark.llm.common import binary_lists, cut_long, ready, run_hashes, slices, store, text_bytes
 
 CHUNK = 1 << 16
 END = 2
 LEVEL = 3
 #: Words whose ids a worker remembers; older ones are forgotten together. Longer words are never kept.
-MEMORY, MEMORY_BYTES = 300_000, 48
+MEMORY, MEMORY_BYTES = 1_000_000, 48
+#: Latin letters (composed, so normal forms leave them) and then ASCII marks but the apostrophe, which pre-tokens may start with.
+_PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]*)([!-&(-/:-@\[-`{-~]*)")
 FILE = "shard long, chunk long, first long, n_ids long, planes array<binary>, doc_ids array<long>, ends array<int>, opens boolean, goes_on boolean"
 
 
@@ -42,27 +46,116 @@ def _tokenizer(name: str):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(public_tokenizers.path(name)), {}
+    return Tokenizer.from_file(public_tokenizers.path(name)), {}, {}
+
+
+_KIND = np.full(256, 3, np.uint8)  # marks; letters, digits and white space follow
+_KIND[[9, 10, 11, 12, 13, 32]] = 0
+_KIND[65:91] = _KIND[97:123] = _KIND[128:] = 1
+_KIND[48:58] = 2
+_SHIFT = np.zeros(256, np.uint8)
+_SHIFT[65:91] = 32
+#: Bytes of texts on the run path: no apostrophes (contractions are pre-tokens), no controls, nothing beyond U+00FF.
+_FINE = bytes(b for b in [9, 10, 11, 12, 13, *range(32, 127), *range(0x80, 0xC0), 0xC3] if b != 39)
+_NOT_LETTERS = re.compile(rb"\xc3(?![\x80-\xbf])|\xc3[\x97\xb7]|(?<!\xc3)[\x80-\xbf]")
+
+
+def _odd(text: bytes) -> bool:
+    """Whether a text holds anything but ASCII and the letters U+00C0 to U+00FF, or apostrophes, controls or special tokens."""
+    return bool(text.translate(None, _FINE)) or b"<|" in text or not (text.isascii() or not _NOT_LETTERS.search(text))
+
+
+def _encode_words(words: list[bytes], tokenizer, parts: dict[bytes, bytes]) -> list[bytes]:
+    """Ids of whole words. A word of plain letters and then marks is two pre-tokens, each remembered in lower case."""
+    cut = [_PLAIN.fullmatch(w) for w in map(_text, words)]
+    pieces = [tuple(p for p in (m[1].lower(), m[2]) if p) if m else (_text(w),) for m, w in zip(cut, words, strict=True)]
+    new = list({p for some in pieces for p in some if p.encode() not in parts})
+    if len(parts) + len(new) > MEMORY:
+        parts.clear()
+        new = list({p for some in pieces for p in some})
+    parts.update(zip([p.encode() for p in new], _ids(tokenizer, new), strict=True))
+    out = [b"".join([parts[p.encode()] for p in some]) for some in pieces]
+    for p in new:
+        if len(p) > MEMORY_BYTES:
+            del parts[p.encode()]
+    return out
+
+
+def _text(word: bytes) -> str:
+    return word.decode("utf-8", "replace")
+
+
+def _ids(tokenizer, texts: list[str]) -> list[bytes]:
+    return [array("I", found.ids).tobytes() for found in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def _encode_plain(texts: list[bytes], tokenizer, parts: dict[bytes, bytes]) -> list[np.ndarray]:
+    """Ids of texts in which every run of letters, digits or marks is a pre-token (digits: several): distinct runs are encoded once."""
+    raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    folded = raw + _SHIFT[raw]
+    accent = np.flatnonzero(raw[:-1] == 0xC3) + 1
+    folded[accent[raw[accent] < 0x9F]] += 32
+    kind = _KIND[raw]
+    change = np.flatnonzero(kind[1:] != kind[:-1]) + 1
+    starts, ends = np.concatenate(([0], change)), np.concatenate((change, [len(raw)]))
+    real = kind[starts] > 0
+    starts, ends = starts[real], ends[real]
+    numbers, first, which = np.unique(run_hashes(folded, starts, ends), return_index=True, return_inverse=True)
+    data = folded.tobytes()
+    runs = [data[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+    new = [r for r in runs if r not in parts]
+    if len(parts) + len(new) > MEMORY:
+        parts.clear()
+        new = runs
+    parts.update(zip(new, _ids(tokenizer, [r.decode() for r in new]), strict=True))
+    found = [parts[r] for r in runs]
+    for r in new:
+        if len(r) > MEMORY_BYTES:
+            del parts[r]
+    size = np.array([len(f) // 4 for f in found], np.int64)
+    flat = np.frombuffer(b"".join(found), np.uint32)
+    total = size[which]
+    at = np.repeat((np.cumsum(size) - size)[which] - (np.cumsum(total) - total), total) + np.arange(total.sum())
+    begin = np.cumsum([len(x) + 1 for x in texts])
+    cuts = np.concatenate(([0], np.cumsum(total)))[np.searchsorted(starts, begin)]
+    return np.split(flat[at], cuts[:-1])
+
+
+def _encode_text(text: bytes, tokenizer, known: dict[bytes, bytes], parts: dict[bytes, bytes]) -> np.ndarray:
+    """Ids of any text, word by word: the pre-tokenizer cuts at white space."""
+    words = text.split()
+    new = [w for w in set(words) if w not in known]
+    if len(known) + len(new) > MEMORY:
+        known.clear()
+        new = list(set(words))
+    known.update(zip(new, _encode_words(new, tokenizer, parts), strict=True))
+    out = np.frombuffer(b"".join([known[w] for w in words]), np.uint32)
+    for w in new:
+        if len(w) > MEMORY_BYTES:
+            del known[w]
+    return out
 
 
 def encode(texts: list[bytes], name: str) -> Iterator[np.ndarray]:
-    """Token ids of each text. The vocabulary's pre-tokenizer cuts at white space, so words are encoded once and remembered."""
-    tokenizer, known = _tokenizer(name)
-    for text in texts:
-        words = text.split()
-        new = [w for w in set(words) if w not in known]
-        if new:
-            if len(known) + len(new) > MEMORY:
-                known.clear()
-                new = list(set(words))
-            found = tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            fresh = {w: np.array(x.ids, np.uint32).tobytes() for w, x in zip(new, found, strict=True)}
-            known.update(fresh)
-        yield np.frombuffer(b"".join([known[w] for w in words]), np.uint32)
-        if new:
-            for w in new:
-                if len(w) > MEMORY_BYTES:
-                    known.pop(w, None)
+    """Token ids of each text; distinct words and runs are encoded once and remembered, long texts go in blocks of words."""
+    tokenizer, known, parts = _tokenizer(name)
+    for lo, hi in slices(texts):
+        pieces, owner = cut_long(texts[lo:hi])
+        plain = [i for i, p in enumerate(pieces) if not _odd(p)]
+        out: list = [None] * len(pieces)
+        for a, b in slices([pieces[i] for i in plain]):
+            for i, ids in zip(plain[a:b], _encode_plain([pieces[i] for i in plain[a:b]], tokenizer, parts), strict=True):
+                out[i] = ids
+        for i, ids in enumerate(out):
+            if ids is None:
+                out[i] = _encode_text(pieces[i], tokenizer, known, parts)
+        at = 0
+        for k in range(hi - lo):
+            end = at
+            while end < len(owner) and owner[end] == k:
+                end += 1
+            yield out[at] if end == at + 1 else np.concatenate(out[at:end])
+            at = end
 
 
 def to_planes(ids: np.ndarray, width: int = 4) -> list[bytes]:
