@@ -108,17 +108,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [batch.column("id")[lo:hi], pa.array(sketches, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "sketch", "content"])
 
 
-def agreement(percent: int):
-    """Exact test on two shingle sets: 100 * intersection >= percent * union."""
-
-    def agree(x: bytes, y: bytes) -> bool:
-        a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        if min(len(a), len(b)) * 100 < percent * max(len(a), len(b)):
-            return False
-        both = len(np.intersect1d(a, b, assume_unique=True))
-        return 100 * both >= percent * (len(a) + len(b) - both)
-
-    return agree
+def as_set(content: bytes) -> np.ndarray:
+    return np.frombuffer(content, np.uint64)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -151,7 +142,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         found = found.join(wanted, F.expr("doc_id <=> at_doc and mark = at_mark")).select("id", "text")
         return found.mapInArrow(_sets, "id long, sketch binary, content binary").dropDuplicates(["id"])
 
-    linked = near_components(members, details, likeness, percent / 100 - SLACK, agreement(percent), "minhash")
+    linked = near_components(members, details, likeness, percent / 100 - SLACK, as_set, (percent, 100), "minhash")
     named = first.join(linked, "id", "left").select("set_key", "doc_id", F.coalesce("comp", "id").alias("comp"))
     named = store(named, "named-sets")
     smallest = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))

@@ -1,10 +1,10 @@
-"""Linking of near copies: banded buckets, sketch comparison inside bounded pieces of a bucket, exact confirmation, components.
+"""Linking of near copies: banded buckets, sketch comparison, exact comparison inside candidate clusters, components.
 
-Nobody lists all pairs of a bucket. A round sends every bucket, cut into pieces, through tasks that compare fixed-size
-sketches and give each member's most similar partners in *other* components; those pairs are confirmed on full contents and
-unite components. The next round sees only buckets that still hold several components. A pair leaves the game when its
-ends are in one component or when its confirmation failed, so in the end every candidate pair is either decided by an exact
-comparison or redundant: no link between components is lost, whatever the size of a bucket.
+Sketches decide which members of a bucket can reach the threshold at all; what hangs together that way is a cluster, in which
+every link must lie. Each cluster then meets once with the full sets of its members, cut into pieces. A piece compares its
+members exactly and gives a spanning star of what it found linked, never its pairs. Pieces of a large cluster share one
+member, so a tight group becomes one component at once; members that are still outside that component visit all other
+pieces in a second pass, which compares every pair that the first has left open. No link between components is lost.
 """
 
 from __future__ import annotations
@@ -19,75 +19,101 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import store, whole_groups
 from tidemark.llm.components import connected
 
-#: Members of a bucket that one task compares with one another.
+#: Members that one task compares with one another.
 PIECE = 256
 
 Similarity = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
-def _proposals(similar: Similarity, floor: float, width: int):
-    """Arrow pass over pieces: for each member the ``width`` most similar members of other components, ties by id."""
-
-    def piece(ids: np.ndarray, comps: np.ndarray, sketches: np.ndarray) -> list[tuple[int, int, bool]]:
-        first = np.unique(ids, return_index=True)[1]
-        ids, comps, sketches = ids[first], comps[first], sketches[first]
-        n = len(ids)
-        if n == 2:
-            if comps[0] != comps[1] and similar(sketches[:1], sketches[1:])[0, 0] >= floor:
-                return [(int(ids[0]), int(ids[1]), False)]
-            return []
-        found = []
-        for at in range(0, n, PIECE):
-            part = similar(sketches[at : at + PIECE], sketches)
-            part[comps[at : at + PIECE, None] == comps[None, :]] = -1
-            hits = (part >= floor).sum(axis=1)
-            for i in np.flatnonzero(hits):
-                best = np.argsort(-part[i], kind="stable")[: min(width, hits[i])]
-                more = bool(hits[i] > width)
-                for j in best:
-                    x, y = int(ids[at + i]), int(ids[j])
-                    found.append((min(x, y), max(x, y), more))
-                hub = part[i, 0]
-                if hub >= floor and 0 not in best:  # the smallest id: pulls a large piece together at once
-                    found.append((int(ids[0]), int(ids[at + i]), more))
-        return found
+def spread(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The smallest row that each of ``n`` rows reaches over the links ``x - y``."""
+    root = np.arange(n)
+    while True:
+        now = root.copy()
+        np.minimum.at(now, x, root[y])
+        np.minimum.at(now, y, root[x])
+        now = now[now]
+        if (now == root).all():
+            return root
+        root = now
+
+
+def _edges(ids: np.ndarray, root: np.ndarray) -> list[tuple[int, int]]:
+    moved = np.flatnonzero(root != np.arange(len(ids)))
+    return list(zip(ids[moved].tolist(), ids[root[moved]].tolist(), strict=True))
+
+
+def _batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*found, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _parts(table: pa.Table, keys: list[str]) -> Iterator[tuple[int, int]]:
+    change = np.zeros(table.num_rows, bool)
+    for k in keys:
+        values = table[k].to_numpy()
+        change[1:] |= values[1:] != values[:-1]
+    edge = np.flatnonzero(change)
+    yield from zip([0, *edge], [*edge, table.num_rows], strict=True)
+
+
+def _candidates(similar: Similarity, floor: float):
+    """Arrow pass over buckets: stars of members whose sketches may reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ["bucket", "piece"]):
-            bucket, part = table["bucket"].to_numpy(), table["piece"].to_numpy()
-            ids, comps = table["id"].to_numpy(), table["comp"].to_numpy()
+        for table in whole_groups(batches, ["bucket"]):
+            ids = table["id"].to_numpy()
             sketches = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(ids), -1)
-            edge = np.flatnonzero((bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1])) + 1
             found = []
-            for lo, hi in zip([0, *edge], [*edge, len(ids)], strict=True):
-                if hi - lo > 1:
-                    found += piece(ids[lo:hi], comps[lo:hi], sketches[lo:hi])
+            for lo, hi in _parts(table, ["bucket"]):
+                order = lo + np.argsort(ids[lo:hi])
+                x, y = np.nonzero(np.triu(similar(sketches[order], sketches[order]) >= floor, 1))
+                found += _edges(ids[order], spread(hi - lo, x, y))
             if found:
-                a, b, more = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(more, pa.bool_())], ["a", "b", "more"])
+                yield _batch(found)
 
     return run
 
 
-def _confirm(agree: Callable[[bytes, bytes], bool]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = zip(batch.column("content_a").to_pylist(), batch.column("content_b").to_pylist(), strict=True)
-            good = [agree(x, y) for x, y in rows]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(good, pa.bool_())], ["a", "b", "linked"])
+def shared(own: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of sorted sets of distinct numbers, one row per own set."""
+    number = np.repeat(np.arange(len(own)), [len(s) for s in own])
+    values = np.concatenate(own)
+    order = np.argsort(values, kind="stable")
+    values, number = values[order], number[order]
+    out = np.empty((len(own), len(others)), np.int64)
+    for j, other in enumerate(others):
+        lo, hi = np.searchsorted(values, other, "left"), np.searchsorted(values, other, "right")
+        size = hi - lo
+        at = np.repeat(lo, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        out[:, j] = np.bincount(number[at], minlength=len(own))
+    return out
 
-    return run
 
+def _links(as_set: Callable[[bytes], np.ndarray], least: tuple[int, int]):
+    """Arrow pass over pieces: stars of members that are linked exactly; guests are compared with the piece's own members."""
 
-def crowded_buckets(members: DataFrame, name: str) -> DataFrame:
-    """Rows ``(bucket, id, n, leader)`` of buckets with several members; the counts are combined before their shuffle.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["cluster", "piece"]):
+            every, comps, guest = table["id"].to_numpy(), table["comp"].to_numpy(), table["guest"].to_numpy()
+            contents, found = table["content"], []
+            for lo, hi in _parts(table, ["cluster", "piece"]):
+                order = lo + np.lexsort((guest[lo:hi], every[lo:hi]))
+                order = order[np.unique(every[order], return_index=True)[1]]  # a guest in its own piece stands there once
+                if len(order) < 2:
+                    continue
+                ids, comp = every[order], comps[order]
+                sets = [as_set(contents[int(i)].as_py()) for i in order]
+                size = np.array([len(s) for s in sets])
+                own = np.flatnonzero(~guest[order])
+                both = shared([sets[i] for i in own], sets)
+                near = (least[1] * both >= least[0] * (size[own, None] + size[None, :] - both)) & (comp[own, None] != comp[None, :])
+                x, y = np.nonzero(near)
+                found += _edges(ids, spread(len(ids), own[x], y))
+            if found:
+                yield _batch(found)
 
-    ``leader``: the smallest id of a bucket above ``PIECE`` members, else null.
-    """
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    crowded = store(members.join(sizes, "bucket"), f"{name}-buckets")
-    leaders = crowded.where(f"n > {PIECE}").groupBy("bucket").agg(F.min("id").alias("leader"))
-    return crowded.join(leaders, "bucket", "left")
+    return run
 
 
 def near_components(
@@ -95,62 +121,48 @@ def near_components(
     details: Callable[[DataFrame], DataFrame],
     similar: Similarity,
     floor: float,
-    agree: Callable[[bytes, bytes], bool],
+    as_set: Callable[[bytes], np.ndarray],
+    least: tuple[int, int],
     name: str,
 ) -> DataFrame:
-    """Components ``(id, comp)`` of the items that have a confirmed link to another item; ``comp`` is the smallest id.
+    """Components ``(id, comp)`` of the items that are linked to another item; ``comp`` is the smallest id.
 
     ``members``: ``(bucket, id)``, at most one row of an id in a bucket. ``details(ids)`` gives ``(id, sketch, content)`` for a table
-    of ids; only items that share a bucket are asked for. ``similar`` estimates similarity between rows of two sketch matrices; pairs under
-    ``floor`` are no candidates. ``agree`` decides a pair exactly on both contents.
+    of ids; only items that share a bucket are asked for. ``similar`` estimates similarity between rows of two sketch
+    matrices; pairs under ``floor`` are no candidates. ``as_set`` makes a sorted set of a content; two sets are linked if
+    their intersection over their union is at least ``least[0] / least[1]``.
     """
-    crowded = crowded_buckets(members, name)
-    held = crowded.select("id").distinct()
-    detail = store(details(held), f"{name}-details")
-    sketch, content = detail.select("id", "sketch"), detail.select("id", "content")
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    crowded = store(members.join(sizes, "bucket"), f"{name}-buckets")
+    detail = store(details(crowded.select("id").distinct()), f"{name}-details")
+    small = crowded.where(f"n <= {PIECE}").join(detail.select("id", "sketch"), "id").select("bucket", "id", "sketch")
+    stars = small.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_candidates(similar, floor), "a long, b long")
+    large = crowded.where(f"n > {PIECE}")  # taken whole: what is alike enough is decided on the sets
+    hubs = large.groupBy("bucket").agg(F.min("id").alias("b"))
+    stars = stars.union(large.join(hubs, "bucket").select(F.col("id").alias("a"), "b"))
+    clusters = connected(stars).select(F.col("node").alias("id"), F.col("root").alias("cluster"))
+    counts = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
+    clusters = store(clusters.join(counts, "cluster"), f"{name}-clusters")
     pieces = F.ceil(F.col("n") / PIECE).cast("int")
     own = F.pmod(F.xxhash64("id"), pieces).cast("int").alias("piece")
-    labels = tested = None
-    width = 1
-    while True:
-        if labels is None:
-            rows = crowded.select("bucket", own, "id", F.col("id").alias("comp"))
-            # the smallest id of a cut bucket joins all its pieces
-            guests = crowded.where(f"id = leader and n > {PIECE}").select(
-                "bucket", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"), "id", F.col("id").alias("comp"))
-        else:
-            known = labels.select(F.col("node").alias("id"), F.col("root").alias("comp"))
-            now = crowded.join(known, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-            mixed = now.groupBy("bucket").agg(
-                F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(F.expr("if(id = leader, comp, null)")).alias("home"))
-            now = now.join(mixed.where("low != high").select("bucket", "home"), "bucket")
-            rows = now.select("bucket", own, "id", "comp")
-            # of two components at least one is not the leader's: its members visit every piece
-            guests = now.where(f"comp != home and n > {PIECE}").select(
-                "bucket", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"), "id", "comp")
-        dealt = rows.union(guests).join(sketch, "id").select("bucket", "piece", "id", "comp", "sketch")
-        dealt = dealt.repartition("bucket", "piece").sortWithinPartitions("bucket", "piece")
-        pairs = dealt.mapInArrow(_proposals(similar, floor, width), "a long, b long, more boolean")
-        pairs = pairs.groupBy("a", "b").agg(F.max("more").alias("more"))
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b", F.lit(True).alias("old")), ["a", "b"], "left")
-        else:
-            pairs = pairs.withColumn("old", F.lit(None).cast("boolean"))
-        pairs = store(pairs, f"{name}-pairs")
-        fresh, cut = pairs.agg(F.count(F.expr("if(old is null, 1, null)")), F.max("more")).first()
-        if not fresh:
-            if not cut:
-                break
-            width *= 4
-            continue
-        left = content.select(F.col("id").alias("a"), F.col("content").alias("content_a"))
-        right = content.select(F.col("id").alias("b"), F.col("content").alias("content_b"))
-        checked = pairs.where("old is null").select("a", "b").join(left, "a").join(right, "b")
-        checked = checked.select("a", "b", "content_a", "content_b").mapInArrow(_confirm(agree), "a long, b long, linked boolean")
-        checked = store(checked, f"{name}-checked")
-        tested = checked if tested is None else tested.union(checked)
-        labels = connected(tested.where("linked").select("a", "b"))
-        width *= 4
-    if labels is None:
-        return crowded.select("id", F.col("id").alias("comp")).limit(0)
+    everywhere = F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece")
+
+    def linked(rows: DataFrame, guests: DataFrame) -> DataFrame:
+        rows = rows.select("cluster", own, "id", "comp", F.lit(False).alias("guest"))
+        rows = rows.union(guests.select("cluster", everywhere, "id", "comp", F.lit(True).alias("guest")))
+        rows = rows.join(detail.select("id", "content"), "id").select("cluster", "piece", "id", "comp", "guest", "content")
+        rows = rows.repartition("cluster", "piece").sortWithinPartitions("cluster", "piece")
+        return store(rows.mapInArrow(_links(as_set, least), "a long, b long"), f"{name}-links")
+
+    alone = clusters.withColumn("comp", F.col("id"))
+    found = linked(alone, alone.where(f"id = cluster and n > {PIECE}"))
+    labels = connected(found)
+    cut = clusters.where(f"n > {PIECE}")
+    if not cut.isEmpty():
+        now = cut.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
+        home = now.where("id = cluster").select("cluster", F.col("comp").alias("home"))
+        now = store(now.join(home, "cluster"), f"{name}-open")
+        outside = now.where("comp != home")
+        now = now.join(outside.select("cluster").distinct(), "cluster", "left_semi")
+        labels = connected(found.union(linked(now, outside)))
     return labels.select(F.col("node").alias("id"), F.col("root").alias("comp"))
