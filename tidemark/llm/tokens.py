@@ -32,7 +32,7 @@ CHUNK = 1 << 16
 END = 2
 LEVEL = 3
 #: Words whose ids a worker remembers; older ones are forgotten together. Longer words are never kept.
-MEMORY, MEMORY_BYTES = 1_000_000, 48
+MEMORY, MEMORY_BYTES = 500_000, 48
 #: Latin letters (composed, so normal forms leave them) and then ASCII marks but the apostrophe, which pre-tokens may start with.
 _PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]*)([!-&(-/:-@\[-`{-~]*)")
 FILE = "shard long, chunk long, first long, n_ids long, planes array<binary>, doc_ids array<long>, ends array<int>, opens boolean, goes_on boolean"
