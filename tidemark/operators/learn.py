@@ -113,9 +113,9 @@ def platt(oof: DataFrame, label: str, p: str = "p"):
     return lambda c: 1 / (1 + F.exp(-(E.logit(c) * slope + shift)))
 
 
-def isotonic(oof: DataFrame, label: str, p: str = "p", digits: int = 4):
-    """Monotone calibration fitted on score groups (mean label, weight), so its input is bounded by the resolution."""
-    grouped = oof.groupBy(F.round(p, digits).alias("s")).agg(F.avg(F.col(label).cast("double")).alias("label"), F.count(F.lit(1)).cast("double").alias("w"))
+def isotonic(oof: DataFrame, label: str, p: str = "p"):
+    """Monotone calibration fitted on groups of equal scores (mean label, weight)."""
+    grouped = oof.groupBy(F.col(p).alias("s")).agg(F.avg(F.col(label).cast("double")).alias("label"), F.count(F.lit(1)).cast("double").alias("w"))
     return IsotonicRegression(featuresCol="s", labelCol="label", weightCol="w").fit(grouped)
 
 

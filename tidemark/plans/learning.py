@@ -92,7 +92,7 @@ def oof(t, k=5):
 def ml11(t):
     """Platt and isotonic maps fitted on out-of-fold scores, compared by Brier score."""
     scores = oof(t).select("y", "p").persist()
-    mapped = scores.withColumn("platt", L.platt(scores, "y")(F.col("p"))).withColumn("s", F.round("p", 4))
+    mapped = scores.withColumn("platt", L.platt(scores, "y")(F.col("p"))).withColumn("s", F.col("p"))
     both = L.isotonic(scores, "y").transform(mapped).withColumnRenamed("prediction", "isotonic")
     y = F.col("y")
     return both.agg(*[E.brier(y, F.col(c)).alias(n) for c, n in (("p", "raw"), ("platt", "platt"), ("isotonic", "isotonic"))])

@@ -463,21 +463,24 @@ def drop_empty(frame):
 
 @query(
     "prj25_conjunctive_search",
-    "SELECT doc_id, lang, source FROM documents WHERE lang='en' AND source IN ('src1','src2','src3') AND (contains(text,'and') OR contains(source,'and') OR contains(lang,'and'))",
+    "SELECT doc_id, lang, source FROM documents WHERE lang='en' AND source IN ('src1','src2','src3') AND (text ILIKE '%and%' OR source ILIKE '%and%' OR lang ILIKE '%and%')",
 )
 def prj25(t):
-    return search(t.documents, {"lang": ["en"], "source": ["src1", "src2", "src3"]}, "and", ["text", "source", "lang"]).select("doc_id", "lang", "source")
+    return search(t.documents, {"lang": ["en"], "source": ["src1", "src2", "src3"]}, "And", ["text", "source", "lang"]).select("doc_id", "lang", "source")
+
+
+CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def search(df, equal: dict, keyword: str | None, columns: list[str]):
-    """Only the filters that are given apply; the keyword may stand in any of the columns."""
+    """Only the filters that are given apply; the keyword may stand in any of the columns, A-Z in either case."""
     for name, allowed in equal.items():
         if allowed:
             df = df.filter(F.col(name).isin(*allowed))
     if keyword:
         hit = F.lit(False)
         for c in columns:
-            hit = hit | F.contains(F.col(c), F.lit(keyword))
+            hit = hit | F.contains(F.translate(c, CAPITALS, CAPITALS.lower()), F.translate(F.lit(keyword), CAPITALS, CAPITALS.lower()))
         df = df.filter(hit)
     return df
 

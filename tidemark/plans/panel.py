@@ -92,10 +92,15 @@ def set3_columns(t):
     return G.column_report(t.customer.columns, {"c_custkey", "c_age"}, {"c_name", "phone"}, t.spark)
 
 
-@query("set5_first_seen_distinct", "SELECT doc_id, array_to_string(list_transform(list_sort(list_transform(list_distinct(w), lambda x: {'p': list_position(w, x), 'x': x})), lambda s: s.x), ' ') AS words FROM (SELECT doc_id, string_split(string_split(text, chr(10))[1], ' ') AS w FROM documents) d")
+@query(
+    "set5_first_seen_distinct",
+    """SELECT doc_id, string_agg(word, ' ' ORDER BY first) AS words FROM (SELECT doc_id, word, min(no) AS first FROM
+        (SELECT doc_id, w[no] AS word, no FROM (SELECT doc_id, string_split(replace(text, chr(10), ' '), ' ') AS w, unnest(range(1, len(w) + 1)) AS no FROM documents) x) y
+        GROUP BY ALL) z GROUP BY doc_id""",
+)
 def set5(t):
-    first_line = F.element_at(F.split("text", "\n"), 1)
-    return t.documents.select("doc_id", F.array_join(F.array_distinct(F.split(first_line, " ")), " ").alias("words"))
+    words = F.split(F.translate("text", "\n", " "), " ", -1)
+    return t.documents.select("doc_id", F.array_join(F.array_distinct(words), " ").alias("words"))
 
 
 @query("ag12_missing_rate", "SELECT unnest(['price','urgent','late']) AS column_name, unnest([a,b,c]) AS missing_rate FROM (SELECT round(avg(CASE WHEN o_totalprice>100000 THEN 0.0 ELSE 1.0 END),6) AS a, round(avg(CASE WHEN o_orderpriority='1-URGENT' THEN 0.0 ELSE 1.0 END),6) AS b, round(avg(CASE WHEN year(o_orderdate)>1998 THEN 0.0 ELSE 1.0 END),6) AS c FROM orders) x")

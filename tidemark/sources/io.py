@@ -10,8 +10,15 @@ from tidemark.functions.text import bind
 
 
 def wide_csv(spark: SparkSession, path: str, schema: str, columns: list[str]) -> DataFrame:
-    """Wide survey file: the schema is given, the parser reads only the wanted columns."""
-    return spark.read.schema(schema).option("header", True).csv(path).select(*columns)
+    """Wide survey file: the schema is given by name, whatever the order of the header; only the wanted columns are parsed."""
+    return spark.read.schema(_by_header(spark, path, schema)).option("header", True).csv(path).select(*columns)
+
+
+def _by_header(spark: SparkSession, path: str, schema: str) -> T.StructType:
+    """The fields of ``schema`` in the order of the file's header; a column it does not name is text."""
+    known = {f.name: f for f in T._parse_datatype_string(schema).fields}
+    header = [c.lstrip("\ufeff") for c in spark.read.option("header", True).csv(path).columns]
+    return T.StructType([known.get(c, T.StructField(c, T.StringType())) for c in header])
 
 
 def checked_csv(spark: SparkSession, path: str, schema: str, required: set[str]) -> DataFrame:
@@ -22,7 +29,7 @@ def checked_csv(spark: SparkSession, path: str, schema: str, required: set[str])
     missing = sorted(required - {c.lstrip("\ufeff") for c in header})
     if missing:
         raise ValueError(f"missing required columns: {missing}")
-    full = T._parse_datatype_string(schema).add("_corrupt", "string")
+    full = _by_header(spark, path, schema).add("_corrupt", "string")
     return (
         spark.read.schema(full).option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", True)
         .option("columnNameOfCorruptRecord", "_corrupt").csv(path)
