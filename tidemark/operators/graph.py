@@ -35,16 +35,19 @@ def relation_problem(allowed=rules.RELATION_TYPES) -> Column:
 
 
 def enrich(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """Defaults for evidence level, causal status, population and review status from the edge's evidence source."""
+    """Defaults for evidence level, causal status, population and review status from the edge's evidence source.
+
+    Values that an edge brings are kept; a causal status that neither edge nor type gives is ``guidance``."""
     joined = edges.withColumn("evidence_source", F.substring_index("evidence", "#", 1)).join(sources, "evidence_source", "left")
     causal = F.when(F.col("type").isin("associated_with", "predictive_factor_in_older_adults"), "association").when(
         F.col("type").isin("managed_by", "prevention_evidence", "supportive_evidence"), "guidance"
     )
-    return joined.select(
-        *edges.columns, F.coalesce("source_level", F.lit("public_guidance")).alias("evidence_level"),
-        F.coalesce(causal, F.lit("unknown")).alias("causal_status"), F.lit("older_adults").alias("population"),
-        F.coalesce("source_review", F.lit("pending_medical_review")).alias("review_status"),
-    )
+    filled = {
+        "evidence_level": F.coalesce("source_level", F.lit("public_guidance")), "causal_status": F.coalesce(causal, F.lit("guidance")),
+        "population": F.lit("older_adults"), "review_status": F.coalesce("source_review", F.lit("pending_medical_review")),
+    }
+    given = [c for c in edges.columns if c not in filled]
+    return joined.select(*given, *[(F.coalesce(F.col(c), v) if c in edges.columns else v).alias(c) for c, v in filled.items()])
 
 
 def entities(edges: DataFrame) -> DataFrame:

@@ -51,7 +51,7 @@ def sources(t):
     )
 
 
-ENRICHED = f"(SELECT e1.*, coalesce(source_level,'public_guidance') AS evidence_level, 'unknown' AS causal_status, coalesce(source_review,'pending_medical_review') AS review_status FROM {{edges}} e1 LEFT JOIN {SOURCES} s1 ON s1.evidence_source=split_part(evidence,'#',1))"
+ENRICHED = f"(SELECT e1.*, coalesce(source_level,'public_guidance') AS evidence_level, 'guidance' AS causal_status, coalesce(source_review,'pending_medical_review') AS review_status FROM {{edges}} e1 LEFT JOIN {SOURCES} s1 ON s1.evidence_source=split_part(evidence,'#',1))"
 
 
 @query("kg6_edge_defaults", f"SELECT source, target, type, evidence_level, causal_status, review_status FROM {ENRICHED} x")
@@ -179,7 +179,7 @@ def kg15(t):
     )
 
 
-@query("kg18_path_explanations", f"SELECT source, target, type, split_part(source,':',2)||' -['||type||']-> '||split_part(target,':',2)||': direction needs review; evidence '||evidence AS explanation FROM {ENRICHED} x")
+@query("kg18_path_explanations", f"SELECT source, target, type, split_part(source,':',2)||' -['||type||']-> '||split_part(target,':',2)||': supported by guidance; evidence '||evidence AS explanation FROM {ENRICHED} x")
 def kg18(t):
     return K.explained(K.enrich(t.edges, sources(t))).select("source", "target", "type", "explanation")
 
