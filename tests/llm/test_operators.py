@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -349,12 +350,33 @@ def test_line_dedup_equals_brute_force(docs, texts, empty):
 def test_line_signatures_agree_like_sets():
     a = " ".join(prose(40, 30).split())
     b = a[:150] + "zz" + a[150:]
-    for bins in (lines.BINS, lines.FINE):
-        hashes, counts = lines.shingles([a.encode(), b.encode(), b"tiny", b"a"])
-        assert lines.signatures(hashes, counts, bins).shape == (4, bins)
-    fine = lines.signatures(hashes, counts, lines.FINE).astype(np.uint8)
-    one, two = (set(lines.shingles([t.encode()])[0].tolist()) for t in (a, b))
-    assert abs(lines.likeness(fine[:1], fine[1:2])[0, 0] - len(one & two) / len(one | two)) < 0.12
+    hashes, counts = lines.shingles([a.encode(), b.encode(), b"tiny", b"a", prose(41, 40).encode()])
+    assert lines.signatures(hashes, counts, lines.BINS).shape == (5, lines.BINS)
+    mark = lines.marks(hashes, counts)
+    assert mark[2] == mark[3] == 0 and np.bitwise_count(mark[0] ^ mark[1]) <= lines.APART < np.bitwise_count(mark[0] ^ mark[4])
+
+
+def test_bucket_stars_do_not_depend_on_batches_or_tasks():
+    rng = np.random.default_rng(3)
+    rows = sorted({(int(b), int(i)) for b, i in zip(rng.integers(0, 60, 900), rng.integers(0, 10**6, 900), strict=True)} | {(70, i) for i in range(700)})
+    wanted = {b: {i for c, i in rows if c == b} for b in {b for b, _ in rows}}
+    for size, tasks in ((1, 1), (7, 3), (300, 2), (10**4, 4)):
+        edges, ends = [], collections.defaultdict(list)
+        for part in np.array_split(np.array([*rows, rows[-1]]), tasks):
+            cut = [pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(np.zeros(len(x), np.int64))], ["bucket", "id", "mark"])
+                   for x in (part[k : k + size] for k in range(0, len(part), size))]
+            for out in lines._bucket_stars(iter(cut)):
+                for r in out.to_pylist():
+                    ends[r["bucket"]].append(r["a"]) if r["b"] is None else edges.append((r["a"], r["b"]))
+        edges += [(x, v[0]) for v in ends.values() for x in v]
+        assert len(edges) < 3 * len(rows)
+        for members in wanted.values():
+            own = {i: i for i in members}
+            for _ in range(4):
+                for x, y in edges:
+                    if x in own and y in own:
+                        own[x] = own[y] = min(own[x], own[y])
+            assert len(set(own.values())) == 1
 
 
 def test_embedding_links_equal_brute_force(spark, monkeypatch):
