@@ -356,27 +356,39 @@ def test_line_signatures_agree_like_sets():
     assert mark[2] == mark[3] == 0 and np.bitwise_count(mark[0] ^ mark[1]) <= lines.APART < np.bitwise_count(mark[0] ^ mark[4])
 
 
-def test_bucket_stars_do_not_depend_on_batches_or_tasks():
+def test_line_candidates_do_not_depend_on_batches_or_tasks():
     rng = np.random.default_rng(3)
-    rows = sorted({(int(b), int(i)) for b, i in zip(rng.integers(0, 60, 900), rng.integers(0, 10**6, 900), strict=True)} | {(70, i) for i in range(700)})
-    wanted = {b: {i for c, i in rows if c == b} for b in {b for b, _ in rows}}
+    rows = sorted({(int(b), int(i)) for b, i in zip(rng.integers(0, 600, 900), rng.integers(0, 10**6, 900), strict=True)} | {(700, i) for i in range(700)})
+    n = collections.Counter(b for b, _ in rows)
+    wanted = {i for b, i in rows if n[b] > 1}
     for size, tasks in ((1, 1), (7, 3), (300, 2), (10**4, 4)):
-        edges, ends = [], collections.defaultdict(list)
+        got, edge = set(), set()
         for part in np.array_split(np.array([*rows, rows[-1]]), tasks):
             cut = [pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(np.zeros(len(x), np.int64))], ["bucket", "id", "mark"])
                    for x in (part[k : k + size] for k in range(0, len(part), size))]
-            for out in lines._bucket_stars(iter(cut)):
-                for r in out.to_pylist():
-                    ends[r["bucket"]].append(r["a"]) if r["b"] is None else edges.append((r["a"], r["b"]))
-        edges += [(x, v[0]) for v in ends.values() for x in v]
-        assert len(edges) < 3 * len(rows)
-        for members in wanted.values():
-            own = {i: i for i in members}
-            for _ in range(4):
-                for x, y in edges:
-                    if x in own and y in own:
-                        own[x] = own[y] = min(own[x], own[y])
-            assert len(set(own.values())) == 1
+            got |= {i for out in lines._candidates(iter(cut)) for i in out.column("id").to_pylist()}
+            edge |= {i for b, i in rows if b in (part[0][0], part[-1][0])}
+        assert wanted <= got <= wanted | edge
+
+
+def test_line_sketches_lose_no_link():
+    rng = np.random.default_rng(11)
+    texts = []
+    for n in (6, 9, 14, 30, 60, 150, 900, 4000):
+        base = "".join(rng.choice(list("abcdefgh "), n))
+        texts += [base, base[:-1], base[: n // 2] + "x" + base[n // 2 :], base + base, "".join(rng.choice(list("abcdefgh "), n)), "a" * n]
+    raw = [t.encode() for t in texts]
+    rows = lines.sketches(raw)
+    near = lines.likeness(rows, rows)
+    sets = [set(lines.as_set(t).tolist()) for t in raw]
+    strangers = 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                assert near[i, j] == 1
+            elif min(len(a), len(b)) > 10 and 5 * len(a & b) < len(a | b):
+                strangers += near[i, j]
+    assert strangers == 0
 
 
 def test_embedding_links_equal_brute_force(spark, monkeypatch):

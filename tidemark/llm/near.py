@@ -140,24 +140,9 @@ def near_components(
     large = crowded.where(f"n > {PIECE}")  # taken whole: what is alike enough is decided on the sets
     hubs = large.groupBy("bucket").agg(F.min("id").alias("b"))
     stars = stars.union(large.join(hubs, "bucket").select(F.col("id").alias("a"), "b"))
-    return link_clusters(stars, lambda ids: detail.select("id", "content"), as_set, least, name)
-
-
-def link_clusters(
-    stars: DataFrame,
-    contents: Callable[[DataFrame], DataFrame],
-    as_set: Callable[[bytes], np.ndarray],
-    least: tuple[int, int],
-    name: str,
-) -> DataFrame:
-    """Components ``(id, comp)`` of the exact links among candidates; every link must lie within what the edges ``a, b`` connect.
-
-    ``contents(ids)`` gives ``(id, content)``, a row for each id of the table ``ids``; it may give others too.
-    """
     clusters = connected(stars).select(F.col("node").alias("id"), F.col("root").alias("cluster"))
     counts = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
     clusters = store(clusters.join(counts, "cluster"), f"{name}-clusters")
-    detail = contents(clusters.select("id"))
     pieces = F.ceil(F.col("n") / PIECE).cast("int")
     own = F.pmod(F.xxhash64("id"), pieces).cast("int").alias("piece")
     everywhere = F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece")
