@@ -32,11 +32,13 @@ def test_json_lists(spark, tmp_path):
 
 
 def test_corpus_files(spark, tmp_path):
-    (tmp_path / "x.md").write_text("# Title\nsource: one；level: high\n## First\nbody a\n## Empty\n\n## Link\nsource: z\n## Last\nbody b")
+    (tmp_path / "x.md").write_text("# Title\nsource: one；level: high\n## First\nbody a\n## Empty\n\n## source: z\nbody c\n## Last\nsource: b")
+    (tmp_path / "y.md").write_text("# Only\nplain body")
     rows = io.text_corpus(spark, str(tmp_path))
-    meta = rows.select(io.header_metadata(F.col("text")).alias("m")).first()["m"]
+    meta = rows.filter("text like '%level%'").select(io.header_metadata(F.col("text")).alias("m")).first()["m"]
     assert meta == {"source": "one", "level": "high"}
-    assert [(r["section_no"], r["title"], r["body"]) for r in io.sections(rows).orderBy("section_no").collect()] == [(0, "First", "body a"), (3, "Last", "body b")]
+    assert [(r["section_no"], r["title"], r["body"]) for r in io.sections(rows).orderBy("section_no", "title").collect()] == [
+        (0, "First", "body a"), (0, "Only", "plain body"), (3, "Last", "source: b")]
 
 
 def test_file_manifest_hashes(spark, tmp_path):

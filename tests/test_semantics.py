@@ -279,3 +279,11 @@ def test_manifest_states(spark):
 def test_empty_context_gives_every_gap(spark):
     row = X.factors(spark.createDataFrame([(1, None, True)], "id long, a boolean, b boolean"), "id", ["a", "b"]).first()
     assert (row["matched"], row["missing"]) == ("b", "a")
+
+
+def test_one_character_names_are_seeded(spark):
+    from tidemark.operators.retrieve import seeds
+
+    asked = spark.createDataFrame([(1, ["吃盐", "abc"]), (2, ["血压"])], "question_id long, tokens array<string>")
+    names = spark.createDataFrame([("e:salt", "盐"), ("e:bp", "高血压"), ("e:b", "b")], "entity string, name string")
+    assert {tuple(r) for r in seeds(asked, names).collect()} == {(1, "e:salt"), (1, "e:b"), (2, "e:bp")}

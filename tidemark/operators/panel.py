@@ -71,9 +71,8 @@ def stratified_split(df: DataFrame, label: str, key: str, share: float = 0.8, bu
     hashed = df.withColumn("_f", stable_fraction(F.col(key))).withColumn("_bucket", F.floor(F.col("_f") * buckets))
     numbered = ordinal(hashed, [label], "_bucket", [F.col("_f"), F.col(key)], "_pos")
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    # one row per class: outcome labels are 0/1 by contract
     part = F.when(F.col("_pos") <= F.round(F.col("_n") * share), "train").otherwise("test")
-    return numbered.join(F.broadcast(sizes), label).withColumn("part", part).drop("_f", "_bucket", "_pos", "_n")
+    return numbered.join(sizes, label).withColumn("part", part).drop("_f", "_bucket", "_pos", "_n")
 
 
 def split_overlap(members: DataFrame, key: str = "id", part: str = "part") -> DataFrame:

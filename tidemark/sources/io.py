@@ -71,13 +71,18 @@ def header_metadata(text) -> "F.Column":
 
 
 def sections(df: DataFrame, text: str = "text") -> DataFrame:
-    """``## `` sections with title and body; empty and ``source:`` bodies are dropped, positions stay."""
-    parts = F.slice(F.split(F.col(text), "\n## "), 2, 2147483647)
+    """``## `` sections with title and body; a text without such headings is one section.
+
+    Sections without a body or with a ``source:`` title are dropped, positions stay.
+    """
+    pieces = F.split(F.col(text), "\n## ")
+    parts = F.when(F.size(pieces) > 1, F.slice(pieces, 2, 2147483647)).otherwise(pieces)
     rows = df.select("*", F.posexplode(parts).alias("section_no", "_part"))
-    title = F.trim(F.substring_index("_part", "\n", 1))
+    rows = rows.withColumn("_part", F.regexp_replace("_part", r"^\s+", ""))
+    title = F.trim(F.regexp_replace(F.substring_index("_part", "\n", 1), "^[# ]+", ""))
     body = F.trim(F.when(F.instr("_part", "\n") > 0, F.regexp_replace("_part", r"^[^\n]*\n", "")).otherwise(""))
     out = rows.withColumn("title", title).withColumn("body", body).drop("_part")
-    return out.filter((F.col("body") != "") & ~F.startswith(F.lower("body"), F.lit("source:")))
+    return out.filter((F.col("body") != "") & ~F.startswith("title", F.lit("source:")))
 
 
 def expand_registry(families: DataFrame, levels: list[str]) -> DataFrame:
