@@ -17,7 +17,7 @@ def hot_rows(spark, n=3000, seed=1):
 
 def test_counted_quantiles_equal_numpy(spark):
     rows, df = hot_rows(spark)
-    out = {r["k"]: r for r in skew.quantiles(df, ["k"], "v", {"q1": 0.1, "q5": 0.5, "q8": 0.8}, hot_rows=50).collect()}
+    out = {r["k"]: r for r in skew.quantiles(df, ["k"], "v", {"q1": 0.1, "q5": 0.5, "q8": 0.8}).collect()}
     for key in {r[1] for r in rows}:
         values = [r[2] for r in rows if r[1] == key]
         for name, p in (("q1", 0.1), ("q5", 0.5), ("q8", 0.8)):
@@ -85,3 +85,12 @@ def test_three_values_at_one_instant(spark):
     df = spark.createDataFrame([(1, 10.0), (2, 20.0), (3, 60.0)], "measurement_id long, value double").withColumn("ts", F.timestamp_seconds(F.lit(5))).withColumn("k", F.lit(1))
     row = S.collapse(df, ["k"]).first()
     assert (row["value"], row["n_raw"]) == (30.0, 3)
+
+
+def test_quantiles_with_missing_values_and_keys(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [("a", 1.0), ("a", nan), ("a", 3.0), (None, -2.0), (None, None), ("b", None), ("b", nan), ("c", inf), ("c", -inf), ("c", 0.0), ("d", -0.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r["k"]: r["m"] for r in skew.quantiles(df, ["k"], "v", {"m": 0.5}).collect()}
+    assert got == {"a": 2.0, None: -2.0, "b": None, "c": 0.0, "d": 0.0}
+    assert skew.quantiles(df.limit(0), ["k"], "v", {"m": 0.5}).collect() == []

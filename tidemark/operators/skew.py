@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SALTS = 32
-HOT_ROWS = 5_000_000
 
 
 def salted_join(
@@ -39,84 +38,49 @@ def newest_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank:
 
 
 def value_chunk(value: Column, per_e: int = 256) -> Column:
-    """Monotone chunk number of a double: equal width on a log scale, so it needs no bounds."""
-    return (F.signum(value) * F.floor(F.log1p(F.abs(value)) * per_e)).cast("long")
+    """Monotone chunk number of a double: equal width on a log scale, so it needs no bounds; infinities take the outermost ones."""
+    return (F.signum(value) * F.floor(F.least(F.log1p(F.abs(value)), F.lit(1000.0)) * per_e)).cast("long")
 
 
-def _ranked_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Quantiles by counting: value counts -> chunk counts -> only the chunk that holds the rank is opened."""
-    counts = (
-        df.filter(F.col(value).isNotNull())
-        .withColumn("_chunk", value_chunk(F.col(value)))
-        .groupBy(*keys, "_chunk", F.col(value).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
+def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """Exact interpolated quantiles per key, by counting: value counts, chunk counts, then only the chunks that hold a rank are opened.
+
+    No task ever holds a key, only one of its chunks. NULL and NaN values do not count; a key without any other value gets NULL.
+    A NULL key is a key.
+    """
+    if not keys:
+        return quantiles(df.withColumn("_all", F.lit(1)), ["_all"], value, probs).drop("_all")
+    number = F.col(value).cast("double")
+    rows = df.select(*keys, F.when(~F.isnan(number), number).alias("_v"))
+    counts = rows.groupBy(*keys, F.coalesce(value_chunk(F.col("_v")), F.lit(0)).alias("_chunk"), "_v").agg(F.count("_v").alias("_n"))
     by_chunk = counts.groupBy(*keys, "_chunk").agg(F.sum("_n").alias("_cn"))
-    ordered = Window.partitionBy(*keys).orderBy("_chunk")
-    whole = Window.partitionBy(*keys)
-    spans = by_chunk.select(
-        *keys,
-        "_chunk",
-        (F.sum("_cn").over(ordered) - F.col("_cn")).alias("_before"),
-        F.sum("_cn").over(ordered).alias("_upto"),
-        F.sum("_cn").over(whole).alias("_total"),
-    )
-    wanted = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("name"),
-                F.lit(side).alias("side"),
-                (f(F.lit(float(p)) * (F.col("_total") - 1)) + 1).cast("long").alias("rank"),
-                (F.lit(float(p)) * (F.col("_total") - 1)).alias("pos"),
-            )
-            for name, p in probs.items()
-            for side, f in (("lo", F.floor), ("hi", F.ceil))
-        ]
-    )
-    targets = (
-        spans.withColumn("_t", F.explode(wanted))
-        .filter((F.col("_t.rank") > F.col("_before")) & (F.col("_t.rank") <= F.col("_upto")))
-        .select(*keys, "_chunk", "_before", F.col("_t.name").alias("_name"), F.col("_t.side").alias("_side"),
-                F.col("_t.rank").alias("_rank"), F.col("_t.pos").alias("_pos"))
-    )
-    inside = Window.partitionBy(*keys, "_chunk").orderBy("_v")
-    opened = counts.join(targets.select(*keys, "_chunk").distinct(), keys + ["_chunk"], "left_semi")
-    opened = opened.withColumn("_to", F.sum("_n").over(inside)).withColumn("_from", F.col("_to") - F.col("_n"))
-    hits = opened.join(targets, keys + ["_chunk"]).filter(
-        (F.col("_rank") - F.col("_before") > F.col("_from")) & (F.col("_rank") - F.col("_before") <= F.col("_to"))
-    )
+    ordered, whole = Window.partitionBy(*keys).orderBy("_chunk"), Window.partitionBy(*keys)
+    upto, total = F.sum("_cn").over(ordered), F.sum("_cn").over(whole)
+    spans = by_chunk.select(*keys, "_chunk", (upto - F.col("_cn")).alias("_before"), upto.alias("_upto"), total.alias("_total"))
+
+    def wanted(name: str, p: float, side: str, cut) -> Column:
+        at = F.lit(float(p)) * (F.col("_total") - 1)
+        return F.struct(F.lit(name).alias("name"), F.lit(side).alias("side"), (cut(at) + 1).cast("long").alias("rank"), at.alias("pos"))
+
+    ranks = F.array(*[wanted(n, p, side, cut) for n, p in probs.items() for side, cut in (("lo", F.floor), ("hi", F.ceil))])
+    inside = F.filter(ranks, lambda t: (t["rank"] > F.col("_before")) & (t["rank"] <= F.col("_upto")))
+    targets = spans.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_chunk").alias("_c"), "_before", "_total", inside.alias("_t"))
+    targets = targets.filter((F.size("_t") > 0) | (F.col("_total") == 0)).drop("_total")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.col("_chunk") == F.col("_c"))
+    opened = counts.join(targets, same).withColumn("_to", F.sum("_n").over(Window.partitionBy(*keys, "_chunk").orderBy("_v")))
+    held = F.filter("_t", lambda t: (t["rank"] - F.col("_before") > F.col("_to") - F.col("_n")) & (t["rank"] - F.col("_before") <= F.col("_to")))
+    hits = opened.select(*keys, "_v", F.explode_outer(held).alias("_t"))
 
     def pick(name: str, side: str, column: str) -> Column:
-        return F.max(F.when((F.col("_name") == name) & (F.col("_side") == side), F.col(column)))
+        return F.max(F.when((F.col("_t.name") == name) & (F.col("_t.side") == side), F.col(column)))
 
     def value_at(name: str) -> Column:
-        low, high = pick(name, "lo", "_v"), pick(name, "hi", "_v")
-        part = pick(name, "lo", "_pos") - F.floor(pick(name, "lo", "_pos"))
-        return (low + (high - low) * part).alias(name)
+        low, high, at = pick(name, "lo", "_v"), pick(name, "hi", "_v"), pick(name, "lo", "_t.pos")
+        return F.when(low == high, low).otherwise(low + (high - low) * (at - F.floor(at))).alias(name)
 
     return hits.groupBy(*keys).agg(*[value_at(name) for name in probs])
 
 
-def quantiles(
-    df: DataFrame, keys: list[str], value: str, probs: dict[str, float], hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Exact interpolated quantiles per key.
-
-    Ordinary groups use the built-in ``percentile``. Groups above ``hot_rows`` rows are counted instead of collected;
-    there can be at most rows / hot_rows of them, which bounds the broadcast list of hot keys.
-    """
-    if not keys:
-        return _ranked_quantiles(df.withColumn("_all", F.lit(1)), ["_all"], value, probs).drop("_all")
-    hot = df.groupBy(*keys).agg(F.count(value).alias("_n")).filter(F.col("_n") > hot_rows).select(*keys)
-    same = reduce(lambda a, b: a & b, [F.col(f"h.{k}").eqNullSafe(F.col(f"d.{k}")) for k in keys])
-    cold = df.alias("d").join(F.broadcast(hot).alias("h"), same, "left_anti")
-    warm = df.alias("d").join(F.broadcast(hot).alias("h"), same, "left_semi")
-    names, points = list(probs), list(probs.values())
-    packed = F.percentile(F.col(value), F.array(*[F.lit(float(p)) for p in points])).alias("_q")
-    plain = cold.groupBy(*keys).agg(packed).select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-    return plain.unionByName(_ranked_quantiles(warm, keys, value, probs))
-
-
 def prefix_sums(
     df: DataFrame, keys: list[str], chunk: str, order: list[Column], sums: dict[str, str], descending: bool = False
 ) -> DataFrame:

@@ -54,7 +54,7 @@ def ag15(t):
 def ag16(t):
     """Three groups hold all residuals, so the rank is found by counting and never by collecting a group."""
     residuals = t.pred_numeric.select("split", F.abs(F.col("actual") - F.col("predicted")).alias("res"))
-    return skew.quantiles(residuals, ["split"], "res", {"q80": 0.8}, hot_rows=100_000).withColumn("q80", r("q80", 4))
+    return skew.quantiles(residuals, ["split"], "res", {"q80": 0.8}).withColumn("q80", r("q80", 4))
 
 
 @query("ag16_conformal_quantile_overall", "SELECT round(quantile_cont(abs(actual-predicted),0.8),4) AS q80, round(median(abs(actual-predicted)),4) AS q50 FROM {pred_numeric} n")
