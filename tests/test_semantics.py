@@ -287,3 +287,40 @@ def test_one_character_names_are_seeded(spark):
     asked = spark.createDataFrame([(1, ["吃盐", "abc"]), (2, ["血压"])], "question_id long, tokens array<string>")
     names = spark.createDataFrame([("e:salt", "盐"), ("e:bp", "高血压"), ("e:b", "b")], "entity string, name string")
     assert {tuple(r) for r in seeds(asked, names).collect()} == {(1, "e:salt"), (1, "e:b"), (2, "e:bp")}
+
+
+def test_retrieval_has_one_plan_and_one_rounding(spark):
+    chunks, questions, rows, asks = corpus(spark)
+    w = R.Weights(topics={"t": ("wab", "wb")}, danger=("wc",), authority=0.333333, registry=3.0, conflict=5.0)
+    linked = spark.createDataFrame([("s1#0",), ("s2#0",)], "evidence_key string")
+    direct = spark.createDataFrame([(1, "s2#0")], "question_id long, evidence_key string")
+    many = spark.range(6, 2100).select(F.col("id").alias("question_id"), F.lit("zzz").alias("text"))
+    few = sorted(R.hybrid_top_k(chunks, questions, linked, direct, linked, 8, w).collect())
+    large = R.hybrid_top_k(chunks, questions.unionByName(many), linked, direct, linked, 8, w).filter("question_id < 6")
+    assert sorted(large.collect()) == few and any(r["score"] == 1.3333 for r in few)
+
+
+def test_retrieval_passes_over_zero_scores(spark):
+    # registry chunks score -1 alone and exactly 0 with one shared word
+    rows = [(f"{i:03d}#0", i, 0, "alpha" if i < 12 else "other", f"s{i}#0", True) for i in range(20)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, doc_id long, authority int, text string, evidence_key string, registry boolean")
+    none = spark.createDataFrame([], "question_id long, evidence_key string")
+    asked = spark.createDataFrame([(1, "alpha"), (2, "nothing")], "question_id long, text string")
+    w = R.Weights(topics={}, danger=("zz",), registry=1.0)
+    got = R.hybrid_top_k(chunks, asked, none, none, none, 3, w).collect()
+    assert sorted((r["question_id"], r["chunk_id"], r["score"]) for r in got) == [
+        (1, "012#0", -1.0), (1, "013#0", -1.0), (1, "014#0", -1.0), (2, "000#0", -1.0), (2, "001#0", -1.0), (2, "002#0", -1.0)]
+
+
+def test_retrieval_counts_dictionary_terms(spark):
+    chunks = spark.createDataFrame([("a", 1, 0, "高血压", "x", False)], "chunk_id string, doc_id long, authority int, text string, evidence_key string, registry boolean")
+    asked = spark.createDataFrame([(1, "高血压")], "question_id long, text string")
+    none = spark.createDataFrame([], "question_id long, evidence_key string")
+    w = R.Weights(topics={}, danger=("zz",))
+    assert T.DICTIONARY.count("高血压") == 1 and R.hybrid_top_k(chunks, asked, none, none, none, 3, w).first()["score"] == 3.0
+
+
+def test_passages_of_one_and_two_words(spark):
+    docs = spark.createDataFrame([(1, "xx alpha beta"), (2, "alphabet a"), (3, None)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "pha"), (2, "ha be"), (3, "xx alpha beta"), (4, "none")], "question_id long, text string")
+    assert {tuple(r) for r in R.passages_in(docs, asked).collect()} == {(1, 1), (1, 2), (2, 1), (3, 1)}

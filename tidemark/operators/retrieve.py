@@ -5,13 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from itertools import product
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import rules
 from tidemark.functions import text as T
+from tidemark.operators.skew import ordinal
 
 
 @dataclass
@@ -27,28 +26,29 @@ class Weights:
     linked: float = 1.0
     conflict: float = 2.0
     registry: float = 2.0
+    terms: tuple = T.DICTIONARY
 
 
-# a question batch within these bounds travels to every task; larger batches are joined
-MAX_QUESTIONS, MAX_LINKS = 2048, 200_000
-BLOCK_CELLS = 4_000_000
+# questions of one posting list; bounds a row, not the batch
+QUESTION_BLOCK = 512
 
 
 def chunk_profile(chunks: DataFrame, w: Weights) -> DataFrame:
     """What the score needs of a chunk, besides its tokens; flags are plain numbers."""
     text = F.col("text")
     return chunks.select(
-        "chunk_id", "doc_id", F.col("authority").cast("int").alias("authority"), "evidence_key", "registry", T.tokens(text, ()).alias("tokens"),
+        "chunk_id", "doc_id", F.col("authority").cast("int").alias("authority"), "evidence_key", "registry", T.tokens(text, w.terms).alias("tokens"),
         *[F.size(T.contained(text, terms)).alias(f"hits_{i}") for i, terms in enumerate(w.topics.values())],
-        T.has_any(text, w.danger).alias("has_danger"),
+        F.coalesce(T.has_any(text, w.danger), F.lit(False)).alias("has_danger"),
     )
 
 
 def question_profile(questions: DataFrame, w: Weights) -> DataFrame:
     text = F.col("text")
     return questions.select(
-        "question_id", T.tokens(text, ()).alias("tokens"),
-        *[T.has_any(text, terms).alias(f"asks_{i}") for i, terms in enumerate(w.topics.values())], T.has_any(text, w.danger).alias("urgent"),
+        "question_id", T.tokens(text, w.terms).alias("tokens"),
+        *[F.coalesce(T.has_any(text, terms), F.lit(False)).alias(f"asks_{i}") for i, terms in enumerate(w.topics.values())],
+        F.coalesce(T.has_any(text, w.danger), F.lit(False)).alias("urgent"),
     )
 
 
@@ -61,156 +61,103 @@ def _marked(profile: DataFrame, linked: DataFrame, conflicted: DataFrame) -> Dat
 
 
 def hybrid_top_k(chunks: DataFrame, questions: DataFrame, linked: DataFrame, direct: DataFrame, conflicted: DataFrame, k: int = 8, w: Weights | None = None, force_join: bool = False) -> DataFrame:
-    """Scored top-k chunks per question over the whole corpus.
+    """Scored top-k chunks per question over the whole corpus; a score of zero is no result.
 
-    ``linked`` and ``conflicted`` are evidence keys, ``direct`` is (question_id, evidence_key). The size of the question
-    side decides the plan: a bounded batch is sent to the tasks and the corpus is scanned once, otherwise tokens are
-    joined. Both give the same rows.
+    ``linked`` and ``conflicted`` are evidence keys, ``direct`` is (question_id, evidence_key) and weighs at least as much
+    as ``linked``. There is one plan for any number of questions and links; ``force_join`` has no effect. Pairs that share a
+    token or a key come from ``met``. Any other chunk is scored by a few flags only, so of every flag class just the first
+    ``k`` chunk ids can reach the top k: any other has ``k`` class mates that score at least as high and sort before it.
+    Only met class mates whose score is exactly zero break this, see ``_below_zero``.
     """
     w = w or Weights()
     profile = _marked(chunk_profile(chunks, w), linked, conflicted)
     asked, own = question_profile(questions, w), direct.select("question_id", "evidence_key").distinct()
-    own = own.join(asked.select("question_id"), "question_id", "left_semi")
-    few = None if force_join else asked.limit(MAX_QUESTIONS + 1).toPandas()
-    links = None if few is None or len(few) > MAX_QUESTIONS else own.limit(MAX_LINKS + 1).toPandas()
-    if links is not None and len(links) <= MAX_LINKS:
-        return _scan(profile, few, links, k, w)
-    return _joined(profile, asked, own, k, w)
+    hits = [f"hits_{i}" for i in range(len(w.topics))]
+    asks = [f"asks_{i}" for i in range(len(w.topics))]
+    classes = ["authority", "registry", *hits, "has_danger", "is_linked", "in_conflict"]
+    bonus = (
+        sum((F.when(F.col(a), F.col(h)).otherwise(0) for a, h in zip(asks, hits)), F.lit(0)) * w.alias
+        + F.when(F.col("urgent") & F.col("has_danger"), w.danger_bonus).otherwise(0.0) + F.col("authority") * w.authority
+        - F.when(F.col("registry"), w.registry).otherwise(0.0) - F.when(F.col("in_conflict"), w.conflict).otherwise(0.0)
+    )
+    link = F.when(F.col("is_linked"), w.linked).otherwise(0.0)
+    alone = F.round(link + bonus, 4)
+    flags, cols = asked.drop("tokens"), ["question_id", "chunk_id", "doc_id", "score"]
+    pairs = met(profile, asked, ["doc_id", *classes], own).withColumn(
+        "score", F.round(F.col("overlap") + F.when(F.col("is_direct"), w.direct).otherwise(link) + bonus, 4)
+    )
+    best = _top(pairs.filter("score <> 0").select(cols), k).drop("position")
+    # the rest: first k ids per flag class, scored for every combination of question flags
+    plain = profile.select("chunk_id", "doc_id", *classes)
+    first = plain.withColumn("_rn", F.row_number().over(Window.partitionBy(*classes).orderBy("chunk_id"))).filter(F.col("_rn") <= k).drop("_rn")
+    combos = F.array(*[F.struct(*[F.lit(bool(v)).alias(n) for v, n in zip(c, [*asks, "urgent"])]) for c in product((0, 1), repeat=len(asks) + 1)])
+    flagged = first.withColumn("_c", F.explode(combos)).select("*", "_c.*").withColumn("score", alone).filter("score <> 0")
+    order = Window.partitionBy(*asks, "urgent").orderBy(F.col("score").desc(), "chunk_id")
+    rest = flagged.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= k)
+    rest = flags.join(rest.select(*asks, "urgent", "chunk_id", "doc_id", "score"), [*asks, "urgent"]).select(cols)
+    zero = pairs.filter("score = 0")
+    return _best_of(best.unionByName(rest).unionByName(_below_zero(best, rest, zero, plain, flags, classes, alone, k)), zero, k)
 
 
-def lexical_top_k(chunks: DataFrame, questions: DataFrame, k: int = 8, authority: float = 0.0, registry: float = 0.0, force_join: bool = False) -> DataFrame:
-    """Token overlap (at least one shared token), optionally with an authority bonus and a registry penalty."""
-    tokens = T.tokens(F.col("text"), ())
-    held = chunks.select("chunk_id", "doc_id", F.col("authority").cast("int").alias("authority"), "registry", tokens.alias("tokens"))
-    asked = questions.select("question_id", tokens.alias("tokens"))
-    few = None if force_join else asked.limit(MAX_QUESTIONS + 1).toPandas()
-    if few is not None and len(few) <= MAX_QUESTIONS:
-        w = Weights(topics={}, danger=(), authority=authority, registry=registry, linked=0.0, direct=0.0, conflict=0.0, danger_bonus=0.0)
-        plain = held.withColumn("evidence_key", F.lit(None).cast("string"))
-        for flag in ("has_danger", "is_linked", "in_conflict"):
-            plain = plain.withColumn(flag, F.lit(False))
-        links = pd.DataFrame({"question_id": [], "evidence_key": []})
-        return _scan(plain, few.assign(urgent=False), links, k, w, need_overlap=True)
-    both = overlaps(held, asked, ["doc_id", "authority", "registry"])
-    score = F.col("overlap") + F.col("authority") * authority - F.when(F.col("registry"), registry).otherwise(0.0)
-    return _top(both.withColumn("score", F.round(score, 4)).select("question_id", "chunk_id", "doc_id", "score"), k)
+def _best_of(found: DataFrame, zero: DataFrame, k: int) -> DataFrame:
+    """Top k of candidates in which a pair may stand twice: met pairs score at least what their flags alone give."""
+    once = found.groupBy("question_id", "chunk_id").agg(F.max("score").alias("score"), F.first("doc_id").alias("doc_id"))
+    once = once.join(zero.select("question_id", "chunk_id"), ["question_id", "chunk_id"], "left_anti")
+    return _top(once.select("question_id", "chunk_id", "doc_id", "score"), k)
 
 
-def _scan(profile: DataFrame, asked: pd.DataFrame, links: pd.DataFrame, k: int, w: Weights, need_overlap: bool = False) -> DataFrame:
-    """One pass over the corpus: every task scores its chunks against all questions and emits its own top k.
+def _below_zero(best: DataFrame, rest: DataFrame, zero: DataFrame, plain: DataFrame, flags: DataFrame, classes: list[str], alone: Column, k: int) -> DataFrame:
+    """Flag-only candidates of questions that have fewer than ``k`` positive scores and met chunks that score exactly zero.
 
-    Only block winners are shuffled, so no (question, chunk) pair table exists.
+    Such chunks are no result but may fill the first ids of their class. So each class is read as many ids further as it
+    has zeros for the question.
     """
-    ids = asked["question_id"].tolist()
-    column = {q: i for i, q in enumerate(ids)}
-    vocabulary: dict[str, int] = {}
-    postings: list[list[int]] = []
-    for i, words in enumerate(asked["tokens"]):
-        for word in words:
-            at = vocabulary.setdefault(word, len(vocabulary))
-            if at == len(postings):
-                postings.append([])
-            postings[at].append(i)
-    sizes = np.array([len(p) for p in postings] or [0])
-    starts, flat = np.concatenate([[0], np.cumsum(sizes)[:-1]]), np.array([q for p in postings for q in p], dtype=np.int64)
-    asks = asked[[f"asks_{i}" for i in range(len(w.topics))]].to_numpy(dtype=float)
-    urgent = asked["urgent"].to_numpy(dtype=float)
-    by_key = {key: [column[q] for q in g] for key, g in links.groupby("evidence_key")["question_id"]}
-    n_q, block = len(ids), max(1, BLOCK_CELLS // max(1, len(ids)))
-
-    def score(part: pd.DataFrame) -> np.ndarray:
-        n = len(part)
-        words = part["tokens"].explode()
-        at = words.map(vocabulary).to_numpy(dtype=float, na_value=np.nan)
-        known = ~np.isnan(at)
-        row, word = np.repeat(np.arange(n), part["tokens"].map(len).clip(lower=1))[known], at[known].astype(np.int64)
-        reps = sizes[word]
-        offset = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-        cells = np.repeat(row, reps) * n_q + flat[np.repeat(starts[word], reps) + offset]
-        shared = np.bincount(cells, minlength=n * n_q).reshape(n, n_q).astype(float)
-        flag = part["registry"].to_numpy(dtype=float) * w.registry + part["in_conflict"].to_numpy(dtype=float) * w.conflict
-        total = shared + (part["authority"].to_numpy(dtype=float) * w.authority - flag)[:, None]
-        total += w.danger_bonus * np.outer(part["has_danger"].to_numpy(dtype=float), urgent)
-        if len(w.topics):
-            total += w.alias * part[[f"hits_{i}" for i in range(len(w.topics))]].to_numpy(dtype=float) @ asks.T
-        link = np.repeat(part["is_linked"].to_numpy(dtype=float)[:, None] * w.linked, n_q, axis=1)
-        for i, key in enumerate(part["evidence_key"]):
-            if key in by_key:
-                link[i, by_key[key]] = w.direct
-        total = np.round(total + link, 4)
-        return np.where((shared > 0) if need_overlap else (total != 0), total, -np.inf)
-
-    def run(batches):
-        for batch in batches:
-            for low in range(0, len(batch), block):
-                part = batch.iloc[low : low + block].sort_values("chunk_id").reset_index(drop=True)
-                total = score(part)
-                best = np.argsort(-total, axis=0, kind="stable")[:k]
-                rows, cols = best.T.ravel(), np.repeat(np.arange(n_q), best.shape[0])
-                values = total[rows, cols]
-                keep = np.isfinite(values)
-                yield pd.DataFrame({
-                    "question_id": np.array(ids)[cols[keep]], "chunk_id": part["chunk_id"].to_numpy()[rows[keep]],
-                    "doc_id": part["doc_id"].to_numpy()[rows[keep]], "score": values[keep],
-                })
-
-    if not ids:
-        return profile.sparkSession.createDataFrame([], "question_id long, chunk_id string, doc_id long, score double, position int")
-    return _top(profile.mapInPandas(run, "question_id long, chunk_id string, doc_id long, score double"), k)
-
-
-def overlaps(chunk_tokens: DataFrame, question_tokens: DataFrame, keep: list[str]) -> DataFrame:
-    """Shared tokens per (question, chunk) by a token join.
-
-    All tokens of a chunk sit in one task, so the partial count before the shuffle already holds the final number.
-    Frequent tokens are split by Spark's run-time skew handling. ``keep`` should be plain numbers or flags.
+    positive = best.unionByName(rest).filter("score > 0").select("question_id", "chunk_id").distinct()
+    enough = positive.join(zero.select("question_id", "chunk_id"), ["question_id", "chunk_id"], "left_anti")
+    enough = enough.groupBy("question_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= k)
+    zeros = zero.join(enough, "question_id", "left_anti").groupBy("question_id", *classes).agg(F.count(F.lit(1)).alias("_z"))
+    few = flags.join(zeros.select("question_id").distinct(), "question_id", "left_semi")
+    depth = few.crossJoin(plain.select(*classes).distinct()).withColumn("score", alone).filter("score < 0 or score > 0")
+    depth = depth.join(zeros, ["question_id", *classes], "left").withColumn("_deep", F.coalesce("_z", F.lit(0)) + k)
+    ranked = ordinal(plain.withColumn("_part", F.left("chunk_id", F.lit(4))), classes, "_part", [F.col("chunk_id")], "_rn")
+    deep = ranked.join(depth, classes).filter(F.col("_rn") <= F.col("_deep"))
+    return deep.select("question_id", "chunk_id", "doc_id", "score")
+
+
+def lexical_top_k(chunks: DataFrame, questions: DataFrame, k: int = 8, authority: float = 0.0, registry: float = 0.0, force_join: bool = False) -> DataFrame:
+    """Token overlap (at least one shared token), optionally with an authority bonus and a registry penalty.
+
+    Tokens are words and bigrams: the lexical baselines know no dictionary. ``force_join`` has no effect.
     """
-    asked = question_tokens.select("question_id", F.explode("tokens").alias("token"))
-    held = chunk_tokens.select("chunk_id", *keep, F.explode("tokens").alias("token"))
-    return held.join(asked, "token").groupBy("question_id", "chunk_id").agg(
-        F.count(F.lit(1)).alias("overlap"), *[F.first(c).alias(c) for c in keep]
-    )
+    tokens = T.tokens(F.col("text"), ())
+    held = chunks.select("chunk_id", "doc_id", F.col("authority").cast("int").alias("authority"), "registry", tokens.alias("tokens"))
+    both = met(held, questions.select("question_id", tokens.alias("tokens")), ["doc_id", "authority", "registry"])
+    score = F.col("overlap") + F.col("authority") * authority - F.when(F.col("registry"), registry).otherwise(0.0)
+    return _top(both.withColumn("score", F.round(score, 4)).select("question_id", "chunk_id", "doc_id", "score"), k)
 
 
-def _joined(profile: DataFrame, asked: DataFrame, own: DataFrame, k: int, w: Weights) -> DataFrame:
-    """Unbounded question batches.
+def met(chunks: DataFrame, asked: DataFrame, keep: list[str], own: DataFrame | None = None) -> DataFrame:
+    """Shared tokens per (question, chunk) that share one, or share an evidence key when ``own`` lists them.
 
-    Candidates with a shared token come from the token join; candidates with a directly linked evidence key from a key
-    join. A chunk with neither is scored by a few flags only, so of every flag class just the first ``k`` chunk ids can
-    reach the top k: any other has ``k`` class mates that score at least as high and sort before it.
+    Questions travel as posting lists of at most QUESTION_BLOCK, with their flags. The lists that a chunk meets are brought
+    together once, by chunk and block; pairs are unpacked and counted there and never shuffled. Frequent tokens are split
+    by Spark's run-time skew handling. ``keep`` should be plain numbers or flags.
     """
-    n_topics = len(w.topics)
-    hits = [f"hits_{i}" for i in range(n_topics)]
-    asks = [f"asks_{i}" for i in range(n_topics)]
-    flags = asked.drop("tokens")
-    classes = ["authority", "registry", *hits, "has_danger", "is_linked", "in_conflict"]
-    bonus = (
-        sum((F.when(F.col(a), F.col(h)).otherwise(0) for a, h in zip(asks, hits)), F.lit(0)) * w.alias
-        + F.when(F.col("urgent") & F.col("has_danger"), w.danger_bonus).otherwise(0.0) + F.col("authority") * w.authority
-        - F.when(F.col("registry"), w.registry).otherwise(0.0) - F.when(F.col("in_conflict"), w.conflict).otherwise(0.0)
-    )
-    link = F.when(F.col("is_linked"), w.linked).otherwise(0.0)
-    keep = ["doc_id", *classes]
-    shared = overlaps(profile, asked, keep).withColumn("is_direct", F.lit(False))
-    by_key = profile.drop("tokens").join(own, "evidence_key").select(
-        "question_id", "chunk_id", F.lit(0).cast("long").alias("overlap"), *keep, F.lit(True).alias("is_direct")
-    )
-    met = shared.unionByName(by_key).groupBy("question_id", "chunk_id").agg(
-        F.max("overlap").alias("overlap"), F.bool_or("is_direct").alias("is_direct"), *[F.first(c).alias(c) for c in keep]
-    ).join(flags, "question_id")
-    cols = ["question_id", "chunk_id", "doc_id", "score"]
-    scored = met.withColumn("score", F.col("overlap") + F.when(F.col("is_direct"), w.direct).otherwise(link) + bonus).select(cols)
-    # the rest: first k ids per flag class, scored for every combination of question flags
-    first = profile.select("chunk_id", "doc_id", *classes).withColumn(
-        "_rn", F.row_number().over(Window.partitionBy(*classes).orderBy("chunk_id"))
-    ).filter(F.col("_rn") <= k)
-    combos = F.array(*[F.struct(*[F.lit(bool(v)).alias(n) for v, n in zip(c, [*asks, "urgent"])]) for c in product((0, 1), repeat=n_topics + 1)])
-    flagged = first.withColumn("_c", F.explode(combos)).select("*", "_c.*").withColumn("score", link + bonus)
-    best = Window.partitionBy(*asks, "urgent").orderBy(F.col("score").desc(), "chunk_id")
-    rest = flagged.withColumn("_rn", F.row_number().over(best)).filter(F.col("_rn") <= k)
-    rest = flags.join(rest.select(*asks, "urgent", "chunk_id", "doc_id", "score"), [*asks, "urgent"]).select(cols)
-    both = scored.unionByName(rest).groupBy("question_id", "chunk_id").agg(F.max("score").alias("score"), F.first("doc_id").alias("doc_id"))
-    return _top(both.filter("score <> 0").select(cols), k)
+    flags = [c for c in asked.columns if c not in ("question_id", "tokens")]
+    block, one = F.floor(F.col("question_id") / QUESTION_BLOCK).alias("_block"), F.struct("question_id", *flags).alias("_q")
+    lists = asked.select(block, one, F.explode("tokens").alias("token")).groupBy("token", "_block").agg(F.collect_list("_q").alias("_qs"))
+    held = chunks.select("chunk_id", *keep, F.explode("tokens").alias("token"))
+    cols = ["chunk_id", "_block", *keep, "_qs"]
+    rows = held.join(lists, "token").select(*cols, F.lit(1).alias("_n"), F.lit(False).alias("_own"))
+    if own is not None:
+        keyed = own.join(asked.drop("tokens"), "question_id").select(block, one, "evidence_key").groupBy("evidence_key", "_block").agg(F.collect_list("_q").alias("_qs"))
+        by_key = chunks.drop("tokens").join(keyed, "evidence_key").select(*cols, F.lit(0).alias("_n"), F.lit(True).alias("_own"))
+        rows = rows.unionByName(by_key)
+    each = rows.repartition("chunk_id", "_block").select("chunk_id", "_block", *keep, "_n", "_own", F.explode("_qs").alias("_q"))
+    each = each.select("chunk_id", "_block", *keep, "_n", "_own", "_q.*")
+    return each.groupBy("chunk_id", "_block", "question_id").agg(
+        F.sum("_n").alias("overlap"), F.bool_or("_own").alias("is_direct"), *[F.first(c).alias(c) for c in [*keep, *flags]]
+    ).drop("_block")
 
 
 def _top(scored: DataFrame, k: int) -> DataFrame:
@@ -223,20 +170,22 @@ def passages_in(documents: DataFrame, passages: DataFrame, size: int = 8) -> Dat
 
     The first and last word of a contained passage may be cut out of longer words, the inner words are whole. So a
     hashed run of inner words finds the candidates: ``size`` words, or one word for shorter passages; ``contains``
-    then decides. A passage needs three words.
+    then decides. A passage of one or two words has no inner word and is looked for in every whole text.
     """
     n = F.size(F.filter(F.split("passage", r"\s+"), lambda x: x != ""))
     texts = passages.select("question_id", F.col("text").alias("passage")).withColumn("_n", n)
-    long, short = F.col("_n") >= size + 2, F.col("_n") < size + 2
+    long, short = F.col("_n") >= size + 2, (F.col("_n") >= 3) & (F.col("_n") < size + 2)
     found = None
     for pick, length in ((long, size), (short, 1)):
         key = F.element_at(T.shingle_keys(F.col("passage"), length), 2)
-        wanted = texts.filter(pick).select("question_id", F.when(F.col("_n") < 3, F.raise_error(F.lit("a passage needs three words"))).otherwise(key).alias("key"))
+        wanted = texts.filter(pick).select("question_id", key.alias("key"))
         held = documents.select("doc_id", F.explode(F.array_distinct(T.shingle_keys(F.col("text"), length))).alias("key"))
         part = held.join(wanted, "key").select("question_id", "doc_id")
         found = part if found is None else found.unionByName(part)
     checked = found.distinct().join(texts.drop("_n"), "question_id").join(documents.select("doc_id", "text"), "doc_id")
-    return checked.filter(F.contains("text", F.col("passage"))).select("question_id", "doc_id")
+    checked = checked.filter(F.contains("text", F.col("passage"))).select("question_id", "doc_id")
+    tiny = texts.filter(F.col("_n") < 3).join(documents.select("doc_id", "text"), F.contains("text", F.col("passage")))
+    return checked.unionByName(tiny.select("question_id", "doc_id").distinct())
 
 
 def seeds(question_tokens: DataFrame, entities: DataFrame) -> DataFrame:
