@@ -28,3 +28,22 @@ def test_followup_stream_join(spark, tmp_path):
     out = str(tmp_path / "out")
     I.run_batches(I.joined_followups(due, done, ["k"], 7), I.batch_writer(out), str(tmp_path / "cp"))
     assert [r["followup_id"] for r in spark.read.parquet(out).collect()] == [1]
+
+
+def test_late_rows_reach_the_result(spark, tmp_path):
+    """The second arrival is older than the first; a NULL key is a key."""
+    from pyspark.sql import functions as F
+
+    from tidemark.streaming import ingest as I
+
+    feed = str(tmp_path / "feed")
+    for rows in ([(1, "a", 100, 1.0), (2, None, 100, 1.0), (3, "a", 90000, 2.0)], [(4, "a", 50, 4.0), (5, None, 170, 8.0)], [(6, "a", 105, 16.0)]):
+        made = spark.createDataFrame(rows, "measurement_id long, k string, s long, value double").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+        made.coalesce(1).write.mode("append").parquet(feed)
+    read = lambda: I.event_stream(spark, feed, "measurement_id long, k string, value double, ts timestamp", files=1)
+    places = [str(tmp_path / n) for n in ("history", "kept", "cp")]
+    kept = I.keep_first_stream(read(), ["k"], 60, 86400, *places)
+    assert sorted((r["measurement_id"], r["kept_us"] // 1_000_000) for r in kept.collect()) == [(2, 100), (3, 90000), (4, 50), (5, 170)]
+    days = I.daily_stream(read(), ["k"], str(tmp_path / "days"), str(tmp_path / "cp2"))
+    assert {(r["k"], str(r["day"])): (r["total"], r["n"]) for r in days.collect()} == {
+        ("a", "1970-01-01"): (21.0, 3), ("a", "1970-01-02"): (2.0, 1), (None, "1970-01-01"): (9.0, 2)}

@@ -18,14 +18,17 @@ def r(c, n=6):
 
 
 def replay(t, cuts=("2024-01-11", "2024-01-21")):
-    """The event table as files in time order, one file set per period, read one period per micro-batch."""
-    path = fresh_path(t.spark, "feed")
-    edges = ["1970-01-01", *cuts, "2999-01-01"]
-    ts = F.col("ts")
-    for low, high in zip(edges, edges[1:]):
-        period = t.events.filter((ts >= F.lit(low).cast("timestamp")) & (ts < F.lit(high).cast("timestamp")))
-        period.coalesce(1).write.mode("append").parquet(path)
-    return measurement_rows(I.event_stream(t.spark, path, SCHEMAS["events"], files=1))
+    """The event table as a feed: a period per arrival, every seventh row a period late, many files per arrival.
+
+    Files are cut by time range over all shuffle tasks; a micro-batch takes as many files as an arrival has.
+    """
+    path, files = fresh_path(t.spark, "feed"), int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    period = sum(((F.col("ts") >= F.lit(c).cast("timestamp")).cast("int") for c in cuts), F.lit(0))
+    late = F.when(F.pmod("event_id", F.lit(7)) == 0, 1).otherwise(0)
+    events = t.events.withColumn("_arrival", F.coalesce(period + late, F.lit(0)))
+    for arrival in range(len(cuts) + 2):
+        events.filter(F.col("_arrival") == arrival).drop("_arrival").repartitionByRange(files, "ts", "event_id").write.mode("append").parquet(path)
+    return measurement_rows(I.event_stream(t.spark, path, SCHEMAS["events"], files=files))
 
 
 def whole(t):
@@ -54,28 +57,26 @@ def st1(t):
 
 @query("st2_duplicate_suppression", M.keep_first_sql(M.DUP_SQL, M.DUP_KEYS, 4 * 3600 * 1000000))
 def st2(t):
-    out, mark = spaces(t, "kept", "checkpoint")
+    history, out, mark = spaces(t, "history", "kept", "checkpoint")
     rows = replay(t).select(
         "participant_id", "metric", F.floor(F.col("value") / 50).alias("value"), F.when(F.col("k") % 2 == 0, F.col("k") % 4).alias("value2"), "ts", "measurement_id"
     )
-    I.run_batches(I.keep_first_stream(rows, M.DUP_KEYS, 4 * 3600), I.batch_writer(out), mark)
-    return t.spark.read.parquet(out).select(*M.DUP_KEYS, "kept_us", "measurement_id")
+    kept = I.keep_first_stream(rows, M.DUP_KEYS, 4 * 3600, 86400, history, out, mark)
+    return kept.select(*M.DUP_KEYS, "kept_us", "measurement_id")
 
 
 @query("st4_alert_suppression", M.keep_first_sql(M.ALERT_SQL, ["participant_id", "metric", "title"], 86400 * 1000000))
 def st4(t):
-    out, mark = spaces(t, "alerts", "checkpoint")
+    history, out, mark = spaces(t, "history", "alerts", "checkpoint")
     v, keys = F.col("value"), ["participant_id", "metric", "title"]
     rows = replay(t).select("participant_id", "metric", F.when(v >= 100, "very high").when(v >= 50, "high").otherwise("low").alias("title"), "ts", "measurement_id")
-    I.run_batches(I.keep_first_stream(rows, keys, 86400), I.batch_writer(out), mark)
-    return t.spark.read.parquet(out).select(*keys, "kept_us", "measurement_id")
+    return I.keep_first_stream(rows, keys, 86400, 7 * 86400, history, out, mark).select(*keys, "kept_us", "measurement_id")
 
 
 @query("st5_daily_tumbling", "SELECT participant_id, metric, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, round(sum(value),4) AS total, count(*) AS n FROM {measurements} m GROUP BY participant_id, metric, CAST(ts AS DATE)")
 def st5(t):
     out, mark = spaces(t, "daily", "checkpoint")
-    I.run_batches(I.daily_stream(replay(t), M.KEY, "1 day"), I.batch_writer(out), mark, "update")
-    state = I.latest_updates(t.spark, out, [*M.KEY, "day"], ["total", "n"])
+    state = I.daily_stream(replay(t), M.KEY, out, mark)
     return state.select(*M.KEY, F.col("day").cast("string").alias("day"), r("total", 4).alias("total"), "n")
 
 

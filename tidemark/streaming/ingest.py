@@ -6,14 +6,13 @@ is repeated after a failure replaces its earlier output. Checkpoints live in the
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidemark.operators.govern import newest_state
+from tidemark.operators.keepfirst import keep_first
 
 
 def event_stream(spark: SparkSession, path: str, schema: str, glob: str | None = None, files: int | None = None) -> DataFrame:
@@ -60,55 +59,42 @@ def time_policy(rows: DataFrame, now, high_water, delay_seconds: int) -> DataFra
     )
 
 
-def keep_first_stream(stream: DataFrame, keys: list[str], gap_seconds: int, delay: str = "0 seconds", ts: str = "ts", id_: str = "measurement_id") -> DataFrame:
-    """Keep a row, drop later rows of the key within the gap of the last kept row; state is one instant per key.
+def keep_first_stream(stream: DataFrame, keys: list[str], gap_seconds: int, chunk_seconds: int, history: str, output: str, checkpoint: str, id_: str = "measurement_id") -> DataFrame:
+    """Keep a row, drop later rows of the key within the gap of the last kept row, in whatever order rows arrive.
 
-    The state of a key is removed once the watermark has passed the last kept instant by the gap: no later row can fall
-    within it any more. Rows of one micro-batch are ordered by (ts, id) inside the key.
+    A row that arrives late can change which rows after it are kept, so the touched keys are resolved again on their whole
+    history, by time chunks as in the batch form; no row is dropped for being late. Returns the state after the last batch.
     """
-    names = list(keys)
-    types = {f.name: f.dataType.simpleString() for f in stream.schema}
-    schema = ", ".join(f"{k} {types[k]}" for k in names) + f", {id_} {types[id_]}, kept_us long"
-    gap = gap_seconds * 1_000_000
-
-    def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(chunks)).sort_values(["_us", id_])
-        last = state.get[0] if state.exists else None
-        kept = []
-        for us, rid in zip(rows["_us"], rows[id_]):
-            if last is None or us >= last + gap:
-                kept.append((*key, int(rid), int(us)))
-                last = int(us)
-        state.update((last,))
-        state.setTimeoutTimestamp(max(last // 1000 + gap_seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        if kept:
-            yield pd.DataFrame(kept, columns=[*names, id_, "kept_us"])
-
-    marked = stream.withWatermark(ts, delay).withColumn("_us", F.unix_micros(ts))
-    return marked.groupBy(*names).applyInPandasWithState(step, schema, "last long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def daily_stream(stream: DataFrame, keys: list[str], delay: str) -> DataFrame:
-    """Tumbling UTC days with sums and counts; run in update mode, the newest row per (key, day) is the state."""
-    windowed = stream.withWatermark("ts", delay).groupBy(*keys, F.window("ts", "1 day"))
-    return windowed.agg(F.sum("value").alias("total"), F.count("value").alias("n")).select(
-        *keys, F.to_date("window.start").alias("day"), "total", "n"
-    )
+    resolve = recompute_touched(history, output, keys, lambda rows: keep_first(rows, keys, gap_seconds, chunk_seconds, id_))
+    run_batches(stream, resolve, checkpoint)
+    return newest_groups(stream.sparkSession.read.parquet(output), keys)
+
+
+def daily_stream(stream: DataFrame, keys: list[str], output: str, checkpoint: str) -> DataFrame:
+    """Sums and counts per UTC day: every batch writes its own part, late rows included, and the parts add up to the state."""
+    days = [*keys, "day"]
+
+    def part(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("day", F.to_date("ts")).groupBy(*days).agg(F.sum("value").alias("total"), F.count("value").alias("n"))
+
+    run_batches(stream, batch_writer(output, part), checkpoint)
+    return stream.sparkSession.read.parquet(output).groupBy(*days).agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+
+
+def newest_groups(log: DataFrame, keys: list[str]) -> DataFrame:
+    """All rows that the last batch to touch a key wrote for it. A NULL key is a key."""
+    last = log.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max("batch").alias("_batch"))
+    return log.join(last, _same(keys) & (F.col("batch") == F.col("_batch"))).drop("batch", "_batch", *[f"_{k}" for k in keys])
 
 
-def latest_updates(spark: SparkSession, path: str, keys: list[str], columns: list[str]) -> DataFrame:
-    """Final state of an update log written per batch."""
-    log = spark.read.parquet(path)
-    return newest_state(log, keys, ["batch"], columns)
+def _same(keys: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
 
 
 def recompute_touched(history: str, output: str, keys: list[str], compute: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
     """Append the batch to the history, then recompute only the groups it touched from their whole history.
 
-    Used where an aggregate cannot be updated in place (medians, curve analysis). The touched keys of a batch are few
+    Used where an aggregate cannot be updated in place (medians, curve analysis, keep-first chains). A NULL key is a key. The touched keys of a batch are few
     against the history; the semi join lets Spark broadcast them when their measured size allows it.
     """
 
@@ -116,8 +102,8 @@ def recompute_touched(history: str, output: str, keys: list[str], compute: Calla
         rows.write.mode("overwrite").parquet(f"{history}/batch={batch}")
         spark = rows.sparkSession
         whole = spark.read.parquet(history).filter(F.col("batch") <= batch).drop("batch")
-        touched = spark.read.parquet(f"{history}/batch={batch}").select(*keys).distinct()
-        compute(whole.join(touched, keys, "left_semi")).write.mode("overwrite").parquet(f"{output}/batch={batch}")
+        touched = spark.read.parquet(f"{history}/batch={batch}").select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+        compute(whole.join(touched, _same(keys), "left_semi")).write.mode("overwrite").parquet(f"{output}/batch={batch}")
 
     return write
 
