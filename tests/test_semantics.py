@@ -324,3 +324,13 @@ def test_passages_of_one_and_two_words(spark):
     docs = spark.createDataFrame([(1, "xx alpha beta"), (2, "alphabet a"), (3, None)], "doc_id long, text string")
     asked = spark.createDataFrame([(1, "pha"), (2, "ha be"), (3, "xx alpha beta"), (4, "none")], "question_id long, text string")
     assert {tuple(r) for r in R.passages_in(docs, asked).collect()} == {(1, 1), (1, 2), (2, 1), (3, 1)}
+
+
+def test_short_series_keep_a_row(spark):
+    long = days(spark, range(1, 41))
+    daily = long.unionByName(days(spark, [1, 2, 3], key="b"))
+    rows = {r["status"]: r for r in V.analysed_all(daily, V.clean_series(daily, ["participant_id"]), ["participant_id"], 7).collect()}
+    assert set(rows) == {"ok", "insufficient_data"} and rows["ok"]["n_days"] == 40
+    short = rows["insufficient_data"]
+    assert not short["available"] and short["forecast"] is None and short["selected"] is None and short["n_days"] < 7
+    assert short["reason"] == f"valid days {short['n_days']}/7"

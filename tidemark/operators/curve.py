@@ -6,6 +6,8 @@ expressions again. Nothing is shuffled after the series are packed.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -20,7 +22,10 @@ TREND = ("slope", "intercept", "resid_std", "recent_slope")
 
 
 def packed(series: DataFrame, keys: list[str], least: int = 7) -> DataFrame:
-    """One row per series with ordered day and value arrays; a series is at most one looked-back year."""
+    """One row per series with ordered day and value arrays; a series is at most one looked-back year.
+
+    Shorter series than ``least`` cannot be fitted and are left out here; ``short_series`` has them.
+    """
     rows = series.withColumn("_n", F.count("v").over(Window.partitionBy(*keys))).filter(F.col("_n") >= least)
     numbered = day_number(rows, keys)
     grouped = numbered.groupBy(*keys).agg(
@@ -29,6 +34,28 @@ def packed(series: DataFrame, keys: list[str], least: int = 7) -> DataFrame:
     return spread(grouped.select(*keys, "last_day", F.col("_a.x").alias("xs"), F.col("_a.v").alias("ys")), keys)
 
 
+def short_series(daily: DataFrame, clean: DataFrame, keys: list[str], least: int = 7) -> DataFrame:
+    """Series of ``daily`` with fewer than ``least`` clean days, those without any included, as rows of ``analysed``.
+
+    They have the status insufficient_data, no fit and no forecast.
+    """
+    known = clean.groupBy(*keys).agg(F.count("v").alias("n_days"), F.datediff(F.max("day"), F.min("day")).cast("double").alias("span_days"), F.max("day").alias("last_day"))
+    same = reduce(lambda a, b: a & b, [F.col(f"d.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys])
+    rows = daily.select(*keys).distinct().alias("d").join(known.alias("c"), same, "left")
+    rows = rows.select(*[f"d.{k}" for k in keys], F.coalesce("n_days", F.lit(0)).cast("int").alias("n_days"), "span_days", "last_day").filter(F.col("n_days") < least)
+    reason = F.format_string(f"valid days %d/{least}", F.col("n_days").cast("long"))
+    return rows.select(
+        "*", F.lit("insufficient_data").alias("status"), F.lit("stable").alias("long_term_trend"), F.lit("stable").alias("recent_trend"),
+        F.lit("weak").alias("trend_strength"), F.lit(False).alias("available"), F.lit(0).alias("horizon"), reason.alias("reason"), F.lit(False).alias("crosses_bound"),
+    )
+
+
+def analysed_all(daily: DataFrame, clean: DataFrame, keys: list[str], requested: int = 7, **bounds) -> DataFrame:
+    """``analysed`` for every series of ``daily``; the short ones keep a row, see ``short_series``."""
+    full = analysed(packed(clean, keys), keys, requested, **bounds).withColumn("status", F.lit("ok"))
+    return full.unionByName(short_series(daily, clean, keys), allowMissingColumns=True)
+
+
 def clean_series(daily: DataFrame, keys: list[str], bounds: Column | None = None) -> DataFrame:
     """Days inside the bounds (when given) and not rejected by the MAD rule; rejected days are counted per series."""
     inside = daily if bounds is None else daily.withColumn("v", F.when(bounds, F.col("v")))

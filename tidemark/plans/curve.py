@@ -70,21 +70,23 @@ def ts8(t):
 
 
 def analysis(t, requested=30):
-    return V.analysed(V.packed(V.clean_series(supplier_daily(t), KEY), KEY), KEY, requested, low=0.0, high=400.0)
+    daily = supplier_daily(t)
+    return V.analysed_all(daily, V.clean_series(daily, KEY), KEY, requested, low=0.0, high=400.0)
 
 
 @query("ts11_curve_analysis", None)
 def ts11(t):
     return analysis(t).select(
-        "participant_id", "n_days", "span_days", "long_term_trend", "recent_trend", "trend_strength", "fluctuation", "selected",
+        "participant_id", "status", "n_days", "span_days", "long_term_trend", "recent_trend", "trend_strength", "fluctuation", "selected",
         F.col("best.mase").alias("mase"), "available", "horizon", "reason", "crosses_bound",
     )
 
 
 @query("ts11_forecast_points", None)
 def ts11_points(t):
-    rows = V.analysed(packs(t), KEY, 7)
-    return rows.select("participant_id", "selected", "horizon", F.explode_outer("forecast").alias("p")).select("participant_id", "selected", "horizon", "p.*")
+    daily = user_daily(t)
+    rows = V.analysed_all(daily, V.clean_series(daily, KEY), KEY, 7)
+    return rows.select("participant_id", "status", "selected", "horizon", F.explode_outer("forecast").alias("p")).select("participant_id", "status", "selected", "horizon", "p.*")
 
 
 GATE = """CASE WHEN n_days>=84 AND span_days>=90 THEN 30 WHEN n_days>=42 AND span_days>=56 THEN 14 WHEN n_days>=21 AND span_days>=28 THEN 7 ELSE 0 END"""
