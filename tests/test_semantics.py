@@ -334,3 +334,19 @@ def test_short_series_keep_a_row(spark):
     short = rows["insufficient_data"]
     assert not short["available"] and short["forecast"] is None and short["selected"] is None and short["n_days"] < 7
     assert short["reason"] == f"valid days {short['n_days']}/7"
+
+
+def test_registered_boosted_models_use_all_trees(study, monkeypatch):
+    from tidemark.plans import learning
+
+    class Done(Exception):
+        pass
+
+    def stop(estimator, *_):
+        raise Done(estimator.getMaxIter())
+
+    monkeypatch.setattr(L.GBTClassifier, "fit", stop)
+    monkeypatch.setattr(L.GBTRegressor, "fit", stop)
+    for plan, trees in ((learning.ml10, 300), (learning.ml14_models, 350), (learning.ml15, 300)):
+        with pytest.raises(Done, match=str(trees)):
+            plan(study)

@@ -11,7 +11,6 @@ from tidemark.plans.registry import query
 from tidemark.session import fresh_path
 
 FEATURES = ["n_orders", "sum_price", "max_price", "share_f", "balance"]
-TREES = 10  # study size of the boosted candidates; the operators default to 300 and more
 
 
 def r(c, n=6):
@@ -79,7 +78,7 @@ def ml9(t):
 def ml10(t):
     rows = study(t)
     ready = L.prepare(part(rows, "train"), FEATURES)
-    model = L.boosted_classifier(ready.vectors(part(rows, "train")).persist(), "y", trees=TREES)
+    model = L.boosted_classifier(ready.vectors(part(rows, "train")).persist(), "y")
     return L.summary(L.with_probability(model, ready.vectors(rows)), ["part"])
 
 
@@ -142,7 +141,7 @@ def ml14_models(t):
     ready = L.prepare(train, FEATURES)
     vectors, check = ready.vectors(train).persist(), ready.vectors(part(rows, "validation"))
     linear = L.ridge(vectors, "target").transform(check).withColumnRenamed("prediction", "linear")
-    scored = L.boosted_regressor(vectors, "target", trees=TREES).transform(linear).withColumnRenamed("prediction", "boosting")
+    scored = L.boosted_regressor(vectors, "target").transform(linear).withColumnRenamed("prediction", "boosting")
     mae = scored.agg(*[F.avg(F.abs(F.col("target") - F.col(c))).alias(n) for c, n in (("sum_price", "last_value"), ("linear", "linear"), ("boosting", "boosting"))])
     simple = F.least("last_value", "linear")
     chosen = F.when(F.col("boosting") <= 0.98 * simple, "boosting").when(F.col("last_value") <= F.col("linear"), "last_value").otherwise("linear")
@@ -154,7 +153,7 @@ def ml15(t):
     """Gain of the boosted model and the AUROC lost when a feature is permuted."""
     rows = study(t).persist()
     ready = L.prepare(part(rows, "train"), FEATURES)
-    model = L.boosted_classifier(ready.vectors(part(rows, "train")).persist(), "y", trees=TREES)
+    model = L.boosted_classifier(ready.vectors(part(rows, "train")).persist(), "y")
     gains = dict(zip(ready.inputs, model.featureImportances.toArray().tolist()))
     check = part(rows, "validation")
     variants = [("", check)] + [(c, L.permuted(check, c, F.concat_ws("-", "id", "wave"), 42)) for c in FEATURES]
