@@ -433,3 +433,11 @@ def test_main_text_keeps_the_article_alone(spark):
     assert by[2].text == by[3].text == by[6].text == "" and by[4].text == "plain text" and by[5].text == "cut off" and by[8].text == "deep words"
     assert by[7].text == want
     assert extract.extract(frame.limit(0)).collect() == []
+
+
+def test_items_without_an_id_are_found(spark):
+    words = prose(51, 40)
+    docs = spark.createDataFrame([(1, prose(52, 30) + " " + words), (2, prose(53, 60))], "doc_id long, text string")
+    items = spark.createDataFrame([(None, words), (7, prose(54, 40))], "item_id long, text string")
+    got = {r.doc_id: (r.coverage, r.item_id, r.contaminated) for r in decontaminate.contaminated(docs, items).collect()}
+    assert got == {1: (1.0, None, True), 2: (0.0, None, False)}

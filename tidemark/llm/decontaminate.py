@@ -159,13 +159,14 @@ def coverages(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFra
     """Scanned documents ``(id, doc_id, mark, n_words)`` and tiled pairs ``(id, item_id, covered, item_words)``.
 
     A pair is listed for every document and item that share a seed. Items under five words have no seed; equal items are
-    tiled once and then named by each item_id. Null texts are empty; words are lower-cased A-Z only.
+    tiled once and then named by their smallest item_id. An item without an item_id is an item like any other. Null texts are
+    empty; words are lower-cased A-Z only.
     """
     spark = ready(docs.sparkSession)
     items = benchmark.select("item_id", text_bytes("text").alias("text")).mapInArrow(_items, "item_id long, words binary, seeds array<long>")
     items = store(items, "benchmark-words")
     distinct = items.groupBy("words").agg(F.min(F.struct(F.col("item_id").isNull(), "item_id"))["item_id"].alias("item_id"), F.first("seeds").alias("seeds"))
-    distinct = store(distinct.where("size(seeds) > 0"), "benchmark-items")
+    distinct = store(distinct.where("size(seeds) > 0").withColumn("item", F.monotonically_increasing_id()), "benchmark-items")
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
     for part in distinct.select("seeds").coalesce(8).mapInArrow(_filter_part, "bits binary").toLocalIterator():
         bits |= np.frombuffer(part["bits"], np.uint8)
@@ -173,9 +174,9 @@ def coverages(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFra
     rows = docs.select("doc_id", F.xxhash64(text_bytes("text")).alias("mark"), text_bytes("text").alias("text"))
     rows = rows.mapInArrow(_scan(shared), "doc_id long, mark long, n_words long, stretches binary, sizes array<int>, seeds array<long>")
     rows = store(rows.withColumn("id", F.monotonically_increasing_id()), "scanned")
-    seeds = distinct.select("item_id", F.explode("seeds").alias("seed"))
-    met = rows.where("seeds is not null").select("id", F.explode("seeds").alias("seed")).join(seeds, "seed").select("id", "item_id").distinct()
-    pairs = met.join(rows.select("id", "stretches", "sizes"), "id").join(distinct.select("item_id", "words"), "item_id")
+    seeds = distinct.select("item", F.explode("seeds").alias("seed"))
+    met = rows.where("seeds is not null").select("id", F.explode("seeds").alias("seed")).join(seeds, "seed").select("id", "item").distinct()
+    pairs = met.join(rows.select("id", "stretches", "sizes"), "id").join(distinct.select("item", "item_id", "words"), "item")
     pairs = pairs.select("id", "item_id", "words", "stretches", "sizes").mapInArrow(_tiled, "id long, item_id long, covered long, item_words long")
     return rows.select("id", "doc_id", "mark", "n_words"), store(pairs, "tiled")
 
@@ -183,11 +184,11 @@ def coverages(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFra
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = COVERAGE) -> DataFrame:
     """One row per document row: ``doc_id, mark, n_words, item_id, coverage, contaminated``.
 
-    ``item_id`` is the item covered best (ties: the smallest id; copies of an item go by their smallest id), null without a
-    tile; ``coverage`` is then 0. Empty tables, null and short texts are clean.
+    ``item_id`` is the item covered best (ties: the smallest id; copies of an item go by their smallest id; a null id comes
+    last), null without a tile; ``coverage`` is then 0. Empty tables, null and short texts are clean.
     """
     rows, pairs = coverages(docs, benchmark)
     best = pairs.where("covered > 0").withColumn("coverage", F.col("covered") / F.col("item_words"))
-    best = best.groupBy("id").agg(F.max("coverage").alias("coverage"), F.min_by("item_id", F.struct(-F.col("coverage"), F.col("item_id"))).alias("item_id"))
+    best = best.groupBy("id").agg(F.max("coverage").alias("coverage"), F.min_by("item_id", F.struct(-F.col("coverage"), F.col("item_id").isNull(), F.col("item_id"))).alias("item_id"))
     out = rows.join(best, "id", "left").withColumn("coverage", F.coalesce("coverage", F.lit(0.0)))
     return out.select("doc_id", "mark", "n_words", "item_id", "coverage", (F.col("coverage") >= least).alias("contaminated"))
