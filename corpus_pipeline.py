@@ -19,9 +19,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies (shingle similarity 0.8 or more); one row of repeated rows."""
-    kept = minhash.near_duplicates(docs, percent=80).where("kept").select("doc_id", "mark").distinct()
-    return _only(docs, kept, "left_semi").dropDuplicates(["doc_id", "_mark"]).drop("_mark")
+    """The document with the smallest id of each group of near copies (shingle similarity 0.8 or more); one row where ids repeat or are null."""
+    return _only(docs, minhash.one_of_each(docs, percent=80), "left_semi").dropDuplicates(["doc_id", "_mark"]).drop("_mark")
 
 
 def free_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -76,3 +76,18 @@ def test_pipeline_is_registered():
 
     names = entry.queries()
     assert "pipeline" in names and sum(n.startswith("op") for n in names if n.split("_")[0][2:].isdigit()) == 10
+
+
+def test_one_row_stays_where_ids_repeat_or_are_null(spark):
+    import corpus_pipeline
+
+    def near(word):
+        words = [f"word{i}" for i in range(200)]
+        return " ".join([*words[:100], word, *words[101:]])
+
+    other = " ".join(f"item{i}" for i in range(80))
+    rows = [(None, near("a")), (None, near("b")), (5, other), (5, other + " x"), (5, other + " y"), (6, other), (None, ""), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = corpus_pipeline.one_of_each_group(spark, docs, SF).collect()
+    assert sorted((r.text or "")[:5] for r in left) == ["", "", "item0", "word0"]
+    assert [r.doc_id for r in left if r.text and r.text.startswith("item")] == [5]

@@ -113,12 +113,29 @@ def as_set(content: bytes) -> np.ndarray:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """One row per document row: ``doc_id, mark, n_shingles, component_id, kept`` (``mark``: hash of the text).
+    """``components`` without the internal number, and ``kept``: whether ``component_id`` is the row's own doc_id.
+
+    A null doc_id alone is kept, and so is every row that repeats its component's id; ``one_of_each`` keeps a single row.
+    """
+    named = components(docs, percent).drop("component")
+    return named.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def one_of_each(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """``doc_id, mark`` of one row per component, the smallest doc_id (null last) and then mark; rows without shingles all stay."""
+    rows = components(docs, percent)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark"))
+    first = rows.where("component is not null").groupBy("component").agg(least.alias("_at")).select("_at.doc_id", "_at.mark")
+    return first.unionByName(rows.where("component is null").select("doc_id", "mark").distinct())
+
+
+def components(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """One row per document row: ``doc_id, mark, n_shingles, component, component_id`` (``mark``: hash of the text).
 
     Documents whose sets agree to ``percent`` are linked; ``component_id`` is the smallest doc_id reachable by links, itself
-    included, ``kept`` says whether it is the row's own. Equal sets are one node from the start, so copies cost one row each.
-    Null and blank texts have an empty set and no link; texts under five words are one shingle. A null doc_id never names a
-    component that has another id; alone, it has a null component and is kept. Rows that repeat a doc_id are nodes of their
+    included, ``component`` numbers the components in this run. Equal sets are one node from the start, so copies cost one row each.
+    Null and blank texts have an empty set, no link and no component; texts under five words are one shingle. A null doc_id never names a
+    component that has another id; alone, it has a null component_id. Rows that repeat a doc_id are nodes of their
     own and share their component's id. Other columns are not touched. Empty tables give no row.
     """
     spark = ready(docs.sparkSession)
@@ -146,8 +163,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     named = first.join(linked, "id", "left").select("set_key", "doc_id", F.coalesce("comp", "id").alias("comp"))
     named = store(named, "named-sets")
     smallest = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    named = store(named.join(smallest, "comp").select("set_key", "component_id"), "components")
+    named = store(named.join(smallest, "comp").select("set_key", F.col("comp").alias("component"), "component_id"), "components")
     out = rows.select("doc_id", "mark", "n_shingles", "set_key").join(named, "set_key", "left")
     return out.select(
-        "doc_id", "mark", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
-    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        "doc_id", "mark", "n_shingles", "component", F.coalesce("component_id", "doc_id").alias("component_id"),
+    )
