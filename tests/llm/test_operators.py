@@ -441,3 +441,17 @@ def test_items_without_an_id_are_found(spark):
     items = spark.createDataFrame([(None, words), (7, prose(54, 40))], "item_id long, text string")
     got = {r.doc_id: (r.coverage, r.item_id, r.contaminated) for r in decontaminate.contaminated(docs, items).collect()}
     assert got == {1: (1.0, None, True), 2: (0.0, None, False)}
+
+
+def test_main_text_keeps_wrappers_of_the_article():
+    text, note = prose(61, 120), prose(62, 12)
+    part = f"<p>{text}</p>"
+    pages = [
+        f"<body><div class='has-sidebar'>{part}<div class='sidebar'>{note}</div></div></body>",
+        f"<body><form id='aspnetForm'><div id='content-with-nav'>{part}</div><select><option>x</option></select></form></body>",
+        f"<body><div class='social-history'><article>{part}</article></div><p>{note}</p></body>",
+        f"<body><main><div class='no-sidebar'><article>{part}</article></div></main><form>{note}</form></body>",
+        f"<body><article>{part}<div class='comments'><article><p>{text} {note}</p></article></div></article></body>",
+        f"<body><div>{part}</div><div class='comments'><p>{prose(63, 300)}</p></div></body>",
+    ]
+    assert [extract.main_text(p) for p in pages] == [text] * len(pages)

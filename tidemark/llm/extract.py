@@ -1,7 +1,8 @@
 """Main text of web pages by composite text density.
 
 A small tolerant tree is built from the page; menus, page headers, footers, sidebars, adverts, notices, forms, comments and
-code are cut out by what their tags, roles and class names say. Of the rest every node gets its composite text density:
+code are cut out by what their tags, roles and class names say. A name or a form does not cut what holds the page's article
+or most of its text. Of the rest every node gets its composite text density:
 characters per tag, scaled down where links hold the characters. The node with the largest sum of its children's densities
 is the article's core; the lowest density on its path from the body is the threshold that lets it grow to its ancestors.
 """
@@ -28,23 +29,27 @@ BLOCKS = frozenset(
 ENDS_P = BLOCKS - frozenset("body html td th tr tbody thead tfoot caption".split())
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("table ul ol dl select body html".split())
-NO_TEXT = frozenset("head title script style noscript template iframe object svg canvas audio video button select textarea nav footer aside form dialog".split())
-NO_ROLE = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
+NO_TEXT = frozenset("head title script style noscript template iframe object svg canvas audio video button select textarea nav footer aside dialog".split())
+NO_ROLE = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar".split())
 NO_NAME = frozenset(
     "ad ads advert adverts advertisement advertising adbox banner breadcrumb breadcrumbs comment comments consent cookie cookies "
     "copyright disqus footer login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo "
     "promoted recommended related share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
 WHOLE = frozenset(("html", "body", "article", "main"))
+#: Readers' own texts may be longer than the article; their length does not keep them.
+READERS = frozenset(("comment", "comments", "disqus"))
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "dropped", "chars", "tags", "link_chars", "link_tags", "density")
+    __slots__ = ("tag", "parent", "items", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "names", "plain", "mains", "articles")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool) -> None:
         self.tag, self.parent, self.dropped = tag, parent, dropped
         self.items: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = 0.0
+        self.names: frozenset[str] = frozenset()
+        self.plain = self.mains = self.articles = 0
 
 
 class Tree(HTMLParser):
@@ -53,6 +58,7 @@ class Tree(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.now = Node("#root", None, False)
+        self.doubtful = False
 
     def _close(self, tags: tuple[str, ...], stop: frozenset[str]) -> None:
         node = self.now
@@ -70,10 +76,14 @@ class Tree(HTMLParser):
         given = dict(attrs)
         inside = any(n.tag in ("article", "main") for n in self._path())
         names = set() if tag in WHOLE else set(re.findall(r"[a-z0-9]+", f"{given.get('class') or ''} {given.get('id') or ''}".lower()))
+        role = (given.get("role") or "").lower()
         dropped = (
             tag in NO_TEXT or (tag == "header" and not inside) or "hidden" in given or given.get("aria-hidden") == "true"
-            or (given.get("role") or "").lower() in NO_ROLE or bool(names & NO_NAME))
+            or role in NO_ROLE)
         node = Node(tag, self.now, dropped or self.now.dropped)
+        if not node.dropped:
+            node.names = frozenset(names & NO_NAME) | (frozenset(("form",)) if "form" in (tag, role) else frozenset())
+            self.doubtful = self.doubtful or bool(node.names)
         self.now.items.append(node)
         if tag not in VOID:
             self.now = node
@@ -99,6 +109,37 @@ class Tree(HTMLParser):
             self.now.items.append(data)
 
 
+def _cut(root: Node) -> None:
+    """Drops what a name or a form marks, except what holds the page's article or most of its text outside links."""
+    order, stack = [], [(root, False)]
+    while stack:
+        node, linked = stack.pop()
+        linked = linked or node.tag == "a"
+        order.append(node)
+        if not linked:
+            node.plain = sum(len("".join(x.split())) for x in node.items if isinstance(x, str))
+        stack += [(x, linked) for x in node.items if isinstance(x, Node) and not x.dropped]
+    for node in reversed(order):
+        if node.plain:
+            node.mains += node.tag == "main"
+            node.articles += node.tag == "article"
+        if node.parent is not None:
+            node.parent.plain += node.plain
+            node.parent.mains += node.mains
+            node.parent.articles += node.articles
+    for node in order:
+        if not node.names:
+            continue
+        above, around = [], node.parent
+        while around is not None:
+            above.append(around.tag)
+            around = around.parent
+        inside = node.mains + node.articles
+        beside = root.mains + root.articles - inside - above.count("main") - above.count("article")
+        most = 2 * node.plain > root.plain and not node.names & READERS and (inside > 0 or beside == 0)
+        node.dropped = not (node.mains or (inside and not beside and "article" not in above) or most)
+
+
 def _measure(root: Node) -> list[Node]:
     """Fills the counts bottom-up; returns the kept nodes in page order."""
     order, stack = [], [root]
@@ -198,6 +239,8 @@ def main_text(html: str) -> str:
     tree = Tree()
     tree.feed(html)
     tree.close()
+    if tree.doubtful:
+        _cut(tree.root)
     order = _measure(tree.root)
     return "\n\n".join(_blocks(_article(order))) if order and tree.root.chars else ""
 
