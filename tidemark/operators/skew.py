@@ -76,7 +76,8 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float
 
     def value_at(name: str) -> Column:
         low, high, at = pick(name, "lo", "_v"), pick(name, "hi", "_v"), pick(name, "lo", "_t.pos")
-        return F.when(low == high, low).otherwise(low + (high - low) * (at - F.floor(at))).alias(name)
+        part = at - F.floor(at)
+        return F.when(low == high, low).otherwise(low * (1 - part) + high * part).alias(name)
 
     return hits.groupBy(*keys).agg(*[value_at(name) for name in probs])
 
