@@ -356,6 +356,21 @@ def test_line_signatures_agree_like_sets():
     assert mark[2] == mark[3] == 0 and np.bitwise_count(mark[0] ^ mark[1]) <= lines.APART < np.bitwise_count(mark[0] ^ mark[4])
 
 
+def test_line_marks_are_counted_without_sign():
+    """Marks that differ in the first bit and one other are near; those that differ in 20 bits are not."""
+    bucket, ids = np.array([5, 5, 6, 6]), np.array([1, 2, 3, 4])
+    far = int("1" * 20 + "0" * 43 + "1", 2) - (1 << 64)
+    found = lines._met(bucket, ids, np.array([1, -(2**63), 1, far], np.int64))
+    assert sorted(found.tolist()) == [1, 2]
+
+
+def test_line_links_in_pairs_and_in_matrices_agree():
+    rows = lines.sketches([prose(k % 7, 12 + k % 3).encode() for k in range(40)])
+    whole = lines.likeness(rows, rows)
+    for step in range(1, 40):
+        assert (lines.alike(rows[:-step], rows[step:]) == np.diagonal(whole, step)).all()
+
+
 def test_line_candidates_do_not_depend_on_batches_or_tasks():
     rng = np.random.default_rng(3)
     rows = sorted({(int(b), int(i)) for b, i in zip(rng.integers(0, 600, 900), rng.integers(0, 10**6, 900), strict=True)} | {(700, i) for i in range(700)})

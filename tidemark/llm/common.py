@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -186,11 +187,36 @@ def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
+#: Folders of stored tables that can still be discarded.
+_stored: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it again: no task of an earlier stage ever runs again for it."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write a table into the shared folder and read it again: no task of an earlier stage ever runs again for it.
+
+    As nothing reads the shuffle files of a table that is written, Spark removes them at the end of the write.
+    """
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _stored[out] = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove tables that ``store`` wrote, once everything that reads them has been written itself."""
+    for df in frames:
+        path = _stored.pop(df, None)
+        if path is not None:
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
 
 
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

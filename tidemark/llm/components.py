@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import store
+from tidemark.llm.common import discard, store
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -36,7 +36,8 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now = store(now, "edges")
     seen = _mark(now)
     while True:
-        now = store(_small_star(_large_star(now)), "edges")
+        last, now = now, store(_small_star(_large_star(now)), "edges")
+        discard(last)
         mark = _mark(now)
         if mark == seen:
             break

@@ -21,6 +21,8 @@ from tidemark.llm.components import connected
 
 #: Members that one task compares with one another.
 PIECE = 256
+#: Buckets of at most so many members are compared together, offset by offset, where a pairwise form is given.
+TOGETHER = 16
 
 Similarity = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
@@ -57,15 +59,39 @@ def _parts(table: pa.Table, keys: list[str]) -> Iterator[tuple[int, int]]:
     yield from zip([0, *edge], [*edge, table.num_rows], strict=True)
 
 
-def _candidates(similar: Similarity, floor: float):
+def _neighbours(buckets: np.ndarray, ids: np.ndarray, sketches: np.ndarray, pairwise: Similarity, floor: float) -> list[tuple[int, int]]:
+    """Stars of small buckets, all at once: each row meets the row 1, 2, … places after it in its bucket."""
+    order = np.lexsort((ids, buckets))
+    buckets, ids, sketches = buckets[order], ids[order], sketches[order]
+    ones, twos, step = [], [], 0
+    rows = np.arange(len(ids))
+    while True:
+        step += 1
+        rows = rows[: np.searchsorted(rows, len(ids) - step)]
+        rows = rows[buckets[rows] == buckets[rows + step]]
+        if not len(rows):
+            break
+        near = rows[pairwise(sketches[rows], sketches[rows + step]) >= floor]
+        ones.append(near)
+        twos.append(near + step)
+    if not ones:
+        return []
+    return _edges(ids, spread(len(ids), np.concatenate(ones), np.concatenate(twos)))
+
+
+def _candidates(similar: Similarity, floor: float, pairwise: Similarity | None):
     """Arrow pass over buckets: stars of members whose sketches may reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["bucket"]):
             ids = table["id"].to_numpy()
             sketches = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(ids), -1)
-            found = []
-            for lo, hi in _parts(table, ["bucket"]):
+            found, parts = [], list(_parts(table, ["bucket"]))
+            if pairwise is not None:
+                few = np.repeat([hi - lo <= TOGETHER for lo, hi in parts], [hi - lo for lo, hi in parts])
+                found += _neighbours(table["bucket"].to_numpy()[few], ids[few], sketches[few], pairwise, floor)
+                parts = [(lo, hi) for lo, hi in parts if hi - lo > TOGETHER]
+            for lo, hi in parts:
                 order = lo + np.argsort(ids[lo:hi])
                 x, y = np.nonzero(np.triu(similar(sketches[order], sketches[order]) >= floor, 1))
                 found += _edges(ids[order], spread(hi - lo, x, y))
@@ -124,19 +150,20 @@ def near_components(
     as_set: Callable[[bytes], np.ndarray],
     least: tuple[int, int],
     name: str,
+    pairwise: Similarity | None = None,
 ) -> DataFrame:
     """Components ``(id, comp)`` of the items that are linked to another item; ``comp`` is the smallest id.
 
     ``members``: ``(bucket, id)``, at most one row of an id in a bucket. ``details(ids)`` gives ``(id, sketch, content)`` for a table
     of ids; only items that share a bucket are asked for. ``similar`` estimates similarity between rows of two sketch
-    matrices; pairs under ``floor`` are no candidates. ``as_set`` makes a sorted set of a content; two sets are linked if
+    matrices (``pairwise``, if given, between equal rows of two); pairs under ``floor`` are no candidates. ``as_set`` makes a sorted set of a content; two sets are linked if
     their intersection over their union is at least ``least[0] / least[1]``.
     """
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     crowded = store(members.join(sizes, "bucket"), f"{name}-buckets")
     detail = store(details(crowded.select("id").distinct()), f"{name}-details")
     small = crowded.where(f"n <= {PIECE}").join(detail.select("id", "sketch"), "id").select("bucket", "id", "sketch")
-    stars = small.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_candidates(similar, floor), "a long, b long")
+    stars = small.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_candidates(similar, floor, pairwise), "a long, b long")
     large = crowded.where(f"n > {PIECE}")  # taken whole: what is alike enough is decided on the sets
     hubs = large.groupBy("bucket").agg(F.min("id").alias("b"))
     stars = stars.union(large.join(hubs, "bucket").select(F.col("id").alias("a"), "b"))
