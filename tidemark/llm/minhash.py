@@ -108,8 +108,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [batch.column("id")[lo:hi], pa.array(sketches, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "sketch", "content"])
 
 
-def as_set(content: bytes) -> np.ndarray:
-    return np.frombuffer(content, np.uint64)
+def as_sets(contents: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(content, np.uint64) for content in contents]
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -159,7 +159,7 @@ def components(docs: DataFrame, percent: int = 85) -> DataFrame:
         found = found.join(wanted, F.expr("doc_id <=> at_doc and mark = at_mark")).select("id", "text")
         return found.mapInArrow(_sets, "id long, sketch binary, content binary").dropDuplicates(["id"])
 
-    linked = near_components(members, details, likeness, percent / 100 - SLACK, as_set, (percent, 100), "minhash")
+    linked = near_components(members, details, likeness, percent / 100 - SLACK, as_sets, (percent, 100), "minhash")
     named = first.join(linked, "id", "left").select("set_key", "doc_id", F.coalesce("comp", "id").alias("comp"))
     named = store(named, "named-sets")
     smallest = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))

@@ -116,7 +116,7 @@ def shared(own: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _links(as_set: Callable[[bytes], np.ndarray], least: tuple[int, int]):
+def _links(as_sets: Callable[[list[bytes]], list[np.ndarray]], least: tuple[int, int]):
     """Arrow pass over pieces: stars of members that are linked exactly; guests are compared with the piece's own members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +129,7 @@ def _links(as_set: Callable[[bytes], np.ndarray], least: tuple[int, int]):
                 if len(order) < 2:
                     continue
                 ids, comp = every[order], comps[order]
-                sets = [as_set(contents[int(i)].as_py()) for i in order]
+                sets = as_sets(contents.take(order).to_pylist())
                 size = np.array([len(s) for s in sets])
                 own = np.flatnonzero(~guest[order])
                 both = shared([sets[i] for i in own], sets)
@@ -147,7 +147,7 @@ def near_components(
     details: Callable[[DataFrame], DataFrame],
     similar: Similarity,
     floor: float,
-    as_set: Callable[[bytes], np.ndarray],
+    as_sets: Callable[[list[bytes]], list[np.ndarray]],
     least: tuple[int, int],
     name: str,
     pairwise: Similarity | None = None,
@@ -156,7 +156,7 @@ def near_components(
 
     ``members``: ``(bucket, id)``, at most one row of an id in a bucket. ``details(ids)`` gives ``(id, sketch, content)`` for a table
     of ids; only items that share a bucket are asked for. ``similar`` estimates similarity between rows of two sketch
-    matrices (``pairwise``, if given, between equal rows of two); pairs under ``floor`` are no candidates. ``as_set`` makes a sorted set of a content; two sets are linked if
+    matrices (``pairwise``, if given, between equal rows of two); pairs under ``floor`` are no candidates. ``as_sets`` makes a sorted set of each content; two sets are linked if
     their intersection over their union is at least ``least[0] / least[1]``.
     """
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
@@ -179,7 +179,7 @@ def near_components(
         rows = rows.union(guests.select("cluster", everywhere, "id", "comp", F.lit(True).alias("guest")))
         rows = rows.join(detail.select("id", "content"), "id").select("cluster", "piece", "id", "comp", "guest", "content")
         rows = rows.repartition("cluster", "piece").sortWithinPartitions("cluster", "piece")
-        return store(rows.mapInArrow(_links(as_set, least), "a long, b long"), f"{name}-links")
+        return store(rows.mapInArrow(_links(as_sets, least), "a long, b long"), f"{name}-links")
 
     alone = clusters.withColumn("comp", F.col("id"))
     found = linked(alone, alone.where(f"id = cluster and n > {PIECE}"))
