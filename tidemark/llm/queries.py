@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, embed, extract, lines, minhash, mix, quality, secrets, tokens, urls
+from tidemark.llm import decontaminate, embed, extract, lines, minhash, mix, quality, rank, secrets, tokens, urls, warc, whiten
 from tidemark.llm.common import ready, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,54 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-copy component of every document."""
     return minhash.near_duplicates(tables(spark, sf_dir, "documents")).drop("mark")
+
+
+RECORDS_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, max(page_id) AS first_id FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT page_id, payload_bytes, p.payload_digest,
+  CASE WHEN page_id < first_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < first_id THEN first_id END AS refers_to
+FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND payload_bytes >= 1000
+"""
+
+
+@query("op11_warc_bundles", RECORDS_SQL)
+def warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record as read back from the bundles."""
+    records = warc.read_archive(warc.write_archive(tables(spark, sf_dir, "pages")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SEARCH_SQL = r"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+sizes AS (SELECT doc_id, count(*) AS n FROM words GROUP BY 1),
+whole AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS every FROM sizes),
+post AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY 1, 2),
+stats AS (
+  SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM post GROUP BY 1), whole),
+scored AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // every)))) AS BIGINT) AS score
+  FROM asked JOIN post USING (term) JOIN stats USING (term) JOIN sizes USING (doc_id), whole GROUP BY 1, 2),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@query("op12_ranked_search", SEARCH_SQL)
+def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    found = rank.search(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "benchmark"))
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
+@query("op13_whitening")
+def whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened coordinates of every vector."""
+    return whiten.whiten(tables(spark, sf_dir, "embeddings"))
