@@ -241,12 +241,15 @@ def ag40(t):
 FOLLOW = "(SELECT o_orderkey AS followup_id, o_custkey AS participant_id, TIMESTAMP '2024-01-01' + to_days(CAST(o_orderkey%28 AS INTEGER)) + INTERVAL 12 HOUR AS due_ts FROM orders)"
 
 
-@query(
-    "st8_followup_closure",
-    f"""SELECT followup_id, CASE WHEN closed IS NULL THEN 'scheduled' ELSE 'completed' END AS status, CAST(closed AS VARCHAR) AS closed_day FROM (SELECT followup_id, min(CAST(ts AS DATE)) AS closed FROM {FOLLOW} f LEFT JOIN (SELECT user_id, ts FROM events) e ON e.user_id=f.participant_id AND e.ts>f.due_ts AND CAST(e.ts AS DATE)<=CAST(f.due_ts AS DATE)+7 GROUP BY 1) x""",
-)
-def st8(t):
+FOLLOWUP_SQL = f"""SELECT followup_id, CASE WHEN closed IS NULL THEN 'scheduled' ELSE 'completed' END AS status, CAST(closed AS VARCHAR) AS closed_day FROM (SELECT followup_id, min(CAST(ts AS DATE)) AS closed FROM {FOLLOW} f LEFT JOIN (SELECT user_id, ts FROM events) e ON e.user_id=f.participant_id AND e.ts>f.due_ts AND CAST(e.ts AS DATE)<=CAST(f.due_ts AS DATE)+7 GROUP BY 1) x"""
+
+
+def followup_plans(orders):
     due = F.expr("TIMESTAMP '2024-01-01 12:00:00' + make_interval(0, 0, 0, CAST(o_orderkey % 28 AS INT))")
-    plans = t.orders.select(F.col("o_orderkey").alias("followup_id"), F.col("o_custkey").alias("participant_id"), due.alias("due_ts"))
-    done = G.followups_closed(plans, t.measurements.select("participant_id", "ts"), ["participant_id"], 7)
+    return orders.select(F.col("o_orderkey").alias("followup_id"), F.col("o_custkey").alias("participant_id"), due.alias("due_ts"))
+
+
+@query("st8_followup_closure", FOLLOWUP_SQL)
+def st8(t):
+    done = G.followups_closed(followup_plans(t.orders), t.measurements.select("participant_id", "ts"), ["participant_id"], 7)
     return done.select("followup_id", "status", F.col("closed_day").cast("string").alias("closed_day"))

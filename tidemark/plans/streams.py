@@ -1,4 +1,4 @@
-"""Streaming queries: each replays the event table in time-ordered micro-batches and returns the resulting table."""
+"""Streaming queries: each reads the event table as a stream and returns the resulting table."""
 
 from __future__ import annotations
 
@@ -7,32 +7,20 @@ from pyspark.sql import functions as F
 from tidemark.functions import cleaning as C
 from tidemark.operators import curve as V, govern as G, series as S, skew
 from tidemark.plans import measurement as M
+from tidemark.plans.governance import FOLLOWUP_SQL, followup_plans
 from tidemark.plans.registry import query
 from tidemark.session import fresh_path
 from tidemark.sources.views import SCHEMAS, measurement_rows
 from tidemark.streaming import ingest as I
+from tidemark.streaming.suppress import keep_first_stream
 
 
 def r(c, n=6):
     return F.round(c, n)
 
 
-def replay(t, cuts=("2024-01-11", "2024-01-21")):
-    """The event table as a feed: a period per arrival, every seventh row a period late, many files per arrival.
-
-    Files are cut by time range over all shuffle tasks; a micro-batch takes as many files as an arrival has.
-    """
-    path, files = fresh_path(t.spark, "feed"), int(t.spark.conf.get("spark.sql.shuffle.partitions"))
-    period = sum(((F.col("ts") >= F.lit(c).cast("timestamp")).cast("int") for c in cuts), F.lit(0))
-    late = F.when(F.pmod("event_id", F.lit(7)) == 0, 1).otherwise(0)
-    events = t.events.withColumn("_arrival", F.coalesce(period + late, F.lit(0)))
-    for arrival in range(len(cuts) + 2):
-        events.filter(F.col("_arrival") == arrival).drop("_arrival").repartitionByRange(files, "ts", "event_id").write.mode("append").parquet(path)
-    return measurement_rows(I.event_stream(t.spark, path, SCHEMAS["events"], files=files))
-
-
 def whole(t):
-    """The event table as a stream with a single source file."""
+    """The event table as a stream; rows come in the table's order, which is not that of time."""
     return measurement_rows(I.event_stream(t.spark, t.sf_dir, SCHEMAS["events"], glob="events.parquet"))
 
 
@@ -44,7 +32,7 @@ def spaces(t, *names):
 def st1(t):
     good, bad, mark = spaces(t, "valid", "quarantine", "checkpoint")
     kinds = F.array(*[F.lit(x) for x in ("bp", "glucose", "hr", "other")])
-    rows = replay(t).withColumn("mtype", F.element_at(kinds, (F.col("measurement_id") % 4 + 1).cast("int"))).withColumn(
+    rows = whole(t).withColumn("mtype", F.element_at(kinds, (F.col("measurement_id") % 4 + 1).cast("int"))).withColumn(
         "value2", F.when(F.col("k") % 7 != 0, (F.col("k") * 2).cast("double"))
     )
     joined = rows.join(M.definitions(t), "mtype", "left")
@@ -57,26 +45,26 @@ def st1(t):
 
 @query("st2_duplicate_suppression", M.keep_first_sql(M.DUP_SQL, M.DUP_KEYS, 4 * 3600 * 1000000))
 def st2(t):
-    history, out, mark = spaces(t, "history", "kept", "checkpoint")
-    rows = replay(t).select(
+    out, mark = spaces(t, "kept", "checkpoint")
+    rows = whole(t).select(
         "participant_id", "metric", F.floor(F.col("value") / 50).alias("value"), F.when(F.col("k") % 2 == 0, F.col("k") % 4).alias("value2"), "ts", "measurement_id"
     )
-    kept = I.keep_first_stream(rows, M.DUP_KEYS, 4 * 3600, 86400, history, out, mark)
+    kept = keep_first_stream(rows, M.DUP_KEYS, 4 * 3600, 7 * 86400, out, mark)
     return kept.select(*M.DUP_KEYS, "kept_us", "measurement_id")
 
 
 @query("st4_alert_suppression", M.keep_first_sql(M.ALERT_SQL, ["participant_id", "metric", "title"], 86400 * 1000000))
 def st4(t):
-    history, out, mark = spaces(t, "history", "alerts", "checkpoint")
+    out, mark = spaces(t, "alerts", "checkpoint")
     v, keys = F.col("value"), ["participant_id", "metric", "title"]
-    rows = replay(t).select("participant_id", "metric", F.when(v >= 100, "very high").when(v >= 50, "high").otherwise("low").alias("title"), "ts", "measurement_id")
-    return I.keep_first_stream(rows, keys, 86400, 7 * 86400, history, out, mark).select(*keys, "kept_us", "measurement_id")
+    rows = whole(t).select("participant_id", "metric", F.when(v >= 100, "very high").when(v >= 50, "high").otherwise("low").alias("title"), "ts", "measurement_id")
+    return keep_first_stream(rows, keys, 86400, 30 * 86400, out, mark).select(*keys, "kept_us", "measurement_id")
 
 
 @query("st5_daily_tumbling", "SELECT participant_id, metric, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, round(sum(value),4) AS total, count(*) AS n FROM {measurements} m GROUP BY participant_id, metric, CAST(ts AS DATE)")
 def st5(t):
     out, mark = spaces(t, "daily", "checkpoint")
-    state = I.daily_stream(replay(t), M.KEY, out, mark)
+    state = I.daily_stream(whole(t), M.KEY, out, mark)
     return state.select(*M.KEY, F.col("day").cast("string").alias("day"), r("total", 4).alias("total"), "n")
 
 
@@ -84,7 +72,7 @@ def st5(t):
 def st5_median(t):
     """Medians are recomputed for the touched days only."""
     history, out, mark = spaces(t, "history", "medians", "checkpoint")
-    rows = replay(t).select("participant_id", "ts", "value", F.to_date("ts").alias("day"))
+    rows = whole(t).select("participant_id", "ts", "value", F.to_date("ts").alias("day"))
     I.run_batches(rows, I.recompute_touched(history, out, ["participant_id", "day"], lambda h: S.daily(h, ["participant_id"])), mark)
     state = G.newest_state(t.spark.read.parquet(out), ["participant_id", "day"], ["batch"], ["v"])
     return state.select("participant_id", F.col("day").cast("string").alias("day"), r("v").alias("v"))
@@ -94,7 +82,7 @@ def st5_median(t):
 def st3(t):
     """New non-synthetic readings trigger the curve analysis of the touched participants on their 90-day history."""
     history, out, mark = spaces(t, "history", "curves", "checkpoint")
-    rows = replay(t).filter("source <> 'synthetic'").select("participant_id", "ts", "value")
+    rows = whole(t).filter("source <> 'synthetic'").select("participant_id", "ts", "value")
 
     def analyse(h):
         ends = h.groupBy("participant_id").agg(F.max("ts").alias("_end"))
@@ -112,7 +100,7 @@ def st6(t):
     out, mark = spaces(t, "devices", "checkpoint")
     keep = ["ts", "measurement_id", "metric", "k"]
     newest = lambda rows: G.newest_state(rows, ["participant_id"], ["ts", "measurement_id"], keep)
-    I.run_batches(replay(t).select("participant_id", *keep), I.batch_writer(out, newest), mark)
+    I.run_batches(whole(t).select("participant_id", *keep), I.batch_writer(out, newest), mark)
     state = G.newest_state(t.spark.read.parquet(out), ["participant_id"], ["ts", "measurement_id"], keep)
     return state.select("participant_id", F.col("metric").alias("last_event"), F.unix_micros("ts").alias("synced_us"), F.col("k").alias("battery"))
 
@@ -124,3 +112,11 @@ def st7(t):
     I.run_batches(I.time_policy(whole(t), now, high, 86400).select("measurement_id", "route"), I.batch_writer(out), mark)
     return t.spark.read.parquet(out).groupBy("route").agg(F.count(F.lit(1)).alias("n"))
 
+
+@query("st8_followup_stream", FOLLOWUP_SQL)
+def st8_stream(t):
+    """The stream form of st8_followup_closure: due follow-ups and readings are two streams."""
+    out, mark = spaces(t, "followups", "checkpoint")
+    plans = followup_plans(I.event_stream(t.spark, t.sf_dir, SCHEMAS["orders"], glob="orders.parquet"))
+    state = I.followup_stream(plans, whole(t).select("participant_id", "ts"), ["participant_id"], 7, out, mark)
+    return state.select("followup_id", "status", F.col("closed_day").cast("string").alias("closed_day"))

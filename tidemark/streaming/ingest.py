@@ -1,4 +1,4 @@
-"""Streaming ingest, suppression, daily aggregates and triggers.
+"""Streaming ingest, daily aggregates, follow-up closure and triggers (suppression: ``suppress``).
 
 Every sink is idempotent per micro-batch: a batch writes to its own ``batch=<id>`` folder with overwrite, so a batch that
 is repeated after a failure replaces its earlier output. Checkpoints live in the shared folder.
@@ -12,8 +12,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.keepfirst import keep_first
-
 
 def event_stream(spark: SparkSession, path: str, schema: str, glob: str | None = None, files: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema)
@@ -59,17 +57,6 @@ def time_policy(rows: DataFrame, now, high_water, delay_seconds: int) -> DataFra
     )
 
 
-def keep_first_stream(stream: DataFrame, keys: list[str], gap_seconds: int, chunk_seconds: int, history: str, output: str, checkpoint: str, id_: str = "measurement_id") -> DataFrame:
-    """Keep a row, drop later rows of the key within the gap of the last kept row, in whatever order rows arrive.
-
-    A row that arrives late can change which rows after it are kept, so the touched keys are resolved again on their whole
-    history, by time chunks as in the batch form; no row is dropped for being late. Returns the state after the last batch.
-    """
-    resolve = recompute_touched(history, output, keys, lambda rows: keep_first(rows, keys, gap_seconds, chunk_seconds, id_))
-    run_batches(stream, resolve, checkpoint)
-    return newest_groups(stream.sparkSession.read.parquet(output), keys)
-
-
 def daily_stream(stream: DataFrame, keys: list[str], output: str, checkpoint: str) -> DataFrame:
     """Sums and counts per UTC day: every batch writes its own part, late rows included, and the parts add up to the state."""
     days = [*keys, "day"]
@@ -94,7 +81,7 @@ def _same(keys: list[str]) -> Column:
 def recompute_touched(history: str, output: str, keys: list[str], compute: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
     """Append the batch to the history, then recompute only the groups it touched from their whole history.
 
-    Used where an aggregate cannot be updated in place (medians, curve analysis, keep-first chains). A NULL key is a key. The touched keys of a batch are few
+    Used where an aggregate cannot be updated in place (medians, curve analysis). A NULL key is a key. The touched keys of a batch are few
     against the history; the semi join lets Spark broadcast them when their measured size allows it.
     """
 
@@ -109,11 +96,36 @@ def recompute_touched(history: str, output: str, keys: list[str], compute: Calla
 
 
 def joined_followups(due: DataFrame, results: DataFrame, keys: list[str], days: int, delay: str = "1 day") -> DataFrame:
-    """Stream-stream form of the follow-up closure: a result of the key within ``days`` after the due instant."""
+    """Follow-ups with each result of their key after the due instant and up to the end of day ``days`` after it.
+
+    A stream-stream left outer join with watermarks on both sides: a match comes out at once; a follow-up without any comes out with a
+    null ``closed_ts`` when the watermark passes its last day, and its state goes. NULL keys have no results.
+    """
     left = due.withWatermark("due_ts", delay).alias("d")
     right = results.withWatermark("ts", delay).alias("r")
-    on = F.col("r.ts") > F.col("d.due_ts")
-    on = on & (F.col("r.ts") <= F.col("d.due_ts") + F.expr(f"INTERVAL {days} DAYS"))
+    on = (F.col("r.ts") > F.col("d.due_ts")) & (F.col("r.ts") <= F.col("d.due_ts") + F.expr(f"INTERVAL {days + 1} DAYS"))  # bounds the state
+    on = on & (F.to_date("r.ts") <= F.date_add(F.to_date("d.due_ts"), days))
     for k in keys:
         on = on & (F.col(f"d.{k}") == F.col(f"r.{k}"))
-    return left.join(right, on, "inner").select("d.followup_id", *[F.col(f"d.{k}") for k in keys], "d.due_ts", F.col("r.ts").alias("closed_ts"))
+    return left.join(right, on, "leftOuter").select("d.followup_id", *[F.col(f"d.{k}") for k in keys], "d.due_ts", F.col("r.ts").alias("closed_ts"))
+
+
+def followup_stream(due: DataFrame, results: DataFrame, keys: list[str], days: int, output: str, checkpoint: str, delay: str = "1 day") -> DataFrame:
+    """Status of every follow-up after what is available: ``followup_id, keys, due_ts, status, closed_day``.
+
+    The log of transitions has ``scheduled`` for each follow-up as it arrives, ``completed`` with the first result that a batch brings,
+    and ``unanswered`` when its time has passed without one. A follow-up is completed by its earliest result, also where that arrives late;
+    without one it stays ``scheduled``. A repeated followup_id is another schedule of its own key and due instant.
+    """
+    spark, own = due.sparkSession, ["followup_id", *keys, "due_ts"]
+    arrived = due.select(*own, F.lit("scheduled").alias("status"), F.lit(None).cast("date").alias("closed_day"))
+    run_batches(arrived, batch_writer(f"{output}/arrived"), f"{checkpoint}/arrived")
+
+    def first_results(rows: DataFrame) -> DataFrame:
+        found = rows.groupBy(*own).agg(F.min(F.to_date("closed_ts")).alias("closed_day"))
+        return found.select(*own, F.when(F.col("closed_day").isNull(), "unanswered").otherwise("completed").alias("status"), "closed_day")
+
+    run_batches(joined_followups(due, results, keys, days, delay), batch_writer(f"{output}/closed", first_results), f"{checkpoint}/closed")
+    log = spark.read.parquet(f"{output}/arrived").unionByName(spark.read.parquet(f"{output}/closed")).drop("batch")
+    state = log.groupBy(*own).agg(F.min("closed_day").alias("closed_day"))
+    return state.withColumn("status", F.when(F.col("closed_day").isNull(), "scheduled").otherwise("completed"))
