@@ -205,18 +205,24 @@ def test_scan_and_join_retrieval_equal_brute_force(spark):
             if s:
                 scores.append((-s, cid))
         want[q] = [(c, -s) for s, c in sorted(scores)[:8]]
-    for forced in (False, True):
-        got = {}
-        for r in R.hybrid_top_k(chunks, questions, linked, direct, clash, 8, w, force_join=forced).orderBy("question_id", "position").collect():
-            got.setdefault(r["question_id"], []).append((r["chunk_id"], r["score"]))
-        assert got == want
+    got = {}
+    for r in R.hybrid_top_k(chunks, questions, linked, direct, clash, 8, w).orderBy("question_id", "position").collect():
+        got.setdefault(r["question_id"], []).append((r["chunk_id"], r["score"]))
+    assert got == want
 
 
-def test_lexical_paths_agree(spark):
+def test_lexical_overlap_equals_plain(spark):
     chunks, questions, _, _ = corpus(spark)
-    a = sorted(R.lexical_top_k(chunks, questions, 5, 0.6, 0.2).collect())
-    b = sorted(R.lexical_top_k(chunks, questions, 5, 0.6, 0.2, force_join=True).collect())
-    assert a == b
+    tokens = T.tokens(F.col("text"), ()).alias("tokens")
+    held, asked = chunks.select("*", tokens).collect(), questions.select("question_id", tokens).collect()
+    want = {}
+    for q in asked:
+        found = [(-round(len(set(q.tokens) & set(c.tokens)) + 0.6 * int(c.authority) - (0.2 if c.registry else 0.0), 4), c.chunk_id) for c in held if set(q.tokens) & set(c.tokens)]
+        want[q.question_id] = [(c, -s) for s, c in sorted(found)[:5]]
+    got = {}
+    for r in R.lexical_top_k(chunks, questions, 5, 0.6, 0.2).orderBy("question_id", "position").collect():
+        got.setdefault(r["question_id"], []).append((r["chunk_id"], r["score"]))
+    assert got == {q: v for q, v in want.items() if v}
 
 
 def test_passages_cut_inside_words(spark):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark import rules
 from tidemark.functions import text as T
 from tidemark.operators.skew import ordinal
+from tidemark.session import fresh_path
 
 
 @dataclass
@@ -60,11 +61,11 @@ def _marked(profile: DataFrame, linked: DataFrame, conflicted: DataFrame) -> Dat
     return profile.join(marks, "evidence_key", "left").fillna(False, ["is_linked", "in_conflict"])
 
 
-def hybrid_top_k(chunks: DataFrame, questions: DataFrame, linked: DataFrame, direct: DataFrame, conflicted: DataFrame, k: int = 8, w: Weights | None = None, force_join: bool = False) -> DataFrame:
+def hybrid_top_k(chunks: DataFrame, questions: DataFrame, linked: DataFrame, direct: DataFrame, conflicted: DataFrame, k: int = 8, w: Weights | None = None) -> DataFrame:
     """Scored top-k chunks per question over the whole corpus; a score of zero is no result.
 
     ``linked`` and ``conflicted`` are evidence keys, ``direct`` is (question_id, evidence_key) and weighs at least as much
-    as ``linked``. There is one plan for any number of questions and links; ``force_join`` has no effect. Pairs that share a
+    as ``linked``. There is one plan for any number of questions and links. Pairs that share a
     token or a key come from ``met``. Any other chunk is scored by a few flags only, so of every flag class just the first
     ``k`` chunk ids can reach the top k: any other has ``k`` class mates that score at least as high and sort before it.
     Only met class mates whose score is exactly zero break this, see ``_below_zero``.
@@ -86,7 +87,8 @@ def hybrid_top_k(chunks: DataFrame, questions: DataFrame, linked: DataFrame, dir
     pairs = met(profile, asked, ["doc_id", *classes], own).withColumn(
         "score", F.round(F.col("overlap") + F.when(F.col("is_direct"), w.direct).otherwise(link) + bonus, 4)
     )
-    best = _top(pairs.filter("score <> 0").select(cols), k).drop("position")
+    pairs = _written(pairs.select(cols), "met-pairs")  # read for the best, the zeros and the positives; met once
+    best = _top(pairs.filter("score <> 0"), k).drop("position")
     # the rest: first k ids per flag class, scored for every combination of question flags
     plain = profile.select("chunk_id", "doc_id", *classes)
     first = plain.withColumn("_rn", F.row_number().over(Window.partitionBy(*classes).orderBy("chunk_id"))).filter(F.col("_rn") <= k).drop("_rn")
@@ -95,10 +97,16 @@ def hybrid_top_k(chunks: DataFrame, questions: DataFrame, linked: DataFrame, dir
     order = Window.partitionBy(*asks, "urgent").orderBy(F.col("score").desc(), "chunk_id")
     rest = flagged.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= k)
     rest = flags.join(rest.select(*asks, "urgent", "chunk_id", "doc_id", "score"), [*asks, "urgent"]).select(cols)
-    zero = pairs.filter("score = 0")
+    zero = pairs.filter("score = 0").select("question_id", "chunk_id")
     return _best_of(best.unionByName(rest).unionByName(_below_zero(best, rest, zero, plain, flags, classes, alone, k)), zero, k)
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _best_of(found: DataFrame, zero: DataFrame, k: int) -> DataFrame:
     """Top k of candidates in which a pair may stand twice: met pairs score at least what their flags alone give."""
     once = found.groupBy("question_id", "chunk_id").agg(F.max("score").alias("score"), F.first("doc_id").alias("doc_id"))
@@ -115,7 +123,7 @@ def _below_zero(best: DataFrame, rest: DataFrame, zero: DataFrame, plain: DataFr
     positive = best.unionByName(rest).filter("score > 0").select("question_id", "chunk_id").distinct()
     enough = positive.join(zero.select("question_id", "chunk_id"), ["question_id", "chunk_id"], "left_anti")
     enough = enough.groupBy("question_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= k)
-    zeros = zero.join(enough, "question_id", "left_anti").groupBy("question_id", *classes).agg(F.count(F.lit(1)).alias("_z"))
+    zeros = zero.join(enough, "question_id", "left_anti").join(plain.select("chunk_id", *classes), "chunk_id").groupBy("question_id", *classes).agg(F.count(F.lit(1)).alias("_z"))
     few = flags.join(zeros.select("question_id").distinct(), "question_id", "left_semi")
     depth = few.crossJoin(plain.select(*classes).distinct()).withColumn("score", alone).filter("score < 0 or score > 0")
     depth = depth.join(zeros, ["question_id", *classes], "left").withColumn("_deep", F.coalesce("_z", F.lit(0)) + k)
@@ -124,10 +132,10 @@ def _below_zero(best: DataFrame, rest: DataFrame, zero: DataFrame, plain: DataFr
     return deep.select("question_id", "chunk_id", "doc_id", "score")
 
 
-def lexical_top_k(chunks: DataFrame, questions: DataFrame, k: int = 8, authority: float = 0.0, registry: float = 0.0, force_join: bool = False) -> DataFrame:
+def lexical_top_k(chunks: DataFrame, questions: DataFrame, k: int = 8, authority: float = 0.0, registry: float = 0.0) -> DataFrame:
     """Token overlap (at least one shared token), optionally with an authority bonus and a registry penalty.
 
-    Tokens are words and bigrams: the lexical baselines know no dictionary. ``force_join`` has no effect.
+    Tokens are words and bigrams: the lexical baselines know no dictionary.
     """
     tokens = T.tokens(F.col("text"), ())
     held = chunks.select("chunk_id", "doc_id", F.col("authority").cast("int").alias("authority"), "registry", tokens.alias("tokens"))
