@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import product
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as Y
 
 from tidemark import rules
 from tidemark.functions import text as T
-from tidemark.operators.skew import ordinal
 from tidemark.session import fresh_path
 
 
@@ -30,16 +32,24 @@ class Weights:
     terms: tuple = T.DICTIONARY
 
 
-# questions of one posting list; bounds a row, not the batch
-QUESTION_BLOCK = 512
+# one pass over the chunks takes at most so many questions, and so many of their tokens (one question at least)
+PASS_QUESTIONS, PASS_TOKENS = 4096, 4_000_000
+# one score matrix: chunks x questions; and chunk tokens that are added to it at once
+TILE_CHUNKS, TILE_QUESTIONS, TILE_TOKENS = 1024, 512, 8192
+NEVER = -(2**50)
+
+
+def _hashed(tokens: Column) -> Column:
+    return F.array_distinct(F.transform(tokens, lambda x: F.xxhash64(x)))
 
 
 def chunk_profile(chunks: DataFrame, w: Weights) -> DataFrame:
-    """What the score needs of a chunk, besides its tokens; flags are plain numbers."""
+    """What the score needs of a chunk: token hashes, topic hits, and the part of the score that no question changes."""
     text = F.col("text")
+    base = F.col("authority").cast("int") * w.authority - F.when(F.col("registry"), w.registry).otherwise(0.0)
     return chunks.select(
-        "chunk_id", "doc_id", F.col("authority").cast("int").alias("authority"), "evidence_key", "registry", T.tokens(text, w.terms).alias("tokens"),
-        *[F.size(T.contained(text, terms)).alias(f"hits_{i}") for i, terms in enumerate(w.topics.values())],
+        "chunk_id", "doc_id", "evidence_key", base.alias("base"), _hashed(T.tokens(text, w.terms)).alias("tokens"),
+        F.array(*[F.size(T.contained(text, terms)) for terms in w.topics.values()]).cast("array<int>").alias("hits"),
         F.coalesce(T.has_any(text, w.danger), F.lit(False)).alias("has_danger"),
     )
 
@@ -47,89 +57,26 @@ def chunk_profile(chunks: DataFrame, w: Weights) -> DataFrame:
 def question_profile(questions: DataFrame, w: Weights) -> DataFrame:
     text = F.col("text")
     return questions.select(
-        "question_id", T.tokens(text, w.terms).alias("tokens"),
-        *[F.coalesce(T.has_any(text, terms), F.lit(False)).alias(f"asks_{i}") for i, terms in enumerate(w.topics.values())],
+        "question_id", _hashed(T.tokens(text, w.terms)).alias("tokens"),
+        F.array(*[F.coalesce(T.has_any(text, terms), F.lit(False)).cast("int") for terms in w.topics.values()]).cast("array<int>").alias("asks"),
         F.coalesce(T.has_any(text, w.danger), F.lit(False)).alias("urgent"),
     )
 
 
-def _marked(profile: DataFrame, linked: DataFrame, conflicted: DataFrame) -> DataFrame:
-    """Evidence marks per chunk: keys are made distinct first, so the join adds no rows."""
-    marks = linked.select("evidence_key").distinct().withColumn("is_linked", F.lit(True)).join(
-        conflicted.select("evidence_key").distinct().withColumn("in_conflict", F.lit(True)), "evidence_key", "left"
-    )
-    return profile.join(marks, "evidence_key", "left").fillna(False, ["is_linked", "in_conflict"])
-
-
 def hybrid_top_k(chunks: DataFrame, questions: DataFrame, linked: DataFrame, direct: DataFrame, conflicted: DataFrame, k: int = 8, w: Weights | None = None) -> DataFrame:
     """Scored top-k chunks per question over the whole corpus; a score of zero is no result.
 
-    ``linked`` and ``conflicted`` are evidence keys, ``direct`` is (question_id, evidence_key) and weighs at least as much
-    as ``linked``. There is one plan for any number of questions and links. Pairs that share a
-    token or a key come from ``met``. Any other chunk is scored by a few flags only, so of every flag class just the first
-    ``k`` chunk ids can reach the top k: any other has ``k`` class mates that score at least as high and sort before it.
-    Only met class mates whose score is exactly zero break this, see ``_below_zero``.
+    ``linked`` and ``conflicted`` are evidence keys, ``direct`` is (question_id, evidence_key) and takes the place of
+    ``linked``. Chunk and question ids are unique; a chunk without authority has no score. See ``_scan`` for the plan.
     """
     w = w or Weights()
-    profile = _marked(chunk_profile(chunks, w), linked, conflicted)
-    asked, own = question_profile(questions, w), direct.select("question_id", "evidence_key").distinct()
-    hits = [f"hits_{i}" for i in range(len(w.topics))]
-    asks = [f"asks_{i}" for i in range(len(w.topics))]
-    classes = ["authority", "registry", *hits, "has_danger", "is_linked", "in_conflict"]
-    bonus = (
-        sum((F.when(F.col(a), F.col(h)).otherwise(0) for a, h in zip(asks, hits)), F.lit(0)) * w.alias
-        + F.when(F.col("urgent") & F.col("has_danger"), w.danger_bonus).otherwise(0.0) + F.col("authority") * w.authority
-        - F.when(F.col("registry"), w.registry).otherwise(0.0) - F.when(F.col("in_conflict"), w.conflict).otherwise(0.0)
-    )
-    link = F.when(F.col("is_linked"), w.linked).otherwise(0.0)
-    alone = F.round(link + bonus, 4)
-    flags, cols = asked.drop("tokens"), ["question_id", "chunk_id", "doc_id", "score"]
-    pairs = met(profile, asked, ["doc_id", *classes], own).withColumn(
-        "score", F.round(F.col("overlap") + F.when(F.col("is_direct"), w.direct).otherwise(link) + bonus, 4)
+    marks = linked.select("evidence_key").distinct().withColumn("link", F.lit(float(w.linked))).join(
+        conflicted.select("evidence_key").distinct().withColumn("_clash", F.lit(float(w.conflict))), "evidence_key", "left"
     )
-    pairs = _written(pairs.select(cols), "met-pairs")  # read for the best, the zeros and the positives; met once
-    best = _top(pairs.filter("score <> 0"), k).drop("position")
-    # the rest: first k ids per flag class, scored for every combination of question flags
-    plain = profile.select("chunk_id", "doc_id", *classes)
-    first = plain.withColumn("_rn", F.row_number().over(Window.partitionBy(*classes).orderBy("chunk_id"))).filter(F.col("_rn") <= k).drop("_rn")
-    combos = F.array(*[F.struct(*[F.lit(bool(v)).alias(n) for v, n in zip(c, [*asks, "urgent"])]) for c in product((0, 1), repeat=len(asks) + 1)])
-    flagged = first.withColumn("_c", F.explode(combos)).select("*", "_c.*").withColumn("score", alone).filter("score <> 0")
-    order = Window.partitionBy(*asks, "urgent").orderBy(F.col("score").desc(), "chunk_id")
-    rest = flagged.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= k)
-    rest = flags.join(rest.select(*asks, "urgent", "chunk_id", "doc_id", "score"), [*asks, "urgent"]).select(cols)
-    zero = pairs.filter("score = 0").select("question_id", "chunk_id")
-    return _best_of(best.unionByName(rest).unionByName(_below_zero(best, rest, zero, plain, flags, classes, alone, k)), zero, k)
-
-
-def _written(df: DataFrame, name: str) -> DataFrame:
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def _best_of(found: DataFrame, zero: DataFrame, k: int) -> DataFrame:
-    """Top k of candidates in which a pair may stand twice: met pairs score at least what their flags alone give."""
-    once = found.groupBy("question_id", "chunk_id").agg(F.max("score").alias("score"), F.first("doc_id").alias("doc_id"))
-    once = once.join(zero.select("question_id", "chunk_id"), ["question_id", "chunk_id"], "left_anti")
-    return _top(once.select("question_id", "chunk_id", "doc_id", "score"), k)
-
-
-def _below_zero(best: DataFrame, rest: DataFrame, zero: DataFrame, plain: DataFrame, flags: DataFrame, classes: list[str], alone: Column, k: int) -> DataFrame:
-    """Flag-only candidates of questions that have fewer than ``k`` positive scores and met chunks that score exactly zero.
-
-    Such chunks are no result but may fill the first ids of their class. So each class is read as many ids further as it
-    has zeros for the question.
-    """
-    positive = best.unionByName(rest).filter("score > 0").select("question_id", "chunk_id").distinct()
-    enough = positive.join(zero.select("question_id", "chunk_id"), ["question_id", "chunk_id"], "left_anti")
-    enough = enough.groupBy("question_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= k)
-    zeros = zero.join(enough, "question_id", "left_anti").join(plain.select("chunk_id", *classes), "chunk_id").groupBy("question_id", *classes).agg(F.count(F.lit(1)).alias("_z"))
-    few = flags.join(zeros.select("question_id").distinct(), "question_id", "left_semi")
-    depth = few.crossJoin(plain.select(*classes).distinct()).withColumn("score", alone).filter("score < 0 or score > 0")
-    depth = depth.join(zeros, ["question_id", *classes], "left").withColumn("_deep", F.coalesce("_z", F.lit(0)) + k)
-    ranked = ordinal(plain.withColumn("_part", F.left("chunk_id", F.lit(4))), classes, "_part", [F.col("chunk_id")], "_rn")
-    deep = ranked.join(depth, classes).filter(F.col("_rn") <= F.col("_deep"))
-    return deep.select("question_id", "chunk_id", "doc_id", "score")
+    profile = chunk_profile(chunks, w).join(marks, "evidence_key", "left").fillna(0.0, ["link", "_clash"])
+    profile = profile.withColumn("base", F.col("base") - F.col("_clash")).drop("_clash")
+    own = direct.select("question_id", "evidence_key").distinct()
+    return _scan(profile, question_profile(questions, w), own, k, w, need_overlap=False)
 
 
 def lexical_top_k(chunks: DataFrame, questions: DataFrame, k: int = 8, authority: float = 0.0, registry: float = 0.0) -> DataFrame:
@@ -137,35 +84,158 @@ def lexical_top_k(chunks: DataFrame, questions: DataFrame, k: int = 8, authority
 
     Tokens are words and bigrams: the lexical baselines know no dictionary.
     """
-    tokens = T.tokens(F.col("text"), ())
-    held = chunks.select("chunk_id", "doc_id", F.col("authority").cast("int").alias("authority"), "registry", tokens.alias("tokens"))
-    both = met(held, questions.select("question_id", tokens.alias("tokens")), ["doc_id", "authority", "registry"])
-    score = F.col("overlap") + F.col("authority") * authority - F.when(F.col("registry"), registry).otherwise(0.0)
-    return _top(both.withColumn("score", F.round(score, 4)).select("question_id", "chunk_id", "doc_id", "score"), k)
+    w = Weights(topics={}, danger=("",), danger_bonus=0.0, authority=authority, registry=registry, terms=())
+    tokens = _hashed(T.tokens(F.col("text"), ()))
+    base = F.col("authority").cast("int") * float(authority) - F.when(F.col("registry"), float(registry)).otherwise(0.0)
+    none, no = F.array().cast("array<int>"), F.lit(False)
+    held = chunks.select("chunk_id", "doc_id", base.alias("base"), tokens.alias("tokens"), none.alias("hits"), no.alias("has_danger"), F.lit(0.0).alias("link"))
+    asked = questions.select("question_id", tokens.alias("tokens"), none.alias("asks"), no.alias("urgent"))
+    return _scan(held, asked, None, k, w, need_overlap=True)
 
 
-def met(chunks: DataFrame, asked: DataFrame, keep: list[str], own: DataFrame | None = None) -> DataFrame:
-    """Shared tokens per (question, chunk) that share one, or share an evidence key when ``own`` lists them.
+def _scan(profile: DataFrame, asked: DataFrame, own: DataFrame | None, k: int, w: Weights, need_overlap: bool) -> DataFrame:
+    """All questions against all chunks, in blocks: ``question_id, chunk_id, doc_id, score, position``.
 
-    Questions travel as posting lists of at most QUESTION_BLOCK, with their flags. The lists that a chunk meets are brought
-    together once, by chunk and block; pairs are unpacked and counted there and never shuffled. Frequent tokens are split
-    by Spark's run-time skew handling. ``keep`` should be plain numbers or flags.
+    The chunks' profile is written once. Questions go over it in passes of a bounded size: a pass is sent to the tasks,
+    which score tiles of chunks x questions and keep the best ``k`` per question while they read. Only those are shuffled,
+    and no pair is ever a row. Scores count in units of 1e-4, halves away from zero; equal scores go by chunk id.
     """
-    flags = [c for c in asked.columns if c not in ("question_id", "tokens")]
-    block, one = F.floor(F.col("question_id") / QUESTION_BLOCK).alias("_block"), F.struct("question_id", *flags).alias("_q")
-    lists = asked.select(block, one, F.explode("tokens").alias("token")).groupBy("token", "_block").agg(F.collect_list("_q").alias("_qs"))
-    held = chunks.select("chunk_id", *keep, F.explode("tokens").alias("token"))
-    cols = ["chunk_id", "_block", *keep, "_qs"]
-    rows = held.join(lists, "token").select(*cols, F.lit(1).alias("_n"), F.lit(False).alias("_own"))
-    if own is not None:
-        keyed = own.join(asked.drop("tokens"), "question_id").select(block, one, "evidence_key").groupBy("evidence_key", "_block").agg(F.collect_list("_q").alias("_qs"))
-        by_key = chunks.drop("tokens").join(keyed, "evidence_key").select(*cols, F.lit(0).alias("_n"), F.lit(True).alias("_own"))
-        rows = rows.unionByName(by_key)
-    each = rows.repartition("chunk_id", "_block").select("chunk_id", "_block", *keep, "_n", "_own", F.explode("_qs").alias("_q"))
-    each = each.select("chunk_id", "_block", *keep, "_n", "_own", "_q.*")
-    return each.groupBy("chunk_id", "_block", "question_id").agg(
-        F.sum("_n").alias("overlap"), F.bool_or("_own").alias("is_direct"), *[F.first(c).alias(c) for c in [*keep, *flags]]
-    ).drop("_block")
+    spark = profile.sparkSession
+    out = Y.StructType([Y.StructField("question_id", Y.LongType()), profile.schema["chunk_id"], profile.schema["doc_id"], Y.StructField("score", Y.DoubleType())])
+    stored, found = _written(profile, "chunk-profile"), None
+    for block in _passes(asked):
+        ids = [r["question_id"] for r in block]
+        held = stored
+        if own is not None:
+            keyed = own.filter(F.col("question_id").between(ids[0], ids[-1])).groupBy("evidence_key").agg(F.collect_list("question_id").alias("direct"))
+            held = stored.join(keyed, "evidence_key", "left").drop("evidence_key")
+        sent = spark.sparkContext.broadcast(_Block(block, k, w, need_overlap))
+        best = held.mapInArrow(lambda batches, sent=sent, out=out: sent.value.best(batches, out), out)
+        part = _written(_top(best, k), "top-chunks")
+        sent.destroy()
+        found = part if found is None else found.unionByName(part)
+    return found if found is not None else _top(spark.createDataFrame([], out), k)
+
+
+def _passes(asked: DataFrame) -> Iterator[list[Row]]:
+    """Questions by ascending id in blocks of bounded size; the driver holds one block and one partition of questions."""
+    block, n = [], 0
+    for row in asked.filter("question_id is not null").orderBy("question_id").toLocalIterator():
+        if block and (len(block) == PASS_QUESTIONS or n + len(row["tokens"]) > PASS_TOKENS):
+            yield block
+            block, n = [], 0
+        block.append(row)
+        n += len(row["tokens"])
+    if block:
+        yield block
+
+
+class _Block:
+    """The questions of one pass, as arrays, and their running best chunks in a task."""
+
+    def __init__(self, rows: list[Row], k: int, w: Weights, need_overlap: bool) -> None:
+        self.k, self.w, self.need_overlap = k, w, need_overlap
+        self.ids = np.array([r["question_id"] for r in rows], np.int64)
+        self.asks = np.array([r["asks"] for r in rows], np.float64).reshape(len(rows), len(w.topics))
+        self.urgent = np.array([r["urgent"] for r in rows], bool)
+        self.tiles = []
+        for at in range(0, len(rows), TILE_QUESTIONS):
+            sets = [np.array(r["tokens"], np.int64) for r in rows[at : at + TILE_QUESTIONS]]
+            words, place = np.unique(np.concatenate(sets), return_inverse=True)
+            asker = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            order = np.argsort(place, kind="stable")
+            starts = np.searchsorted(place[order], np.arange(len(words) + 1))
+            self.tiles.append((at, len(sets), words, starts, asker[order]))
+
+    def best(self, batches: Iterator[pa.RecordBatch], out: Y.StructType) -> Iterator[pa.RecordBatch]:
+        top: list[list[tuple]] = [[] for _ in self.ids]
+        last = np.full(len(self.ids), NEVER, np.int64)  # rank of the k-th chunk, once there are k
+        for batch in batches:
+            for at in range(0, batch.num_rows, TILE_CHUNKS):
+                self._take(batch.slice(at, TILE_CHUNKS), top, last)
+        rows = [(int(q), chunk, doc, -rank / 1e4) for q, kept in zip(self.ids, top) for rank, chunk, doc in kept]
+        columns = list(zip(*rows)) if rows else [[]] * 4
+        types = [pa.int64(), pa.string(), _arrow(out["doc_id"].dataType), pa.float64()]
+        for at in range(0, max(len(rows), 1), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 10_000], t) for c, t in zip(columns, types)], out.names)
+
+    def _take(self, some: pa.RecordBatch, top: list[list[tuple]], last: np.ndarray) -> None:
+        names = some.column("chunk_id").to_pylist()
+        place = np.empty(len(names), np.int64)
+        place[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
+        base, link = (some.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("base", "link"))
+        danger = some.column("has_danger").to_numpy(zero_copy_only=False).astype(bool)
+        hits = some.column("hits").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(names), -1) if self.w.topics else None
+        lists = some.column("tokens")
+        tokens, owner = lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(names)), lists.value_lengths().to_numpy(zero_copy_only=False))
+        pairs = self._direct(some)
+        for at, n, words, starts, asker in self.tiles:
+            overlap = self._overlap(tokens, owner, len(names), n, words, starts, asker)
+            linked = np.repeat(link[:, None], n, axis=1)
+            here = (pairs[1] >= at) & (pairs[1] < at + n)
+            linked[pairs[0][here], pairs[1][here] - at] = self.w.direct
+            score = overlap + linked + base[:, None]
+            if hits is not None:
+                score += self.w.alias * (hits @ self.asks[at : at + n].T)
+            score += self.w.danger_bonus * (danger[:, None] & self.urgent[None, at : at + n])
+            units = np.sign(score) * np.floor(np.abs(score) * 1e4 + 0.5)
+            shut = np.isnan(units) | ((overlap == 0) if self.need_overlap else (units == 0))
+            rank = np.where(shut, NEVER, units).T.astype(np.int64)
+            self._merge(at, rank, place, names, some.column("doc_id"), top, last)
+
+    def _direct(self, some: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """(chunk, question) positions of the direct links."""
+        if "direct" not in some.schema.names:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        lists = some.column("direct")
+        of = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        at = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
+        known = self.ids[at] == ids
+        return of[known], at[known]
+
+    @staticmethod
+    def _overlap(tokens: np.ndarray, owner: np.ndarray, rows: int, n: int, words: np.ndarray, starts: np.ndarray, asker: np.ndarray) -> np.ndarray:
+        """Shared tokens of each chunk and question: the postings of the chunks' tokens, counted per cell, so many at once."""
+        counts = np.zeros(rows * n, np.int64)
+        if len(words):
+            at = np.minimum(np.searchsorted(words, tokens), len(words) - 1)
+            known = words[at] == tokens
+            at, of, sizes = at[known], owner[known], np.diff(starts)
+            for i in range(0, len(at), TILE_TOKENS):
+                first, size = starts[at[i : i + TILE_TOKENS]], sizes[at[i : i + TILE_TOKENS]]
+                steps = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                cells = np.repeat(of[i : i + TILE_TOKENS] * n, size) + asker[np.repeat(first, size) + steps]
+                counts += np.bincount(cells, minlength=rows * n)
+        return counts.reshape(rows, n).astype(np.float64)
+
+    def _merge(self, at: int, rank: np.ndarray, place: np.ndarray, names: list[str], docs: pa.Array, top: list[list[tuple]], last: np.ndarray) -> None:
+        n, k = rank.shape[1], min(self.k, rank.shape[1])
+        highest = rank.max(axis=1)
+        better = np.flatnonzero((highest > NEVER) & (highest >= last[at : at + len(rank)]))
+        if not len(better):
+            return
+        order = rank[better] * n + (n - 1 - place)  # one number: rank, then the lower chunk id
+        best = np.argpartition(-order, k - 1, axis=1)[:, :k]
+        for q, chosen in zip(better, best):
+            kept = top[at + q]
+            edge = kept[-1][:2] if len(kept) == self.k else None
+            new = [(-int(rank[q, c]), names[c], c) for c in chosen if rank[q, c] > NEVER]
+            new = [(r, name, docs[int(c)].as_py()) for r, name, c in new if edge is None or (r, name) < edge]
+            if new:
+                kept = top[at + q] = sorted(kept + new, key=lambda x: x[:2])[: self.k]
+                if len(kept) == self.k:
+                    last[at + q] = -kept[-1][0]
+
+
+def _arrow(kind: Y.DataType) -> pa.DataType:
+    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind.simpleString()]
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _top(scored: DataFrame, k: int) -> DataFrame:
