@@ -73,7 +73,7 @@ def hybrid_top_k(chunks: DataFrame, questions: DataFrame, linked: DataFrame, dir
     marks = linked.select("evidence_key").distinct().withColumn("link", F.lit(float(w.linked))).join(
         conflicted.select("evidence_key").distinct().withColumn("_clash", F.lit(float(w.conflict))), "evidence_key", "left"
     )
-    profile = chunk_profile(chunks, w).join(marks, "evidence_key", "left").fillna(0.0, ["link", "_clash"])
+    profile = chunk_profile(_spread(chunks), w).join(marks, "evidence_key", "left").fillna(0.0, ["link", "_clash"])
     profile = profile.withColumn("base", F.col("base") - F.col("_clash")).drop("_clash")
     own = direct.select("question_id", "evidence_key").distinct()
     return _scan(profile, question_profile(questions, w), own, k, w, need_overlap=False)
@@ -88,7 +88,7 @@ def lexical_top_k(chunks: DataFrame, questions: DataFrame, k: int = 8, authority
     tokens = _hashed(T.tokens(F.col("text"), ()))
     base = F.col("authority").cast("int") * float(authority) - F.when(F.col("registry"), float(registry)).otherwise(0.0)
     none, no = F.array().cast("array<int>"), F.lit(False)
-    held = chunks.select("chunk_id", "doc_id", base.alias("base"), tokens.alias("tokens"), none.alias("hits"), no.alias("has_danger"), F.lit(0.0).alias("link"))
+    held = _spread(chunks).select("chunk_id", "doc_id", base.alias("base"), tokens.alias("tokens"), none.alias("hits"), no.alias("has_danger"), F.lit(0.0).alias("link"))
     asked = questions.select("question_id", tokens.alias("tokens"), none.alias("asks"), no.alias("urgent"))
     return _scan(held, asked, None, k, w, need_overlap=True)
 
@@ -117,6 +117,12 @@ def _scan(profile: DataFrame, asked: DataFrame, own: DataFrame | None, k: int, w
     return found if found is not None else _top(spark.createDataFrame([], out), k)
 
 
+def _spread(chunks: DataFrame) -> DataFrame:
+    """Chunks over as many tasks as there are cores: few large files would leave cores without work. More tasks stay as they are."""
+    cores = chunks.sparkSession.sparkContext.defaultParallelism
+    return chunks if chunks.rdd.getNumPartitions() >= cores else chunks.repartition(cores, "chunk_id")
+
+
 def _passes(asked: DataFrame) -> Iterator[list[Row]]:
     """Questions by ascending id in blocks of bounded size; the driver holds one block and one partition of questions."""
     block, n = [], 0
