@@ -265,6 +265,57 @@ def test_secret_rules_and_learned_spans(spark, empty):
     assert secrets.scan(empty, network).collect() == []
 
 
+def plain_base(text):
+    """Base spans of the contract, without shortcuts."""
+    found = []
+    for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
+        if len(m.group(2)) >= 12:
+            found.append((m.start(), 0, f"assign:{m.start()}:{m.end()}"))
+    for kind, name, pattern, least in ((1, "access", "AKIA[A-Z0-9]+", 18), (2, "hex", "[0-9a-f]+", 16)):
+        found += [(m.start(), kind, f"{name}:{m.start()}:{m.end()}") for m in re.finditer(pattern, text) if m.end() - m.start() >= least]
+    return [x for _, _, x in sorted(found)]
+
+
+def test_secret_base_spans_equal_a_plain_version_and_planted_unknown_forms_are_found(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    rng = np.random.default_rng(41)
+    full = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+
+    def some(n, extra=""):
+        return "".join(rng.choice(full + list(extra), n))
+
+    forms = [lambda: "ghp_" + some(36), lambda: "sk-" + some(40), lambda: "eyJ" + some(30, "-_") + "." + some(40, "-_") + "." + some(43, "-_"),
+             lambda: "xoxb-" + "".join(rng.choice(list("0123456789"), 12)) + "-" + some(24), lambda: "".join(rng.choice(full[26:], 24))]
+    planted = {}
+    for i, text in enumerate(list(texts.values())[:150]):
+        cut = max(text.find(" ", 20), 0)
+        value = forms[i % len(forms)]()
+        planted[10_000 + i] = (f"{text[:cut]} {value} {text[cut:]}", cut + 1)
+    network = secrets.fit(docs)
+    rows = spark.createDataFrame([(k, v[0]) for k, v in planted.items()], "doc_id long, text string")
+    got = {r.doc_id: r for r in secrets.scan(docs.unionByName(rows), network).collect()}
+    for doc_id, text in {**texts, **{k: v[0] for k, v in planted.items()}}.items():
+        spans = [x for x in got[doc_id].spans.split(",") if x and not x.startswith("learned")]
+        assert spans == plain_base(text)
+        assert got[doc_id].base_sha256 == hashlib.sha256(",".join(spans).encode()).hexdigest()
+    found = sum(any(x.split(":")[1] == str(at) for x in got[k].spans.split(",") if x) for k, (_, at) in planted.items())
+    assert found >= 0.9 * len(planted)
+    free = sum(len(secrets._free(secrets.base_spans(t), secrets.candidates(t))) for t in texts.values())
+    assert sum(got[k].n_learned for k in texts) <= 0.01 * free
+
+
+def test_harmless_runs_and_masked_rule_matches():
+    for run in ("internationalisation", "www.some-host.org/a1", "GENERALLICENSE", "2024-01-12T10", "192.168.100.200", "------------", "+49-170-1234567"):
+        assert secrets.harmless(run)
+    for run in ("Zk3vQ9xT1mB7cR5wL2pN8sD4", "aTTTTTTTTTTTTTTTTTTTTTTTTTTTTTTTTTTTTTTTTTTTTTTTTTT0x", "a-" * 5000 + "0x9", "123456789012345678901234"):
+        assert not secrets.harmless(run)
+    text = 'my api_key = "abcDEF123456xyz" end'
+    (kind, a, b), = secrets.base_spans(text)
+    assert secrets.masked(text, kind, a, b) == ('my abcDEF123456xyz" end', 3, 18)
+    assert secrets.masked("AKIA" + "Q7" * 8, "access", 0, 20) == ("Q7" * 8, 0, 16)
+
+
 def test_network_keeps_recall_on_findings_it_has_not_seen():
     x, y = secrets.generated()
     out = np.arange(len(y)) % 5 == 4

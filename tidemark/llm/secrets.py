@@ -1,9 +1,11 @@
 """Secret scan: rule matches, and a character convolutional network over every other candidate in its context.
 
-A candidate is a run of 12 or more characters of the credential alphabet that holds a digit or a capital after its first
-character. The network sees the text before it, its beginning and end, and the text behind it. It is trained on labelled
-findings: a generated set and a bounded sample of the corpus, where the rules give the labels. Its scores are calibrated and
-its threshold is the highest one that keeps the wanted recall on findings kept out of training.
+A candidate is every run of 12 or more characters of the credential alphabet. The network sees the text before it, its
+beginning and end, and the text behind it. It is trained on labelled findings: a generated set and a bounded sample of the
+corpus. There, rule matches are the positives, with what the rules look for taken out (keyword, operator, prefix), so that
+shape and context must carry the label; negatives are only candidates of harmless kinds (words, capitals, numbers, dates,
+hosts, rulers). Any other candidate carries no label. Scores are calibrated and the threshold is the highest one that keeps
+the wanted recall on findings kept out of training.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import binary_lists, ready, text_bytes
@@ -27,7 +29,10 @@ KINDS = ("assign", "access", "hex", "learned")
 KEYWORDS = ("passw", "secret", "token", "api")
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
-TELLING = re.compile(r".[^0-9]*?[0-9A-Z]", re.S)
+#: Kinds of runs that are no credentials: words and hosts, words in capitals, numbers with dates and addresses, rulers.
+_PART = r"(?:[A-Z]?[a-z]++[0-9]{0,3}+|[A-Z]++|[0-9]{1,16}+(?:T[0-9]{1,2}+)?+)"
+HARMLESS = re.compile(rf"{_PART}(?:[-_./=+]++{_PART})*+|([-_./=+])\1*+")
+EDGE = "+/_.=-"
 LEFT, HEAD, TAIL, RIGHT = 24, 28, 12, 8
 WIDTH = LEFT + HEAD + TAIL + RIGHT
 #: At most so many corpus findings join the generated ones in training (the lowest hashes of their documents).
@@ -49,7 +54,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in CANDIDATE.finditer(text) if TELLING.match(m.group())]
+    return [m.span() for m in CANDIDATE.finditer(text)]
 
 
 def join_spans(spans: list[tuple[str, int, int]]) -> str:
@@ -178,17 +183,22 @@ def generated(n: int = 4000, seed: int = 9) -> tuple[np.ndarray, np.ndarray]:
     def prose(k: int) -> str:
         return " ".join(some("etaoinshrdlu", 2, 8) for _ in range(k))
 
+    def word() -> str:
+        return "".join(some("bcdfghklmnprstvwz", 1, 2) + some("aeiou", 1, 2) for _ in range(rng.integers(4, 8)))
+
     full = letters + letters.upper() + digits
     keys = ["key", "credential", "bearer", "auth", "access", "private key", "pwd", "secret", "token", "password"]
     x, y = [], []
     for i in range(n):
         secret = i % 2 == 0
         if secret:
-            value = [some(full, 20, 44), some(full + "+/", 24, 64) + "==", some("0123456789abcdef", 32, 40), "AKIA" + some(letters.upper() + digits, 16, 16), some(full + "_-", 16, 32)][rng.integers(5)]
+            value = [some(full, 20, 44), some(full + "+/", 24, 64) + "==", some("0123456789abcdef", 32, 40), "AKIA" + some(letters.upper() + digits, 16, 16), some(full + "_-", 16, 32), some(letters.upper() + digits, 16, 40)][rng.integers(6)]
         else:
             value = ["".join(some(letters, 3, 7) + "." for _ in range(3)) + "com" + str(rng.integers(99)), some(digits, 12, 16), f"{rng.integers(1990, 2030)}-{rng.integers(10, 13)}-{rng.integers(10, 29)}T{rng.integers(10, 24)}",
                      some(letters, 6, 9) + "_" + some(letters, 4, 9) + "_v" + str(rng.integers(9)), some(letters, 6, 12).upper() + some(letters, 6, 9).upper(), some(letters, 7, 9).capitalize() + some(letters, 6, 9).capitalize(),
-                     f"+{rng.integers(10, 99)}-{rng.integers(100, 999)}-{rng.integers(1000, 9999)}-{rng.integers(100, 999)}", f"{rng.integers(1, 255)}.{rng.integers(1, 255)}.{rng.integers(10, 255)}.{rng.integers(100, 255)}"][rng.integers(8)]
+                     f"+{rng.integers(10, 99)}-{rng.integers(100, 999)}-{rng.integers(1000, 9999)}-{rng.integers(100, 999)}", f"{rng.integers(1, 255)}.{rng.integers(1, 255)}.{rng.integers(10, 255)}.{rng.integers(100, 255)}",
+                     word(), word().capitalize(), word() + "-" + word(), word().upper(), word() + "/" + word() + "/" + some(letters, 4, 8) + ".html", str(rng.choice(list("=-_./"))) * int(rng.integers(12, 60)),
+                     some("etaoinshrdlu", 12, 18), f"{rng.integers(1990, 2030)}-{rng.integers(10, 13)}-{rng.integers(10, 29)}"][rng.integers(16)]
         if len(value) < 12:
             value += "." * (12 - len(value))
         before = prose(4) + " "
@@ -200,20 +210,57 @@ def generated(n: int = 4000, seed: int = 9) -> tuple[np.ndarray, np.ndarray]:
     return np.array(x), np.array(y)
 
 
+def harmless(run: str) -> bool:
+    """Is the run of a kind that holds no credential?"""
+    return HARMLESS.fullmatch(run.strip(EDGE) or run) is not None
+
+
+def masked(text: str, kind: str, a: int, b: int) -> tuple[str, int, int] | None:
+    """Text around a rule match without what the rule looks for, and the place of the value in it."""
+    value = text[a:b]
+    if kind == "assign":
+        value = ASSIGN.match(value).group(2)
+    elif kind == "access":
+        value = value[4:]
+    if len(value) < 12:
+        return None
+    before = text[max(0, a - LEFT) : a]
+    return before + value + text[b : b + RIGHT], len(before), len(before) + len(value)
+
+
 def _findings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         codes, labels, order = [], [], []
+
+        def put(text: str, a: int, b: int, label: int, place: str) -> None:
+            codes.append(windows(text, [(a, b)])[0].tobytes())
+            labels.append(label)
+            order.append(place)
+
         for raw, first in zip(binary_lists(batch.column("text")), batch.column("first").to_pylist(), strict=True):
             text = raw.decode("utf-8", "replace")
-            base, spans = base_spans(text), candidates(text)
-            for i, row in enumerate(windows(text, spans)):
-                a, b = spans[i]
-                codes.append(row.tobytes())
-                labels.append(int(any(s < b and a < e for _, s, e in base)))
-                order.append(f"{first:020d}:{a:012d}")
+            base = base_spans(text)
+            for kind, a, b in base:
+                found = masked(text, kind, a, b)
+                if found and not harmless(found[0][found[1] : found[2]]):
+                    put(*found, 1, f"{first:020d}:{a:012d}:{kind}")
+            for a, b in _free(base, candidates(text)):
+                if harmless(text[a:b]):
+                    put(text, a, b, 0, f"{first:020d}:{a:012d}")
         yield pa.RecordBatch.from_arrays([pa.array(order, pa.string()), pa.array(codes, pa.binary()), pa.array(labels, pa.int32())], ["place", "codes", "label"])
 
 
+def _free(base: list[tuple[str, int, int]], spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Candidates that overlap no rule match."""
+    free, k, ends = [], 0, sorted((s, e) for _, s, e in base)
+    for a, b in spans:
+        while k < len(ends) and ends[k][1] <= a:
+            k += 1
+        if not any(s < b and a < e for s, e in ends[k : k + 4]):
+            free.append((a, b))
+    return free
+
+
 def fit(docs: DataFrame) -> Network:
     """A network from the generated findings and at most ``TRAIN_FINDINGS`` of the corpus; a fifth of each calibrates it.
 
@@ -224,7 +271,8 @@ def fit(docs: DataFrame) -> Network:
     chosen = rows.select("first").distinct().orderBy("first").limit(TRAIN_DOCUMENTS)
     rows = rows.join(F.broadcast(chosen), "first", "left_semi").dropDuplicates(["first"])  # TRAIN_DOCUMENTS numbers
     found = rows.select("text", "first").mapInArrow(_findings, "place string, codes binary, label int")
-    found = found.orderBy(F.xxhash64("place"), "place").limit(TRAIN_FINDINGS).select("codes", "label").collect()
+    places = Window.partitionBy("label").orderBy(F.xxhash64("place"), "place")  # of TRAIN_DOCUMENTS documents
+    found = found.withColumn("_n", F.row_number().over(places)).where(F.col("_n") <= TRAIN_FINDINGS // 2).orderBy("label", "_n").select("codes", "label").collect()
     x, y = generated()
     if found:
         x = np.concatenate([x, np.array([np.frombuffer(r["codes"], np.uint8) for r in found])])
@@ -252,13 +300,7 @@ def scan(docs: DataFrame, network: Network) -> DataFrame:
             for raw in binary_lists(batch.column("text")):
                 text = raw.decode("utf-8", "replace")
                 base = base_spans(text)
-                free = []
-                k, ends = 0, sorted((s, e) for _, s, e in base)
-                for a, b in candidates(text):
-                    while k < len(ends) and ends[k][1] <= a:
-                        k += 1
-                    if not any(s < b and a < e for s, e in ends[k : k + 4]):
-                        free.append((a, b))
+                free = _free(base, candidates(text))
                 rows.append(base)
                 open_.append(free)
                 codes.append(windows(text, free))
