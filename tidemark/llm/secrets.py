@@ -68,18 +68,19 @@ _CODE[[9, 10, 11, 12, 13]] = 96
 
 def windows(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
     """Character codes around and in each candidate; 0 pads, 97 is any character beyond ASCII."""
-    out = np.zeros((len(spans), WIDTH), np.uint8)
-    for i, (a, b) in enumerate(spans):
-        for part, at, right in ((text[max(0, a - LEFT) : a], 0, True), (text[a : min(b, a + HEAD)], LEFT, False),
-                                (text[max(a, b - TAIL) : b], LEFT + HEAD, False), (text[b : b + RIGHT], LEFT + HEAD + TAIL, False)):
-            if part:
-                points = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
-                codes = np.where(points < 128, _CODE[np.minimum(points, 127)], 97)
-                if right:
-                    out[i, at + LEFT - len(codes) : at + LEFT] = codes
-                else:
-                    out[i, at : at + len(codes)] = codes
-    return out
+    if not spans:
+        return np.zeros((0, WIDTH), np.uint8)
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes, n = np.where(points < 128, _CODE[np.minimum(points, 127)], 97).astype(np.uint8), len(points)
+    places = np.array(spans, np.int64)
+    done = []
+    for at in range(0, len(places), 4096):
+        a, b = places[at : at + 4096, :1], places[at : at + 4096, 1:]
+        parts = ((a - LEFT, LEFT, 0, n), (a, HEAD, 0, b), (np.maximum(a, b - TAIL), TAIL, 0, b), (b, RIGHT, 0, n))
+        where = np.concatenate([start + np.arange(size) for start, size, _, _ in parts], axis=1)
+        known = np.concatenate([(start + np.arange(size) >= low) & (start + np.arange(size) < high) for start, size, low, high in parts], axis=1)
+        done.append(np.where(known, codes[np.clip(where, 0, n - 1)], 0).astype(np.uint8))
+    return np.concatenate(done)
 
 
 class Network:
@@ -103,8 +104,8 @@ class Network:
         embedded = w["embed"][codes]
         patches = np.lib.stride_tricks.sliding_window_view(embedded, SPAN, axis=1).transpose(0, 1, 3, 2).reshape(n * steps, SPAN * EMBED)
         conv = (patches @ w["conv"] + w["conv0"]).reshape(n, steps, FILTERS)
-        best = [lo + conv[:, lo:hi].argmax(axis=1) for lo, hi in self._regions()]
-        top = np.concatenate([np.take_along_axis(conv, b[:, None], axis=1)[:, 0] for b in best], axis=1)
+        best = [lo + conv[:, lo:hi].argmax(axis=1) for lo, hi in self._regions()] if keep else []
+        top = np.concatenate([conv[:, lo:hi].max(axis=1) for lo, hi in self._regions()], axis=1) if not keep else np.concatenate([np.take_along_axis(conv, b[:, None], axis=1)[:, 0] for b in best], axis=1)
         pooled = np.maximum(top, 0)
         hidden = np.maximum(pooled @ w["hide"] + w["hide0"], 0)
         logit = hidden @ w["out"] + w["out0"][0]
@@ -232,10 +233,10 @@ def _findings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         codes, labels, order = [], [], []
 
-        def put(text: str, a: int, b: int, label: int, place: str) -> None:
-            codes.append(windows(text, [(a, b)])[0].tobytes())
-            labels.append(label)
-            order.append(place)
+        def put(text: str, spans: list[tuple[int, int]], label: int, places: list[str]) -> None:
+            codes.extend(row.tobytes() for row in windows(text, spans))
+            labels.extend([label] * len(spans))
+            order.extend(places)
 
         for raw, first in zip(binary_lists(batch.column("text")), batch.column("first").to_pylist(), strict=True):
             text = raw.decode("utf-8", "replace")
@@ -243,10 +244,9 @@ def _findings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for kind, a, b in base:
                 found = masked(text, kind, a, b)
                 if found and not harmless(found[0][found[1] : found[2]]):
-                    put(*found, 1, f"{first:020d}:{a:012d}:{kind}")
-            for a, b in _free(base, candidates(text)):
-                if harmless(text[a:b]):
-                    put(text, a, b, 0, f"{first:020d}:{a:012d}")
+                    put(found[0], [found[1:]], 1, [f"{first:020d}:{a:012d}:{kind}"])
+            free = [(a, b) for a, b in _free(base, candidates(text)) if harmless(text[a:b])]
+            put(text, free, 0, [f"{first:020d}:{a:012d}" for a, _ in free])
         yield pa.RecordBatch.from_arrays([pa.array(order, pa.string()), pa.array(codes, pa.binary()), pa.array(labels, pa.int32())], ["place", "codes", "label"])
 
 
