@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import rules
@@ -10,6 +10,7 @@ from tidemark.functions import text as T
 from tidemark.operators.skew import salted_join
 
 WORD = 60  # questions per bit mask
+OPEN_AUDIENCES = ("doctor", "clinician", "audit")
 
 
 def mentions(chunks: DataFrame, vocabulary: dict[str, tuple]) -> DataFrame:
@@ -73,8 +74,8 @@ def causal_conflicts(edges: DataFrame) -> DataFrame:
     return flags.filter(F.col("_c") & F.col("_o")).select("source", "target")
 
 
-def reach(edges: DataFrame, seeds: DataFrame, hops: int = 2, salts: int = 16) -> DataFrame:
-    """Smallest hop (0..hops) at which each question reaches each node, for a whole batch of questions.
+def planes(edges: DataFrame, seeds: DataFrame, hops: int = 2, salts: int = 16) -> DataFrame:
+    """(word, node, m0 .. m<hops>): which questions reach the node with 0 .. ``hops`` steps, a bit per question; planes may overlap.
 
     Questions travel as bits of a mask, so an expansion round handles ``WORD`` questions per edge row. Hub nodes are
     salted. ``seeds`` has (question, node) with consecutive question numbers from 0.
@@ -82,28 +83,45 @@ def reach(edges: DataFrame, seeds: DataFrame, hops: int = 2, salts: int = 16) ->
     both = edges.select(F.explode(F.array(
         F.struct(F.col("source").alias("node"), F.col("target").alias("next")), F.struct(F.col("target").alias("node"), F.col("source").alias("next"))
     )).alias("_e")).select("_e.*").distinct()
-    bit = F.expr(f"shiftleft(1L, CAST(question % {WORD} AS INT))")
-    front = seeds.withColumn("word", F.floor(F.col("question") / WORD)).groupBy("word", "node").agg(F.bit_or(bit).alias("mask"))
+    front = seeds.select(word_of("question").alias("word"), "node", bit_of("question").alias("_bit")).groupBy("word", "node").agg(F.bit_or("_bit").alias("mask"))
     layers = [front]
     for _ in range(hops):
-        words = front.groupBy("node").agg(F.collect_list(F.struct("word", "mask")).alias("_w"))  # ceil(questions / WORD) entries
-        step = salted_join(both, words, ["node"], ["next"], "inner", salts)
-        moved = step.select("next", F.explode("_w").alias("_m"))
-        front = moved.groupBy(F.col("_m.word").alias("word"), F.col("next").alias("node")).agg(F.bit_or("_m.mask").alias("mask"))
+        step = salted_join(both, front, ["node"], ["next"], "inner", salts)
+        front = step.groupBy("word", F.col("next").alias("node")).agg(F.bit_or("mask").alias("mask"))
         layers.append(front)
     tagged = layers[0].withColumn("hop", F.lit(0))
     for hop, layer in enumerate(layers[1:], 1):
         tagged = tagged.unionByName(layer.withColumn("hop", F.lit(hop)))
-    zero = F.lit(0).cast("long")
-    state = tagged.groupBy("word", "node").agg(*[
-        F.coalesce(F.bit_or(F.when(F.col("hop") == h, F.col("mask"))), zero).alias(f"m{h}") for h in range(hops + 1)
+    return tagged.groupBy("word", "node").agg(*[
+        F.coalesce(F.bit_or(F.when(F.col("hop") == h, F.col("mask"))), no_bits()).alias(f"m{h}") for h in range(hops + 1)
     ])
-    seen, found = zero, []
+
+
+def no_bits() -> Column:
+    return F.lit(0).cast("long")
+
+
+def word_of(question: str) -> Column:
+    return F.floor(F.col(question) / WORD).cast("long")
+
+
+def bit_of(question: str) -> Column:
+    return F.expr(f"shiftleft(1L, CAST({question} % {WORD} AS INT))")
+
+
+def nearest(hops: int) -> list[Column]:
+    """The planes m0 .. m<hops> with every question only at its smallest step."""
+    seen, out = no_bits(), []
     for h in range(hops + 1):
-        new = F.col(f"m{h}").bitwiseAND(F.bitwise_not(seen))
-        found.append(F.struct(F.lit(h).alias("hop"), new.alias("mask")))
+        out.append(F.col(f"m{h}").bitwiseAND(F.bitwise_not(seen)))
         seen = seen.bitwiseOR(F.col(f"m{h}"))
-    return state.select("word", "node", F.explode(F.array(*found)).alias("_f")).select("word", "node", "_f.*").filter("mask <> 0")
+    return out
+
+
+def reach(edges: DataFrame, seeds: DataFrame, hops: int = 2, salts: int = 16) -> DataFrame:
+    """(word, node, hop, mask): smallest hop (0..hops) at which each question reaches each node, for a whole batch of questions."""
+    found = [F.struct(F.lit(h).alias("hop"), new.alias("mask")) for h, new in enumerate(nearest(hops))]
+    return planes(edges, seeds, hops, salts).select("word", "node", F.explode(F.array(*found)).alias("_f")).select("word", "node", "_f.*").filter("mask <> 0")
 
 
 def unpack(masks: DataFrame) -> DataFrame:
@@ -112,45 +130,9 @@ def unpack(masks: DataFrame) -> DataFrame:
     return masks.select("word", "node", "hop", F.explode(bits).alias("_b")).select((F.col("word") * WORD + F.col("_b")).alias("question"), "node", "hop")
 
 
-def ranked_edges(edges: DataFrame, hops: DataFrame, context: DataFrame, questions: DataFrame, clashes: DataFrame, n: int = 12) -> DataFrame:
-    """Top edges per question: context, directness, type priority, shared tokens, conflict penalty.
-
-    ``hops`` is (question, node, hop); an edge counts once per question with its nearer endpoint.
-    """
-    marked = context.select(F.col("node"), F.lit(1).alias("ctx")).distinct()
-    clash = clashes.select("source", "target").distinct().withColumn("clash", F.lit(1))
-    priority = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in rules.RELATION_PRIORITY.items() for x in kv]), F.col("type")), F.lit(1))
-    base = edges.join(clash, ["source", "target"], "left")
-    for end in ("source", "target"):
-        base = base.join(marked.select(F.col("node").alias(end), F.col("ctx").alias(f"ctx_{end}")), end, "left")
-    fixed = priority + 3 * F.coalesce(F.col("ctx_source"), F.col("ctx_target"), F.lit(0)) - 5 * F.coalesce("clash", F.lit(0))
-    edge = ["source", "target", "type", "strength", "evidence", "fixed"]
-    base = base.select(*edge[:-1], fixed.cast("int").alias("fixed"))
-    reached = hops.groupBy("node").agg(F.collect_list(F.struct("question", "hop")).alias("_q"))
-    met = base
-    for end in ("source", "target"):
-        side = reached.select(F.col("node").alias(end), F.col("_q").alias(f"_{end}"))
-        met = salted_join(met, side, [end], ["type", "source", "target"], "left", 4)
-    none = F.array().cast("array<struct<question:bigint,hop:int>>")
-
-    def nearest(pairs: Column) -> Column:
-        # sorted by (question, hop): the first entry of each question is its nearer endpoint
-        return F.filter(pairs, lambda x, i: F.coalesce(F.get(pairs, i - 1)["question"] != x["question"], F.lit(True)))
-
-    pairs = F.array_sort(F.concat(F.coalesce("_source", none), F.coalesce("_target", none)))
-    words = T.tokens(F.concat_ws(" ", "source", "target", "evidence"), ())
-    one = met.select(*edge, words.alias("_words"), F.explode(T.bind(pairs, nearest)).alias("_h")).select(*edge, "_words", "_h.*").join(questions, "question")
-    shared = F.size(F.array_intersect("_words", "question_tokens"))
-    score = F.round(F.col("fixed") + F.when(F.col("hop") == 0, 2).otherwise(0) + shared * 0.2, 4)
-    order = Window.partitionBy("question").orderBy(
-        F.col("score").desc(), (F.col("strength") == "high").desc(), (F.col("type") != "mentions").desc(), "source", "target", "type"
-    )
-    return one.withColumn("score", score).withColumn("position", F.row_number().over(order)).filter(F.col("position") <= n).drop("fixed", "_words", "question_tokens")
-
-
 def visible(pre_status: Column, kind: Column, legacy: Column, audience: str, source_gate: str) -> Column:
     """Audience gate: professional views see everything; others never see unconfirmed edges, urgent ones excepted."""
-    if audience in ("doctor", "clinician", "audit"):
+    if audience in OPEN_AUDIENCES:
         return F.lit(True)
     unconfirmed = (pre_status == "needs_clinician_confirmation") & ~kind.isin(*rules.URGENT_TYPES)
     return ~unconfirmed & ~(legacy if source_gate == "exclude_legacy_pending" else F.lit(False))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark import rules
-from tidemark.operators import govern as G, graph as K
+from tidemark.operators import evidence as E, govern as G, graph as K
 from tidemark.plans.registry import query
 
 
@@ -146,17 +146,66 @@ RANKED = bfs_sql(REGION_SEEDS) + f""", ed AS (SELECT * FROM {{edges}} y), cf AS
    SELECT question, source, target, type, hop, score, position FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, strength='high' DESC, type<>'mentions' DESC, source, target, type) AS position FROM sc) z WHERE position<=12"""
 
 
-def ranked(t):
-    edges = t.stored(t.edges, "edges")
-    hops = K.unpack(K.reach(edges, region_seeds(t)))
-    context = t.part.filter("p_size = 1").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("node"))
-    questions = t.region.select(F.col("r_regionkey").cast("long").alias("question"), F.array(F.lit("part"), F.lit("src")).alias("question_tokens"))
-    return K.ranked_edges(edges, hops, context, questions, K.conflicts(edges))
+def part_context(t):
+    return t.part.filter("p_size = 1").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("node"))
 
 
 @query("kg14_edge_priority", RANKED)
 def kg14(t):
-    return ranked(t).select("question", "source", "target", "type", "hop", "score", "position")
+    """Plain ranking without gates; mentions compete with explicit edges."""
+    edges = t.stored(t.edges, "edges")
+    questions = t.region.select(F.col("r_regionkey").cast("long").alias("question"), F.array(F.lit("part"), F.lit("src")).alias("question_tokens"))
+    touched = E.touched_edges(edges, K.planes(edges, region_seeds(t)), questions, part_context(t), K.conflicts(edges))
+    return E.best_edges(touched, hide_mentions=False).select("question", "source", "target", "type", "hop", "score", "position")
+
+
+ASKED = """(SELECT CAST(n_nationkey AS BIGINT) AS question, CASE WHEN n_nationkey%4=1 THEN 'doctor' WHEN n_nationkey%4<>3 THEN 'elderly' END AS audience,
+   CASE WHEN n_nationkey%2=0 THEN 'exclude_legacy_pending' END AS source_gate, CASE WHEN n_nationkey%3=0 THEN ['part','src'] WHEN n_nationkey%3=1 THEN ['supplier','src','part'] ELSE [] END AS words FROM nation)"""
+GATED = f"""(WITH {bfs_sql(NATION_SEEDS)[5:]}, ed AS (SELECT x.*, status, split_part(evidence,'#',1) IN ('src0','src1','src2') AS legacy FROM {PRE} x), aq AS (SELECT * FROM {ASKED} a0),
+   cf AS (SELECT source, target FROM ed GROUP BY ALL HAVING bool_or(type='increases_risk_of') AND bool_or(type='protective_against')),
+   ctx AS (SELECT 'part:'||p_partkey AS node FROM part WHERE p_size=1),
+   near AS (SELECT question, source, target, type, min(hop) AS hop FROM (SELECT question, source, target, type, hop FROM ed JOIN hops ON node=source UNION ALL SELECT question, source, target, type, hop FROM ed JOIN hops ON node=target) u GROUP BY ALL)
+   SELECT n.question, n.source, n.target, n.type, ed.strength, n.hop, legacy, cf.source IS NOT NULL AS conflict, n.target IN (SELECT node FROM ctx) AS context_match,
+      coalesce(audience='doctor',false) OR NOT (status='needs_clinician_confirmation' OR (legacy AND coalesce(source_gate='exclude_legacy_pending',false))) AS shown,
+      round(CAST(CASE n.type WHEN 'increases_risk_of' THEN 4 WHEN 'mentions' THEN 0 ELSE 1 END + CASE WHEN n.hop=0 THEN 2 ELSE 0 END + CASE WHEN n.target IN (SELECT node FROM ctx) THEN 3 ELSE 0 END - CASE WHEN cf.source IS NOT NULL THEN 5 ELSE 0 END
+        + 0.2*len(list_intersect({TOKENS_SQL.replace('source', 'n.source').replace('target', 'n.target').replace('evidence', 'ed.evidence')}, words)) AS DOUBLE),4) AS score
+   FROM near n JOIN ed USING(source,target,type) JOIN aq ON aq.question=n.question LEFT JOIN cf ON cf.source=n.source AND cf.target=n.target)"""
+
+
+def gated(t):
+    """Touched edges of one question per nation: readers of four kinds, three word sets."""
+    key = F.col("n_nationkey")
+    none = F.array().cast("array<string>")
+    questions = t.nation.select(
+        key.cast("long").alias("question"), F.when(key % 4 == 1, "doctor").when(key % 4 != 3, "elderly").alias("audience"),
+        F.when(key % 2 == 0, "exclude_legacy_pending").alias("source_gate"),
+        F.when(key % 3 == 0, F.array(F.lit("part"), F.lit("src"))).when(key % 3 == 1, F.array(F.lit("supplier"), F.lit("src"), F.lit("part"))).otherwise(none).alias("question_tokens"),
+    )
+    edges = t.stored(reviewed(t).select(
+        *E.EDGE, (F.col("status") == "needs_clinician_confirmation").alias("unsure"), K.is_legacy(F.col("review_status")).alias("legacy"),
+    ).withColumn("unconfirmed", F.col("unsure") & ~F.col("type").isin(*rules.URGENT_TYPES)), "edges")
+    return E.touched_edges(edges, K.planes(edges, nation_seeds(t)), questions, part_context(t), K.conflicts(edges)), questions
+
+
+@query(
+    "kg14_graph_context",
+    f"""SELECT question, source, target, type, hop, score, context_match, conflict, position FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, strength='high' DESC, source, target, type) AS position
+        FROM (SELECT *, bool_or(type<>'mentions') OVER (PARTITION BY question) AS explicit FROM {GATED} g WHERE shown) h WHERE type<>'mentions' OR NOT explicit) z WHERE position<=12""",
+)
+def kg14_context(t):
+    """Per question: gates, mentions hidden where explicit edges are visible, the best twelve."""
+    return E.best_edges(gated(t)[0]).select("question", "source", "target", "type", "hop", "score", "context_match", "conflict", "position")
+
+
+@query(
+    "kg15_question_gates",
+    f"""SELECT question, count(*) FILTER (shown) AS shown, count(*) FILTER (shown=false) AS blocked, count(*) FILTER (shown AND type<>'mentions') AS explicit, count(*) FILTER (shown AND legacy) AS legacy_shown
+        FROM {ASKED} a LEFT JOIN {GATED} g USING(question) GROUP BY question""",
+)
+def kg15_questions(t):
+    """Per question: edges its reader sees, edges its gates block."""
+    touched, questions = gated(t)
+    return E.edge_counts(touched, questions)
 
 
 GATE_KEEP = "NOT (status='needs_clinician_confirmation')"
