@@ -52,3 +52,30 @@ def test_file_manifest_hashes(spark, tmp_path):
 def test_upsert(spark):
     old, new = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string"), spark.createDataFrame([(2, "c"), (3, "d")], "k long, v string")
     assert {tuple(r) for r in io.upsert(old, new, ["k"]).collect()} == {(1, "a"), (2, "c"), (3, "d")}
+
+
+def test_file_manifest_reads_files_beyond_two_gib_in_pieces(spark, tmp_path):
+    import hashlib
+
+    size = (1 << 31) + 1
+    with open(tmp_path / "large.bin", "wb") as f:
+        f.truncate(size)  # a hole: no disk is used
+    want, block = hashlib.sha256(), bytes(1 << 22)
+    for _ in range(size >> 22):
+        want.update(block)
+    want.update(bytes(size & ((1 << 22) - 1)))
+    row = io.file_manifest(spark, str(tmp_path)).first()
+    assert (row["path"], row["bytes"], row["sha256"]) == ("large.bin", size, want.hexdigest())
+
+
+def test_artifact_manifest_counts_rows_and_positives(spark, tmp_path):
+    import hashlib
+
+    for folder, text in {"a": "y,z\n1,x\n1.0,x\n0,x\n", "b + c%20é": "y,z\n1,x\nnone,x\n,x\n", "d": "y,z\n"}.items():
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "same.csv").write_text(text)
+    got = {r["path"]: (r["n_total"], r["n_positive"], r["sha256"]) for r in io.artifact_manifest(spark, str(tmp_path), "y").collect()}
+    digest = lambda folder: hashlib.sha256((tmp_path / folder / "same.csv").read_bytes()).hexdigest()
+    assert got == {
+        "a/same.csv": (3, 2, digest("a")), "b + c%20é/same.csv": (3, 1, digest("b + c%20é")), "d/same.csv": (0, 0, digest("d")),
+    }

@@ -105,6 +105,20 @@ def snk2(t):
     return G.compare_manifests(now, stored).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "snk2_artifact_counts",
+    "SELECT o_orderstatus AS artifact, count(*) AS n_total, count(*) FILTER (o_totalprice > 150000) AS n_positive, 0 AS unhashed FROM orders GROUP BY 1",
+)
+def snk2_counts(t):
+    """Tables written as CSV by status; their manifest gives rows and positives per file, summed per table."""
+    path = fresh_path(t.spark, "labelled")
+    t.orders.select("o_orderkey", (F.col("o_totalprice") > 150000).cast("int").alias("label"), "o_orderstatus").write.partitionBy("o_orderstatus").option("header", True).csv(path)
+    listed = io.artifact_manifest(t.spark, path, "label").filter("path not like '%_SUCCESS'")
+    return listed.groupBy(F.regexp_extract("path", "o_orderstatus=([^/]*)/", 1).alias("artifact")).agg(
+        F.sum("n_total").alias("n_total"), F.sum("n_positive").alias("n_positive"), F.count_if(F.length("sha256") != 64).alias("unhashed")
+    )
+
+
 @query("snk3_row_fingerprint", "SELECT doc_id, sha256(concat_ws('|', lang, CAST(n_chars AS VARCHAR), source, text)) AS fp FROM documents")
 def snk3(t):
     return t.documents.select("doc_id", G.fingerprint(["text", "source", "lang", "n_chars"]).alias("fp"))

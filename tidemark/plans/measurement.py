@@ -8,6 +8,7 @@ from tidemark import rules
 from tidemark.functions import cleaning as C
 from tidemark.functions.text import bind
 from tidemark.operators import keepfirst, series as S, skew
+from tidemark.operators.trailing import trailing_features
 from tidemark.plans.registry import query
 from tidemark.sources.views import AS_OF
 
@@ -789,6 +790,23 @@ def win7_medians(t):
     return S.window_medians(t.measurements, KEY, AS_OF).withColumn("median", r("median"))
 
 
+@query(
+    "win7_trailing_table",
+    """WITH a AS (SELECT *, (epoch_us({as_of})-epoch_us(ts))/86400000000.0 AS age FROM {measurements} m WHERE ts<={as_of} AND value IS NOT NULL),
+         l AS (SELECT participant_id, metric, arg_max(value,(ts,measurement_id)) AS last, min(age) AS days_since_last FROM a GROUP BY ALL)
+       SELECT participant_id, metric, w AS window_days, last, round(days_since_last,6) AS days_since_last, count(v) AS count, round(avg(v),6) AS mean, round(median(v),6) AS median, round(stddev_pop(v),5) AS std,
+        min(v) AS min, max(v) AS max, CASE WHEN count(v)>0 THEN round(CASE WHEN count(DISTINCT x)>1 THEN regr_slope(v,x) ELSE 0 END,5) END AS slope,
+        CASE WHEN count(v)>0 THEN round(greatest(0,1-count(DISTINCT d)/CAST(w AS DOUBLE)),6) END AS missing_rate
+       FROM (SELECT participant_id, metric, w, CASE WHEN age<w THEN value END AS v, CASE WHEN age<w THEN -age END AS x, CASE WHEN age<w THEN CAST(ts AS DATE) END AS d
+             FROM a, (VALUES (1),(3),(7),(14),(30),(90)) AS ws(w)) y JOIN l USING(participant_id, metric) GROUP BY participant_id, metric, w, last, days_since_last""",
+)
+def win7_table(t):
+    """All trailing features and the last reading in one table; each reading is counted once."""
+    f = trailing_features(t.measurements, KEY, AS_OF)
+    places = {"days_since_last": 6, "mean": 6, "median": 6, "std": 5, "slope": 5, "missing_rate": 6}
+    return f.select(*[r(c, places[c]).alias(c) if c in places else c for c in f.columns])
+
+
 @query(
     "jn18_as_of_value",
     "SELECT participant_id, metric, arg_max(value,(ts,measurement_id)) AS value, epoch_us(max(ts)) AS ts_us FROM {measurements} m WHERE ts <= TIMESTAMP '2024-01-15' GROUP BY ALL",

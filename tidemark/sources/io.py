@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pandas as pd
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.text import bind
 
+PIECE = 1 << 22  # bytes of a file held at once
+
 
 def wide_csv(spark: SparkSession, path: str, schema: str, columns: list[str]) -> DataFrame:
     """Wide survey file: the schema is given by name, whatever the order of the header; only the wanted columns are parsed."""
@@ -118,8 +126,55 @@ def write_report(df: DataFrame, path: str, form: str = "json") -> str:
 
 
 def file_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(file, bytes, sha256) of every artifact under a path, hashed by the executors."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select(
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")
+    """(path under the folder, bytes, sha256) of every file; executors read a file in pieces into one running digest.
+
+    Spark lists the files, the contents never become a row: a task holds ``PIECE`` bytes, whatever the size of a file. Files are
+    spread over the tasks. The folder must be one that ``pyarrow.fs`` can open (local, HDFS, S3, GCS).
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("length").alias("bytes"))
+    tasks = spark.sparkContext.defaultParallelism
+
+    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for files in batches:
+            yield files.assign(sha256=[_digest(p) for p in files["path"]])
+
+    hashed = files.repartition(tasks, "path").mapInPandas(digests, "path string, bytes long, sha256 string")
+    return hashed.select(_below(F.col("path"), path).alias("path"), "bytes", "sha256")
+
+
+def _digest(path: str) -> str:
+    """Hash of one file as Spark names it (scheme, then an unescaped path)."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or scheme == "file":
+        system, name = fs.LocalFileSystem(), "/" + (rest if colon else path).lstrip("/")
+    else:
+        system, name = fs.FileSystem.from_uri(f"{scheme}:{quote(rest)}")
+    digest = hashlib.sha256()
+    with system.open_input_stream(name) as stream:
+        while piece := stream.read(PIECE):
+            digest.update(piece)
+    return digest.hexdigest()
+
+
+def _below(path: Column, folder: str) -> Column:
+    """The part of a file's name below the folder; the plain name where the folder is the file itself."""
+    def plain(c: Column) -> Column:
+        return F.regexp_replace(c, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?(?=/)", "")
+
+    root = F.concat(F.rtrim(plain(F.lit(folder)), F.lit("/")), F.lit("/"))
+    return F.when(F.startswith(plain(path), root), F.substr(plain(path), F.length(root) + 1)).otherwise(F.regexp_extract(path, r"([^/]+)$", 1))
+
+
+def artifact_manifest(spark: SparkSession, path: str, target: str, form: str = "csv") -> DataFrame:
+    """The file manifest with n_total (rows) and n_positive (rows whose ``target`` is 1 as a number) of each data file.
+
+    A target that is missing or no number is not positive; files without a row count 0."""
+    reader = spark.read.option("recursiveFileLookup", True).option("header", True) if form == "csv" else spark.read.option("recursiveFileLookup", True)
+    rows = reader.format(form).load(path).select(F.col("_metadata.file_path").alias("_file"), F.col(target).try_cast("double").alias("_y"))
+    counts = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("n_total"), F.count_if(F.col("_y") == 1).alias("n_positive"))
+    # file_path is escaped like a URI, where a plus sign stands for itself
+    named = F.url_decode(F.replace("_file", F.lit("+"), F.lit("%2B")))
+    counts = counts.select(_below(named, path).alias("path"), "n_total", "n_positive")
+    return file_manifest(spark, path).join(counts, "path", "left").select(
+        "path", "bytes", "sha256", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_total", "n_positive")]
     )
