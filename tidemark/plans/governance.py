@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import govern as G, skew
 from tidemark.plans.registry import query
 from tidemark.session import fresh_path
-from tidemark.sources import io
+from tidemark.sources import io, lines as L
 
 
 def r(c, n=6):
@@ -42,6 +42,44 @@ def src4(t):
     return pairs.groupBy("source").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("targets"))
 
 
+FILE_ROWS = 1_000_000
+
+
+def in_files(rows, path, write):
+    """Rows written in id order, one file per ``FILE_ROWS`` ids, so that a line number is the place of the id in its file."""
+    packed = rows.withColumn("part", F.floor(F.col("measurement_id") / FILE_ROWS).cast("long"))
+    write(packed.repartition("part").sortWithinPartitions("part", "measurement_id").drop("measurement_id").write.partitionBy("part"), path)
+    return path
+
+
+@query(
+    "src3_bad_lines",
+    f"SELECT measurement_id, line, text FROM (SELECT measurement_id, k, 1+row_number() OVER (PARTITION BY measurement_id//{FILE_ROWS} ORDER BY measurement_id) AS line, measurement_id||',not a number' AS text FROM {{measurements}} m) x WHERE k%50=0",
+)
+def src3_lines(t):
+    """Line number and raw text of every row of a CSV folder that does not fit its schema."""
+    value = F.when(F.col("k") % 50 == 0, "not a number").otherwise(F.col("value").cast("string"))
+    rows = t.measurements.select("measurement_id", F.col("measurement_id").alias("id"), value.alias("value"))
+    path = in_files(rows, fresh_path(t.spark, "numbered"), lambda w, p: w.option("header", True).csv(p))
+    bad = L.bad_csv_lines(t.spark, path, "id long, value double", {"id", "value"})
+    return bad.select(F.substring_index("text", ",", 1).cast("long").alias("measurement_id"), "line", "text")
+
+
+@query(
+    "src4_bad_lines",
+    f"""SELECT line, text, CASE WHEN k%40=0 THEN 'malformed' ELSE 'not_a_list' END AS problem, measurement_id//{FILE_ROWS} AS part
+        FROM (SELECT measurement_id, k, row_number() OVER (PARTITION BY measurement_id//{FILE_ROWS} ORDER BY measurement_id) AS line, CASE WHEN k%40=0 THEN '[{{"id": '||measurement_id ELSE '{{"id": '||measurement_id||'}}' END AS text FROM {{measurements}} m) x WHERE k%40 IN (0,20)""",
+)
+def src4_lines(t):
+    """JSON lists, one per line; broken lines and lines without a list are named with their place."""
+    open_, number = F.lit('{"id": '), F.col("measurement_id").cast("string")
+    text = F.when(F.col("k") % 40 == 0, F.concat(F.lit("["), open_, number)).when(F.col("k") % 40 == 20, F.concat(open_, number, F.lit("}"))).otherwise(
+        F.concat(F.lit("["), open_, number, F.lit("}]"))
+    )
+    path = in_files(t.measurements.select("measurement_id", text.alias("value")), fresh_path(t.spark, "lists"), lambda w, p: w.text(p))
+    return L.bad_json_lines(t.spark, path).select("line", "text", "problem", F.regexp_extract("file", "part=([0-9]+)/", 1).cast("long").alias("part"))
+
+
 CORPUS_SQL = "(SELECT doc_id, i AS section_no, trim(l) AS title FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)),1)-1 AS i FROM documents) x)"
 
 

@@ -22,10 +22,10 @@ def wide_csv(spark: SparkSession, path: str, schema: str, columns: list[str]) ->
     return spark.read.schema(_by_header(spark, path, schema)).option("header", True).csv(path).select(*columns)
 
 
-def _by_header(spark: SparkSession, path: str, schema: str) -> T.StructType:
-    """The fields of ``schema`` in the order of the file's header; a column it does not name is text."""
+def _by_header(spark: SparkSession, path: str, schema: str, nested: bool = False) -> T.StructType:
+    """The fields of ``schema`` in the order of the file's header; a column it does not name is text. ``nested``: no partition columns."""
     known = {f.name: f for f in T._parse_datatype_string(schema).fields}
-    header = [c.lstrip("\ufeff") for c in spark.read.option("header", True).csv(path).columns]
+    header = [c.lstrip("\ufeff") for c in spark.read.option("header", True).option("recursiveFileLookup", nested).csv(path).columns]
     return T.StructType([known.get(c, T.StructField(c, T.StringType())) for c in header])
 
 
