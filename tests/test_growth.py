@@ -27,3 +27,39 @@ def test_tied_edges_and_tokens_add_no_rows(spark):
     assert [(r["question"], r["target"]) for r in got] == [(q, f"t{i:03d}") for q in (0, 1, 70) for i in range(5)]
     base = got[5]["score"]
     assert [round(r["score"] - base, 4) for r in got] == [0.4] * 5 + [0.0] * 10
+
+
+class Store:
+    """A map state that counts its calls."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def getMapState(self, *_):
+        return self
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.held.get(key)
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.held[key] = value
+
+
+def test_state_calls_follow_pages(stage):
+    n, gap, width = 400, 10, 100
+    store, made = Store(), stage(gap, width, None)
+    made.init(store)
+    names, at = [f"s{i}" for i in range(n)], np.arange(n) % width
+    tables = [S.entry_table(np.array([t], np.int64), 0, width, gap) for t in at]
+    rows = pd.DataFrame({
+        "series": names, "chunk": 0, "t": at, "id": np.arange(n), "kind": 0, "entries": [x.tobytes() for x, _ in tables], "exits": [x.tobytes() for _, x in tables],
+    })
+    key = (0,) if stage is S.ChunkChain else (0, 0)
+    first = [len(x) for x in made.handleInputRows(key, iter([rows]), None)]
+    assert store.calls <= 4 * S.PAGES  # pages of block 0 and, for the chain, of the chunks beside it
+    again = list(made.handleInputRows(key, iter([rows]), None))  # from the pages that were written
+    assert not again and sum(first) == (0 if stage is S.ChunkRows else n)
+    other = list(made.handleInputRows(key, iter([rows.assign(series="new" + rows["series"])]), None))
+    assert sum(map(len, other)) == sum(first)
