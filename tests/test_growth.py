@@ -63,3 +63,14 @@ def test_state_calls_follow_pages(stage):
     assert not again and sum(first) == (0 if stage is S.ChunkRows else n)
     other = list(made.handleInputRows(key, iter([rows.assign(series="new" + rows["series"])]), None))
     assert sum(map(len, other)) == sum(first)
+
+
+def test_boosted_fits_get_parts_by_rows(spark, monkeypatch):
+    seen = []
+    for kind in (L.GBTClassifier, L.GBTRegressor):
+        monkeypatch.setattr(kind, "fit", lambda _, df: seen.append((df.rdd.getNumPartitions(), df.count())))
+    rows = spark.createDataFrame([(Vectors.dense([float(i)]), i % 2) for i in range(100)], ["features", "y"]).repartition(64)
+    L.boosted_classifier(rows, "y")
+    L.boosted_regressor(rows, "y")
+    assert seen == [(1, 100), (1, 100)]
+    assert [L.task_count(n, 12) for n in (0, 8192, 8193, 60_000, 1_500_000, 90_000_000)] == [1, 1, 2, 8, 12, 90]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.ml import Transformer
@@ -80,12 +83,35 @@ def logistic(train: DataFrame, label: str, c: float = 0.5):
     return LogisticRegression(featuresCol="features", labelCol=label, weightCol="weight", regParam=1.0 / (c * total), elasticNetParam=0.0, standardization=False, maxIter=100).fit(weighted)
 
 
+def task_count(rows: int, cores: int, least: int = 8192, most: int = 1_000_000) -> int:
+    """Tasks for a fit of many rounds: ``least`` rows or more in each up to one task per core, beyond that as many as keep ``most`` rows."""
+    return max(1, min(cores, math.ceil(rows / least)), math.ceil(rows / most))
+
+
+@contextmanager
+def fitting(train: DataFrame, columns: list[str]) -> Iterator[DataFrame]:
+    """The columns of a fit, cached in a number of parts that follows its rows: each of some thousand stages has a task per part."""
+    needed = train.select(*columns).persist()
+    parts = task_count(needed.count(), train.sparkSession.sparkContext.defaultParallelism)
+    rows = needed.repartition(parts).persist()
+    try:
+        rows.count()
+        needed.unpersist()
+        yield rows
+    finally:
+        rows.unpersist()
+
+
 def boosted_classifier(train: DataFrame, label: str, trees: int = 300, depth: int = 3, seed: int = 42):
-    return GBTClassifier(featuresCol="features", labelCol=label, weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=0.04, subsamplingRate=0.85, seed=seed).fit(balanced(train, label))
+    model = GBTClassifier(featuresCol="features", labelCol=label, weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=0.04, subsamplingRate=0.85, seed=seed)
+    with fitting(train, ["features", label]) as rows:
+        return model.fit(balanced(rows, label))
 
 
 def boosted_regressor(train: DataFrame, label: str, trees: int = 350, depth: int = 5, seed: int = 42):
-    return GBTRegressor(featuresCol="features", labelCol=label, maxIter=trees, maxDepth=depth, stepSize=0.04, lossType="absolute", subsamplingRate=0.85, seed=seed).fit(train)
+    model = GBTRegressor(featuresCol="features", labelCol=label, maxIter=trees, maxDepth=depth, stepSize=0.04, lossType="absolute", subsamplingRate=0.85, seed=seed)
+    with fitting(train, ["features", label]) as rows:
+        return model.fit(rows)
 
 
 def with_probability(model: Transformer, df: DataFrame, name: str = "p") -> DataFrame:

@@ -78,7 +78,7 @@ def ml9(t):
 def ml10(t):
     rows = study(t)
     ready = L.prepare(part(rows, "train"), FEATURES)
-    model = L.boosted_classifier(ready.vectors(part(rows, "train")).persist(), "y")
+    model = L.boosted_classifier(ready.vectors(part(rows, "train")), "y")
     return L.summary(L.with_probability(model, ready.vectors(rows)), ["part"])
 
 
@@ -139,7 +139,7 @@ def ml14_models(t):
     rows = numeric_pairs(t).persist()
     train = part(rows, "train")
     ready = L.prepare(train, FEATURES)
-    vectors, check = ready.vectors(train).persist(), ready.vectors(part(rows, "validation"))
+    vectors, check = ready.vectors(train), ready.vectors(part(rows, "validation"))
     linear = L.ridge(vectors, "target").transform(check).withColumnRenamed("prediction", "linear")
     scored = L.boosted_regressor(vectors, "target").transform(linear).withColumnRenamed("prediction", "boosting")
     mae = scored.agg(*[F.avg(F.abs(F.col("target") - F.col(c))).alias(n) for c, n in (("sum_price", "last_value"), ("linear", "linear"), ("boosting", "boosting"))])
@@ -153,7 +153,7 @@ def ml15(t):
     """Gain of the boosted model and the AUROC lost when a feature is permuted."""
     rows = study(t).persist()
     ready = L.prepare(part(rows, "train"), FEATURES)
-    model = L.boosted_classifier(ready.vectors(part(rows, "train")).persist(), "y")
+    model = L.boosted_classifier(ready.vectors(part(rows, "train")), "y")
     gains = dict(zip(ready.inputs, model.featureImportances.toArray().tolist()))
     check = part(rows, "validation")
     variants = [("", check)] + [(c, L.permuted(check, c, F.concat_ws("-", "id", "wave"), 42)) for c in FEATURES]
