@@ -74,3 +74,15 @@ def test_boosted_fits_get_parts_by_rows(spark, monkeypatch):
     L.boosted_regressor(rows, "y")
     assert seen == [(1, 100), (1, 100)]
     assert [L.task_count(n, 12) for n in (0, 8192, 8193, 60_000, 1_500_000, 90_000_000)] == [1, 1, 2, 8, 12, 90]
+
+
+def test_robust_fits_of_a_series_are_stacked(monkeypatch):
+    calls, real = [], fits.huber_lines
+    monkeypatch.setattr(fits, "huber_lines", lambda *a: calls.append(len(a[2])) or real(*a))
+    rng = np.random.default_rng(3)
+    x, y = np.arange(20.0), rng.normal(50, 20, 20)
+    fits.predict(x, y, np.array([10, 20]), np.array([0, 1]), np.array([12.0, 22.0]))
+    slope, icpt, _, late = fits.trend_fit(x, y)
+    assert calls == [4, 2]
+    every = np.ones((1, 20), bool)
+    assert (slope, icpt) == tuple(v[0] for v in real(x, y, every)) and late == real(x, y, every & (np.arange(20) >= 14))[0][0]

@@ -31,14 +31,16 @@ def row_median(values, mask):
 
 
 def huber_lines(x, y, mask):
-    """Iteratively reweighted lines; the residual scale stays that of the first fit."""
+    """Iteratively reweighted lines; the residual scale stays that of the first fit. Rounds end early once no row changes."""
     slope, icpt = lines(x, y, mask.astype(float))
     first = np.abs(y - (slope[:, None] * x + icpt[:, None]))
     limit = HUBER_DELTA * np.maximum(1.4826 * row_median(first, mask), 1e-9)[:, None]
     for _ in range(HUBER_ROUNDS):
         away = np.abs(y - (slope[:, None] * x + icpt[:, None]))
         weights = mask * np.where(away > limit, limit / np.maximum(away, 1e-300), 1.0)
-        slope, icpt = lines(x, y, weights)
+        before, (slope, icpt) = (slope, icpt), lines(x, y, weights)
+        if np.array_equal(slope, before[0]) and np.array_equal(icpt, before[1]):
+            break
     return slope, icpt
 
 
@@ -73,8 +75,9 @@ def predict(x, y, ends, rows, targets):
     last_x, last_y = x[ends - 1], y[ends - 1]
     lead = targets - last_x[rows]
     middle = row_median(np.broadcast_to(y, mask.shape), mask)
-    straight, robust = lines(x, y, mask.astype(float)), huber_lines(x, y, mask)
-    near, _ = huber_lines(x, y, mask & (position[None, :] >= ends[:, None] - DAMPED_POINTS))
+    straight = lines(x, y, mask.astype(float))
+    both = huber_lines(x, y, np.concatenate([mask, mask & (position[None, :] >= ends[:, None] - DAMPED_POINTS)]))  # rows do not depend on each other
+    robust, near = [v[:len(ends)] for v in both], both[0][len(ends):]
     level, pace = state_filter(x, y, ends)
     return {
         "last_value": last_y[rows],
@@ -117,6 +120,5 @@ def trend_fit(x, y, share=0.30):
     """Robust slope and intercept of the whole series, residual spread, and robust slope of the recent part."""
     everything = np.ones((1, len(x)), dtype=bool)
     recent = np.arange(len(x))[None, :] >= len(x) - max(3, int(np.ceil(len(x) * share)))
-    slope, icpt = huber_lines(x, y, everything)
-    late, _ = huber_lines(x, y, recent)
-    return slope[0], icpt[0], float(np.std(y - (slope[0] * x + icpt[0]))), late[0]
+    slope, icpt = huber_lines(x, y, np.concatenate([everything, recent]))  # rows do not depend on each other
+    return slope[0], icpt[0], float(np.std(y - (slope[0] * x + icpt[0]))), slope[1]
