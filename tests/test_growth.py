@@ -86,3 +86,29 @@ def test_robust_fits_of_a_series_are_stacked(monkeypatch):
     assert calls == [4, 2]
     every = np.ones((1, 20), bool)
     assert (slope, icpt) == tuple(v[0] for v in real(x, y, every)) and late == real(x, y, every & (np.arange(20) >= 14))[0][0]
+
+
+def test_bootstrap_makes_no_row_per_score_and_replicate(spark, monkeypatch):
+    monkeypatch.setattr(A, "PIECE", 7)
+    rng = np.random.default_rng(5)
+    scores, labels = rng.integers(0, 60, 400) / 64, rng.integers(0, 2, 400)
+    rows = spark.createDataFrame([(int(y), float(p)) for y, p in zip(labels, scores)], "y int, p double")
+    made = A.bootstrap_interval(A.score_histogram(rows, []), replicates=20)
+    assert "posexplode" not in made._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["metric"]: r for r in made.collect()}
+    values = {"auroc": [], "brier": [], "log_loss": []}
+    p = np.unique(scores)
+    drawn = []
+    for s in p:
+        draw = np.random.default_rng([42, int(round(s * 1e9))])
+        drawn.append((draw.poisson((labels[scores == s] == 1).sum(), 20), draw.poisson((labels[scores == s] == 0).sum(), 20)))
+    for k in range(20):
+        a, b = (np.array([d[i][k] for d in drawn]) for i in (0, 1))
+        above = a[::-1].cumsum()[::-1] - a
+        values["auroc"].append((b * (above + a / 2)).sum() / (a.sum() * b.sum()))
+        c = np.clip(p, 1e-6, 1 - 1e-6)
+        values["brier"].append((a * (1 - p) ** 2 + b * p**2).sum() / (a + b).sum())
+        values["log_loss"].append((-a * np.log(c) - b * np.log(1 - c)).sum() / (a + b).sum())
+    for name, v in values.items():
+        assert got[name]["n_bootstrap"] == 20
+        assert np.allclose([got[name][c] for c in ("estimate", "lower", "upper")], [np.mean(v), *np.quantile(v, [0.025, 0.975])])

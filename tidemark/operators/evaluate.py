@@ -6,14 +6,17 @@ offsets come from a table with at most ``CHUNKS + 1`` rows per key.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.skew import prefix_sums
 
 CHUNKS = 1000
+PIECE = 2048
 
 
 def score_histogram(df: DataFrame, keys: list[str], y: str = "y", p: str = "p", weight: str | None = None) -> DataFrame:
@@ -173,26 +176,35 @@ def bootstrap_interval(histogram: DataFrame, replicates: int = 200, seed: int =
     """Resampling intervals of AUROC, Brier score and log loss.
 
     Poisson(1) weights of n equal rows add up to one Poisson(n) draw, so the resampling runs on the score histogram:
-    its size depends on the score resolution, not on the number of rows.
+    its size depends on the score resolution, not on the number of rows. Scores lie in falling order over the tasks; a task draws PIECE of
+    them at a time and gives their sums per replicate, in which pairs count positives of the piece only: those above are added per piece.
     """
 
-    @F.pandas_udf("array<struct<pos:bigint,neg:bigint>>")
-    def draw(p: pd.Series, pos: pd.Series, neg: pd.Series) -> pd.Series:
-        out = []
-        for score, a, b in zip(p, pos, neg):
-            rng = np.random.default_rng([seed, int(round(score * 1e9))])
-            out.append([{"pos": int(i), "neg": int(j)} for i, j in zip(rng.poisson(a, replicates), rng.poisson(b, replicates))])
-        return pd.Series(out)
-
-    drawn = histogram.select("p", F.posexplode(draw("p", "pos", "neg")).alias("replicate", "_w"))
-    weighted = drawn.select("replicate", "p", "_w.pos", "_w.neg").filter((F.col("pos") + F.col("neg")) > 0)
-    c = clipped(F.col("p"))
-    losses = weighted.groupBy("replicate").agg(
-        (F.sum(F.col("pos") * (1 - F.col("p")) ** 2 + F.col("neg") * F.col("p") ** 2) / F.sum(F.col("pos") + F.col("neg"))).alias("brier"),
-        (F.sum(-F.col("pos") * F.ln(c) - F.col("neg") * F.ln(1 - c)) / F.sum(F.col("pos") + F.col("neg"))).alias("log_loss"),
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), PIECE):
+                p, pos, neg = (batch[c].to_numpy()[at:at + PIECE] for c in ("p", "pos", "neg"))
+                drawn = np.empty((2, len(p), replicates), np.int64)
+                for i, score in enumerate(p):
+                    rng = np.random.default_rng([seed, int(round(score * 1e9))])
+                    drawn[0, i], drawn[1, i] = rng.poisson(pos[i], replicates), rng.poisson(neg[i], replicates)
+                (pos, neg), c = drawn, np.clip(p, 1e-6, 1 - 1e-6)
+                yield pd.DataFrame({
+                    "p": p[0], "replicate": np.arange(replicates), "pos": pos.sum(axis=0), "neg": neg.sum(axis=0),
+                    "pairs": (neg * (pos.cumsum(axis=0) - pos / 2)).sum(axis=0), "brier": (1 - p) ** 2 @ pos + p ** 2 @ neg, "log_loss": -np.log(c) @ pos - np.log(1 - c) @ neg,
+                })
+
+    ordered = histogram.select("p", "pos", "neg").repartitionByRange(F.col("p").desc()).sortWithinPartitions(F.col("p").desc())
+    pieces = ordered.mapInPandas(sums, "p double, replicate int, pos long, neg long, pairs double, brier double, log_loss double")
+    above = F.coalesce(F.sum("pos").over(Window.partitionBy("replicate").orderBy(F.col("p").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    whole = pieces.withColumn("pairs", F.col("pairs") + F.col("neg") * above).groupBy("replicate").agg(
+        *[F.sum(c).alias(c) for c in ("pos", "neg", "pairs", "brier", "log_loss")]
     )
-    ranks = ranking_metrics(running_counts(weighted, ["replicate"]), ["replicate"]).filter(F.col("auroc").isNotNull())
-    long = ranks.join(losses, "replicate").select(
+    n = F.col("pos") + F.col("neg")
+    ranks = whole.select(
+        F.try_divide("pairs", F.col("pos").cast("double") * F.col("neg")).alias("auroc"), F.try_divide("brier", n).alias("brier"), F.try_divide("log_loss", n).alias("log_loss"),
+    ).filter(F.col("auroc").isNotNull())
+    long = ranks.select(
         F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in ("auroc", "brier", "log_loss")])).alias("_m")
     ).select("_m.*")
     return long.groupBy("metric").agg(
