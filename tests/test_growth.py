@@ -47,6 +47,7 @@ class Store:
         self.held[key] = value
 
 
+@pytest.mark.parametrize("stage", [S.ChunkTable, S.ChunkChain, S.ChunkRows])
 def test_state_calls_follow_pages(stage):
     n, gap, width = 400, 10, 100
     store, made = Store(), stage(gap, width, None)
