@@ -29,15 +29,14 @@ CARE_SQL = "(SELECT DISTINCT o_custkey AS senior, o_orderkey % 997 + 1 AS member
 
 @query("jn7_two_role_relations", f"SELECT member AS user_id, 'member' AS role, senior AS other_id, c_name FROM {CARE_SQL} e JOIN customer ON c_custkey=senior UNION ALL SELECT senior, 'senior', member, c_name FROM {CARE_SQL} e JOIN customer ON c_custkey=member")
 def jn7(t):
-    """Each relation is seen from both sides; the two directions are one exploded frame joined once to the names."""
+    """Each relation is seen from both sides: two joins to the names, which stay one row per customer."""
     edges = t.orders.select(F.col("o_custkey").alias("senior"), (F.col("o_orderkey") % 997 + 1).alias("member")).distinct()
-    views = F.explode(F.array(
-        F.struct(F.col("member").alias("user_id"), F.lit("member").alias("role"), F.col("senior").alias("other_id")),
-        F.struct(F.col("senior").alias("user_id"), F.lit("senior").alias("role"), F.col("member").alias("other_id")),
-    ))
-    names = t.customer.select(F.col("c_custkey").alias("other_id"), "c_name")
-    seen = edges.select(views.alias("v")).select("v.*")
-    return skew.salted_join(seen, names, ["other_id"], ["user_id"], "inner", salts=8).select("user_id", "role", "other_id", "c_name")
+
+    def seen(role: str, own: str, other: str):
+        names = t.customer.select(F.col("c_custkey").alias(other), "c_name")
+        return edges.join(names, other).select(F.col(own).alias("user_id"), F.lit(role).alias("role"), F.col(other).alias("other_id"), "c_name")
+
+    return seen("member", "member", "senior").unionByName(seen("senior", "senior", "member"))
 
 
 @query("jn8_authorised_rows", "SELECT participant_id, count(*) AS n FROM {measurements} m WHERE participant_id IN (SELECT o_custkey FROM orders WHERE o_orderstatus='O' AND o_orderpriority='1-URGENT') GROUP BY 1")
