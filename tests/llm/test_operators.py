@@ -247,6 +247,47 @@ def test_tokens_forget_words_without_harm(monkeypatch):
     assert first == [x.tolist() for x in tokens.encode(texts, "word_bpe_49k.json")]
 
 
+class _Counting:
+    """A tokenizer that counts the texts it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.model, self.texts = tokenizer, tokenizer.model, 0
+
+    def get_vocab(self):
+        return self.tokenizer.get_vocab()
+
+    def encode_batch_fast(self, texts, **more):
+        self.texts += len(texts)
+        return self.tokenizer.encode_batch_fast(texts, **more)
+
+
+def _direct(tokenizer, texts: list[bytes]) -> list[list[int]]:
+    return [tokenizer.encode(t.decode(), add_special_tokens=False).ids for t in texts]
+
+
+def test_new_runs_go_to_the_tokenizer_together(monkeypatch):
+    plain = tokens._tokenizer("word_bpe_49k.json")[0]
+    counting = _Counting(plain)
+    monkeypatch.setattr(tokens, "_tokenizer", lambda name: (counting, {}, {}, tokens.RunMemory(counting)))
+    texts = ["".join(" w" + "abcdefghij"[i % 10] * (i % 7) + "xyzéÖß"[i % 6] + f"q{i}!" for i in range(k, k + 400)).encode() for k in (0, 200)]
+    texts += [b"", b"  ", "Ünder 2024, a-b \u00ff".encode()]
+    assert [x.tolist() for x in tokens.encode(texts, "any")] == _direct(plain, texts)
+    assert counting.texts < 50  # some 500 runs are new
+
+
+def test_run_memory_overflows_and_collides_without_harm(monkeypatch):
+    monkeypatch.setattr(tokens, "RUNS", 4)
+    monkeypatch.setattr(tokens, "RUN_SLOTS", 8)
+    plain = tokens._tokenizer("word_bpe_49k.json")[0]
+    memory = tokens.RunMemory(plain)
+    texts = [b"one two three four", b"two five " + b"a" * 100 + b" 1234 one", b"six seven", b"one " + b"a" * 100, b"a b c d e f g h i j", b"seven j six 12"]
+    for some in ([t] for t in texts * 2):
+        assert [x.tolist() for x in tokens._encode_plain(some, memory)] == _direct(plain, some)
+    assert memory.n_runs <= 4
+    memory.last = None  # a tokenizer that does not mark the end of words
+    assert [x.tolist() for x in tokens._encode_plain(texts, memory)] == _direct(plain, texts)
+
+
 def test_secret_rules_and_learned_spans(spark, empty):
     value = "Zk3vQ9xT1mB7cR5wL2pN8sD4"
     rows = [

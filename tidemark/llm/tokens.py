@@ -33,6 +33,10 @@ END = 2
 LEVEL = 3
 #: Words whose ids a worker remembers; older ones are forgotten together. Longer words are never kept.
 MEMORY, MEMORY_BYTES = 500_000, 48
+#: The same for runs of plain texts; places in their table (twice as many at least), and ids that they may have together.
+RUNS, RUN_SLOTS, RUN_IDS = 1_000_000, 1 << 21, 1 << 24
+#: New runs that go to the tokenizer as one text.
+JOINED = 64
 #: Latin letters (composed, so normal forms leave them) and then ASCII marks but the apostrophe, which pre-tokens may start with.
 _PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]*)([!-&(-/:-@\[-`{-~]*)")
 FILE = "shard long, chunk long, first long, n_ids long, planes array<binary>, doc_ids array<long>, ends array<int>, opens boolean, goes_on boolean"
@@ -46,7 +50,8 @@ def _tokenizer(name: str):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(public_tokenizers.path(name)), {}, {}
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+    return tokenizer, {}, {}, RunMemory(tokenizer)
 
 
 _KIND = np.full(256, 3, np.uint8)  # marks; letters, digits and white space follow
@@ -57,12 +62,19 @@ _SHIFT = np.zeros(256, np.uint8)
 _SHIFT[65:91] = 32
 #: Bytes of texts on the run path: no apostrophes (contractions are pre-tokens), no controls, nothing beyond U+00FF.
 _FINE = bytes(b for b in [9, 10, 11, 12, 13, *range(32, 127), *range(0x80, 0xC0), 0xC3] if b != 39)
-_NOT_LETTERS = re.compile(rb"\xc3(?![\x80-\xbf])|\xc3[\x97\xb7]|(?<!\xc3)[\x80-\xbf]")
 
 
 def _odd(text: bytes) -> bool:
     """Whether a text holds anything but ASCII and the letters U+00C0 to U+00FF, or apostrophes, controls or special tokens."""
-    return bool(text.translate(None, _FINE)) or b"<|" in text or not (text.isascii() or not _NOT_LETTERS.search(text))
+    if text.translate(None, _FINE) or b"<|" in text:
+        return True
+    if text.isascii():
+        return False
+    try:
+        text.decode()
+    except UnicodeDecodeError:
+        return True
+    return b"\xc3\x97" in text or b"\xc3\xb7" in text
 
 
 def _encode_words(words: list[bytes], tokenizer, parts: dict[bytes, bytes]) -> list[bytes]:
@@ -89,7 +101,100 @@ def _ids(tokenizer, texts: list[str]) -> list[bytes]:
     return [array("I", found.ids).tobytes() for found in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def _encode_plain(texts: list[bytes], tokenizer, parts: dict[bytes, bytes]) -> list[np.ndarray]:
+class RunMemory:
+    """Ids of runs by the runs' 64-bit hashes: an open table of places in one array of ids."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+        self.last = None  # which ids end a word
+        if suffix:
+            vocabulary = tokenizer.get_vocab()
+            self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.at, self.size = np.zeros(RUN_SLOTS, np.uint64), np.zeros(RUN_SLOTS, np.int64), np.zeros(RUN_SLOTS, np.int64)
+        self.ids, self.n_ids, self.n_runs = np.empty(1 << 16, np.uint32), 0, 0
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The slot of each hash, -1 for one that is not remembered."""
+        slot = (hashes & np.uint64(RUN_SLOTS - 1)).astype(np.int64)
+        held = self.keys[slot]
+        left = np.flatnonzero(held != hashes)
+        while len(left):
+            left, gone = left[held[left] != 0], left[held[left] == 0]
+            slot[gone] = -1
+            slot[left] = (slot[left] + 1) % RUN_SLOTS
+            held[left] = self.keys[slot[left]]
+            left = left[held[left] != hashes[left]]
+        return slot
+
+    def _keep(self, hashes: np.ndarray, at: np.ndarray, size: np.ndarray) -> None:
+        """Enter distinct hashes that are not there."""
+        slot = (hashes & np.uint64(RUN_SLOTS - 1)).astype(np.int64)
+        left = np.arange(len(hashes))
+        while len(left):
+            free = left[self.keys[slot[left]] == 0]
+            self.keys[slot[free]] = hashes[free]  # of several for one slot the last stays
+            own = self.keys[slot[left]] == hashes[left]
+            done, left = left[own], left[~own]
+            self.at[slot[done]], self.size[slot[done]] = at[done], size[done]
+            slot[left] = (slot[left] + 1) % RUN_SLOTS
+        self.n_runs += len(hashes)
+
+    def encode(self, data: bytes, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the runs ``data[starts:ends]`` behind one another, and their number by run."""
+        hashes = np.maximum(hashes, np.uint64(1))
+        if self.n_ids > RUN_IDS:
+            self.clear()
+        slot = self.find(hashes)
+        new = np.flatnonzero(slot < 0)
+        first, which = new[:0], new[:0]
+        if len(new):
+            _, first, which = np.unique(hashes[new], return_index=True, return_inverse=True)
+            if self.n_runs + len(first) > RUNS:
+                self.clear()
+                slot[:], new = -1, np.arange(len(hashes))
+                _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+            first = new[first]
+        fresh, count = self._encode([data[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
+        # all new ids go behind the remembered ones for now; those of long runs, which come last, are forgotten at once
+        kept = ends[first] - starts[first] <= MEMORY_BYTES
+        place = np.cumsum(count) - count
+        room = self.n_ids + len(fresh)
+        if room > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.n_ids], np.empty(max(room, 2 * self.n_ids) - self.n_ids, np.uint32)])
+        order = np.argsort(~kept, kind="stable")
+        moved = count[order]
+        target = self.n_ids + np.cumsum(moved) - moved
+        self.ids[self.n_ids : room] = fresh[np.repeat(place[order] - (target - self.n_ids), moved) + np.arange(len(fresh))]
+        at_new = np.empty(len(first), np.int64)
+        at_new[order] = target
+        at, size = self.at[slot], self.size[slot]
+        at[new], size[new] = at_new[which], count[which]
+        begin = np.cumsum(size) - size
+        out = self.ids[np.repeat(at - begin, size) + np.arange(int(size.sum()))]
+        if len(first) <= RUNS:  # more runs than that in one text are not remembered
+            self._keep(hashes[first[kept]], at_new[kept], count[kept])
+            self.n_ids += int(count[kept].sum())
+        return out, size
+
+    def _encode(self, runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct runs and their number: many runs are one text, parted again after ids that end a word."""
+        words = np.array([len(r) if r[:1].isdigit() else 1 for r in runs], np.int64)  # a digit is a word
+        if self.last is not None and runs:
+            texts = [b" ".join(runs[i : i + JOINED]).decode() for i in range(0, len(runs), JOINED)]
+            flat = np.concatenate([np.array(f.ids, np.uint32) for f in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+            ends = np.flatnonzero(self.last[flat]) + 1
+            if len(ends) == words.sum() and ends[-1:] == len(flat):
+                return flat, np.diff(ends[np.cumsum(words) - 1], prepend=0)
+        found = _ids(self.tokenizer, [r.decode() for r in runs])
+        return np.frombuffer(b"".join(found), np.uint32), np.array([len(f) // 4 for f in found], np.int64)
+
+
+def _encode_plain(texts: list[bytes], memory: RunMemory) -> list[np.ndarray]:
     """Ids of texts in which every run of letters, digits or marks is a pre-token (digits: several): distinct runs are encoded once."""
     raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     folded = raw + _SHIFT[raw]
@@ -100,25 +205,10 @@ def _encode_plain(texts: list[bytes], tokenizer, parts: dict[bytes, bytes]) -> l
     starts, ends = np.concatenate(([0], change)), np.concatenate((change, [len(raw)]))
     real = kind[starts] > 0
     starts, ends = starts[real], ends[real]
-    numbers, first, which = np.unique(run_hashes(folded, starts, ends), return_index=True, return_inverse=True)
-    data = folded.tobytes()
-    runs = [data[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-    new = [r for r in runs if r not in parts]
-    if len(parts) + len(new) > MEMORY:
-        parts.clear()
-        new = runs
-    parts.update(zip(new, _ids(tokenizer, [r.decode() for r in new]), strict=True))
-    found = [parts[r] for r in runs]
-    for r in new:
-        if len(r) > MEMORY_BYTES:
-            del parts[r]
-    size = np.array([len(f) // 4 for f in found], np.int64)
-    flat = np.frombuffer(b"".join(found), np.uint32)
-    total = size[which]
-    at = np.repeat((np.cumsum(size) - size)[which] - (np.cumsum(total) - total), total) + np.arange(total.sum())
+    flat, size = memory.encode(folded.tobytes(), starts, ends, run_hashes(folded, starts, ends))
     begin = np.cumsum([len(x) + 1 for x in texts])
-    cuts = np.concatenate(([0], np.cumsum(total)))[np.searchsorted(starts, begin)]
-    return np.split(flat[at], cuts[:-1])
+    cuts = np.concatenate(([0], np.cumsum(size)))[np.searchsorted(starts, begin)]
+    return np.split(flat, cuts[:-1])
 
 
 def _encode_text(text: bytes, tokenizer, known: dict[bytes, bytes], parts: dict[bytes, bytes]) -> np.ndarray:
@@ -138,13 +228,13 @@ def _encode_text(text: bytes, tokenizer, known: dict[bytes, bytes], parts: dict[
 
 def encode(texts: list[bytes], name: str) -> Iterator[np.ndarray]:
     """Token ids of each text; distinct words and runs are encoded once and remembered, long texts go in blocks of words."""
-    tokenizer, known, parts = _tokenizer(name)
+    tokenizer, known, parts, runs = _tokenizer(name)
     for lo, hi in slices(texts):
         pieces, owner = cut_long(texts[lo:hi])
         plain = [i for i, p in enumerate(pieces) if not _odd(p)]
         out: list = [None] * len(pieces)
         for a, b in slices([pieces[i] for i in plain]):
-            for i, ids in zip(plain[a:b], _encode_plain([pieces[i] for i in plain[a:b]], tokenizer, parts), strict=True):
+            for i, ids in zip(plain[a:b], _encode_plain([pieces[i] for i in plain[a:b]], runs), strict=True):
                 out[i] = ids
         for i, ids in enumerate(out):
             if ids is None:
